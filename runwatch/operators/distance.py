@@ -42,6 +42,7 @@ def _flat_models(weights: DataFrame, keys: list[str], carry: list[str], p: int)
 def distances(
     df: DataFrame, weights: DataFrame, axis: list[str], carry: list[str],
     keys: list[str] = ["op"], contributions: bool = False, triangular: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """``df`` joined with the models of its group: adds ``carry`` and ``d2``.
 
@@ -50,14 +51,14 @@ def distances(
     left out.  ``triangular`` says that every weight matrix is lower triangular.
     """
     if len(axis) <= (JVM_SENSORS if triangular else JVM_SENSORS - 2):
-        return _builtin(df, weights, axis, carry, keys, contributions, triangular)
+        return _builtin(df, weights, axis, carry, keys, contributions, triangular, rows)
     return _arrow(df, weights, axis, carry, keys, contributions)
 
 
-def _builtin(df, weights, axis, carry, keys, contributions, triangular) -> DataFrame:
+def _builtin(df, weights, axis, carry, keys, contributions, triangular, n_models) -> DataFrame:
     p = len(axis)
     table = _flat_models(weights, keys, carry, p)
-    joined = attach(df, table, keys, row_bytes=8 * p * (p + 2) + 256)
+    joined = attach(df, table, keys, row_bytes=8 * p * (p + 2) + 256, rows=n_models)
     use = [F.col(f"_u{j}") for j in range(p)]
     x = [finite(number(joined, s)) for s in axis]
     whole = reduce(and_, [~u | v.isNotNull() for u, v in zip(use, x)])

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 import numpy as np
 import pandas as pd
@@ -53,7 +53,7 @@ def moments(df: DataFrame, keys: list[str], sensors: list[str]) -> DataFrame:
 
 def standard_columns(
     df: DataFrame, stats: DataFrame, keys: list[str], sensors: list[str], use: str = "use",
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, rows: int | None = None,
 ) -> DataFrame:
     """Attach ``center, scale, use`` arrays and return ``keep`` plus z columns.
 
@@ -62,7 +62,7 @@ def standard_columns(
     p = len(sensors)
     joined = attach(
         df, stats.select(*keys, "center", "scale", F.col(use).alias("_use")), keys,
-        row_bytes=24 * p + 64,
+        row_bytes=24 * p + 64, rows=rows,
     )
     z = [
         F.when(F.col("_use")[j], (col(s) - F.col("center")[j]) / F.col("scale")[j])
@@ -72,37 +72,59 @@ def standard_columns(
     return joined.select(*(keys if keep is None else keep), *z)
 
 
-def packed_size(p: int) -> int:
-    return 2 + p + p * (p + 1) // 2
+def packed_size(p: int, quartic: bool = False) -> int:
+    half = p * (p + 1) // 2
+    return 1 + p + half + (half + p * p if quartic else 1)
 
 
-def gram(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Packed sums over the rows complete in ``columns``: ``keys, acc ARRAY<DOUBLE>``."""
+def gram(
+    df: DataFrame, keys: list[str], columns: list[str], quartic: bool = False
+) -> DataFrame:
+    """Packed sums over the rows complete in ``columns``: ``keys, acc ARRAY<DOUBLE>``.
+
+    With ``quartic`` the last number gives way to the sums of z_i^2 z_j^2 (upper
+    triangle) and z_i^2 z_j (all pairs): enough to have sum |z|^4 of any subset
+    of the columns after any shift and scaling, without another scan.
+    """
     whole = reduce(and_, [F.col(c).isNotNull() for c in columns])
     rows = df.where(whole)
-    if len(columns) <= JVM_SENSORS:
-        return _gram_builtin(rows, keys, columns)
-    return _gram_arrow(rows, keys, columns)
+    if packed_size(len(columns), quartic) <= packed_size(JVM_SENSORS):
+        return _gram_builtin(rows, keys, columns, quartic)
+    return _gram_arrow(rows, keys, columns, quartic)
 
 
-def _gram_builtin(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def _gram_builtin(rows: DataFrame, keys: list[str], columns: list[str], quartic: bool) -> DataFrame:
     solid = rows.select(*keys, *[F.coalesce(x, F.lit(0.0)).alias(x) for x in columns])
     c = [F.col(x) for x in columns]
     p = len(c)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
     parts = [F.count(F.lit(1)).cast("double")]
     parts += [F.sum(x) for x in c]
-    parts += [F.sum(c[i] * c[j]) for i in range(p) for j in range(i, p)]
-    square = sum((x * x for x in c[1:]), c[0] * c[0])
-    parts.append(F.sum(square * square))
+    parts += [F.sum(c[i] * c[j]) for i, j in pairs]
+    if quartic:
+        parts += [F.sum(c[i] * c[i] * c[j] * c[j]) for i, j in pairs]
+        parts += [F.sum(c[i] * c[i] * c[j]) for i in range(p) for j in range(p)]
+    else:
+        square = reduce(add, [x * x for x in c])
+        parts.append(F.sum(square * square))
     names = [f"_p{i}" for i in range(len(parts))]
     wide = solid.groupBy(*keys).agg(*[x.alias(n) for x, n in zip(parts, names)])
     return wide.select(*keys, F.array(*names).alias("acc"))
 
 
-def _gram_arrow(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    p = len(columns)
-    upper = np.triu_indices(p)
-    size = packed_size(p)
+def pack(z: np.ndarray, quartic: bool) -> np.ndarray:
+    """The packed vector of one block of complete rows."""
+    upper = np.triu_indices(z.shape[1])
+    head = [[len(z)], z.sum(axis=0), (z.T @ z)[upper]]
+    squares = z * z
+    if quartic:
+        return np.concatenate([*head, (squares.T @ squares)[upper], (squares.T @ z).ravel()])
+    total = squares.sum(axis=1)
+    return np.concatenate([*head, [np.dot(total, total)]])
+
+
+def _gram_arrow(rows: DataFrame, keys: list[str], columns: list[str], quartic: bool) -> DataFrame:
+    size = packed_size(len(columns), quartic)
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
@@ -114,11 +136,7 @@ def _gram_arrow(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFra
 
         for pdf in batches:
             for key, part in pdf.groupby(keys, sort=False):
-                z = part[columns].to_numpy(dtype=float)
-                square = np.einsum("ij,ij->i", z, z)
-                vec = np.concatenate(
-                    [[len(z)], z.sum(axis=0), (z.T @ z)[upper], [np.dot(square, square)]]
-                )
+                vec = pack(part[columns].to_numpy(dtype=float), quartic)
                 sums[key] = sums[key] + vec if key in sums else vec
             if len(sums) * size * 8 > _FLUSH_BYTES:
                 yield emit()
@@ -138,13 +156,37 @@ def _gram_arrow(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     )
 
 
-def unpack(acc: np.ndarray, p: int) -> tuple[int, np.ndarray, np.ndarray, float]:
-    """``n, sum z, sum z z' (full), sum |z|^4`` from a packed vector."""
-    acc = np.asarray(acc, dtype=float)
+def _square(values: np.ndarray, p: int) -> np.ndarray:
     full = np.zeros((p, p))
-    full[np.triu_indices(p)] = acc[1 + p:-1]
-    full = full + np.triu(full, 1).T
-    return int(round(acc[0])), acc[1:1 + p], full, float(acc[-1])
+    full[np.triu_indices(p)] = values
+    return full + np.triu(full, 1).T
+
+
+def unpack(acc: np.ndarray, p: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """``n, sum z, sum z z' (full)`` and the fourth-order rest of a packed vector."""
+    acc = np.asarray(acc, dtype=float)
+    end = 1 + p + p * (p + 1) // 2
+    return int(round(acc[0])), acc[1:1 + p], _square(acc[1 + p:end], p), acc[end:]
+
+
+def fourth_power(
+    acc: np.ndarray, p: int, pick: np.ndarray, shift: np.ndarray, scale: np.ndarray
+) -> float:
+    """sum |(z - shift) / scale|^4 over the columns ``pick``, from quartic sums."""
+    n, total, cross, rest = unpack(acc, p)
+    half = p * (p + 1) // 2
+    at = np.ix_(pick, pick)
+    q, c = _square(rest[:half], p)[at], rest[half:].reshape(p, p)[at]
+    t, g, m = total[pick], cross[at], shift
+    s = np.diag(g)
+    mm = np.outer(m, m)
+    moved = (
+        q - 2.0 * c * m[None, :] - 2.0 * c.T * m[:, None]
+        + np.outer(s, m * m) + np.outer(m * m, s) + 4.0 * mm * g
+        - 2.0 * np.outer(m * t, m * m) - 2.0 * np.outer(m * m, m * t) + n * mm * mm
+    )
+    a = 1.0 / (scale * scale)
+    return float(a @ moved @ a)
 
 
 def correlation(acc: np.ndarray | None, p: int) -> np.ndarray:

@@ -33,6 +33,8 @@ def hash_cut(
     take: DataFrame,
     seed: object,
     bucket_rows: int | None = None,
+    largest: int | None = None,
+    n_groups: int | None = None,
 ) -> DataFrame:
     """Per group the ``k``-th smallest (hash, run id); ``take`` is ``keys, n, k``.
 
@@ -45,9 +47,10 @@ def hash_cut(
         F.col(run_id).cast("string").alias("_id"),
     )
     take = take.where(F.col("k") >= 1)
-    largest = take.agg(F.max("n")).first()[0] or 0
+    if largest is None:
+        largest = take.agg(F.max("n")).first()[0] or 0
     buckets = max(1, math.ceil(largest / bucket_rows))
-    rows = attach(rows, take.select(*keys, "k"), keys)
+    rows = attach(rows, take.select(*keys, "k"), keys, rows=n_groups)
     if buckets == 1:
         boundary = rows.withColumn("left", F.col("k"))
     else:

@@ -165,18 +165,8 @@ def drop_redundant(
 
     def choose(row: dict) -> dict:
         live = np.asarray(row["use"], dtype=bool)
-        r = np.abs(correlation(row["acc"], p))
-        dropped = {}
-        kept: list[int] = []
-        for j, name in enumerate(names):
-            if not live[j] and name not in safe:
-                dropped[name] = CONSTANT
-                continue
-            twin = next((k for k in kept if live[j] and r[j, k] >= threshold), None)
-            if twin is None or name in safe:
-                kept.append(j)
-            else:
-                dropped[name] = names[twin]
+        kept, dropped = first_of_each(
+            np.abs(correlation(row["acc"], p)), live, names, threshold, safe)
         use = [j in kept for j in range(p)]
         out = {k: row[k] for k in keys}
         return {**out, "kept": [names[j] for j in kept], "dropped": dropped, "use": use}
@@ -185,6 +175,25 @@ def drop_redundant(
     return per_row(table.select(*keys, "use", "acc"), choose, schema)
 
 
+def first_of_each(
+    r: np.ndarray, live: np.ndarray, names: list[str], threshold: float,
+    safe: set[str] | frozenset = frozenset(),
+) -> tuple[list[int], dict[str, str]]:
+    """First sensor of every redundant set, in column order, from |r| of one group."""
+    dropped: dict[str, str] = {}
+    kept: list[int] = []
+    for j, name in enumerate(names):
+        if not live[j] and name not in safe:
+            dropped[name] = CONSTANT
+            continue
+        twin = next((k for k in kept if live[j] and r[j, k] >= threshold), None)
+        if twin is None or name in safe:
+            kept.append(j)
+        else:
+            dropped[name] = names[twin]
+    return kept, dropped
+
+
 def redundancy_table(dropped: DataFrame, keys: list[str], sensors: list[str]) -> DataFrame:
     """Long form: ``keys, sensor, kept, duplicate_of``."""
     names = F.array(*[F.lit(s) for s in sensors])

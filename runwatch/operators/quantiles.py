@@ -37,18 +37,22 @@ def grouped_quantiles(
     counts: DataFrame | None = None,
     exact_rows: int | None = None,
     weight: str | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per group.
 
     Returns ``keys, n, q`` with ``q ARRAY<DOUBLE>`` aligned with ``probs``.  NULLs
     are skipped.  ``weight`` is an integer column: how many equal rows a row
     stands for.  ``counts`` (``keys, n``) saves the counting scan when the caller
-    already knows the non-NULL count of every group.
+    already knows the non-NULL count of every group, ``largest`` (an upper bound
+    of it) also the look at the counts.
     """
     exact_rows = EXACT_ROWS if exact_rows is None else exact_rows
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).alias("_v"), times.alias("_c"))
+    if largest is not None and largest <= exact_rows:
+        return _builtin(rows, keys, probs, weight is not None)
     if counts is None:
         counts = materialise(rows.groupBy(*keys).agg(F.sum("_c").alias("n")))
     largest = counts.agg(F.max("n")).first()[0] or 0

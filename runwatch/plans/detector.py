@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import flag
 from ..functions.covariance import estimate, factorise, model_thresholds
 from ..operators.distance import distances
-from ..operators.gram import clean, gram, moments, per_row, standard_columns, unpack
+from ..operators.gram import (
+    clean, correlation, fourth_power, gram, moments, per_row, standard_columns, unpack,
+)
 from ..operators.mcd import minimum_covariance_determinant
 from ..operators.ordering import before_cut, hash_cut
-from ..operators.prepare import drop_redundant, fit_scaler, live_stats
+from ..operators.prepare import drop_redundant, first_of_each, fit_scaler, live_stats
 from ..operators.quantiles import grouped_quantiles
 from ..runtime import attach, col, materialise
 
@@ -29,12 +31,22 @@ SCALERS = ("standard", "robust", "none")
 INVERSES = ("cholesky", "eigen")
 RULES = ("empirical", "chi2", "hotelling")
 
+_MODEL_SCHEMA = (
+    "op string, chain string, features_in array<string>, features_used array<string>, "
+    "center array<double>, scale array<double>, location array<double>, "
+    "a array<array<double>>, precision array<array<double>>, "
+    "thresholds map<string,double>, alpha double, dropped map<string,string>, "
+    "diagnostics struct<{diagnostics}>, warnings array<string>, n_calib bigint, "
+    "use array<boolean>, shift array<double>, weight array<double>"
+)
 _DIAGNOSTICS = (
     "n_train bigint, n_sensors_in int, n_sensors_used int, samples_per_sensor double, "
     "cov_estimator string, inverse string, ridge double, n_components int, "
     "effective_rank int, condition_number double, spectrum array<double>, "
     "calibration_samples bigint"
 )
+_MODEL_SCHEMA = _MODEL_SCHEMA.format(
+    diagnostics=_DIAGNOSTICS.replace(" ", ":").replace(",:", ","))
 
 
 class Detector:
@@ -57,6 +69,7 @@ class FittedDetector:
 
     table: DataFrame
     axis: tuple[str, ...] = ()
+    n_models: int | None = None
 
     # -- to implement ---------------------------------------------------------
     def score(self, df: DataFrame) -> DataFrame:
@@ -147,10 +160,11 @@ def _put(thresholds: Column, name: str, value: Column) -> Column:
 
 def score_quantile(
     scored: DataFrame, alpha: float, exact_rows: int | None = None,
-    counts: DataFrame | None = None,
+    counts: DataFrame | None = None, largest: int | None = None,
 ) -> DataFrame:
     """``op, chain, n, limit``: exact linear-interpolated 1 - alpha quantile of the scores."""
-    q = grouped_quantiles(scored, ["op", "chain"], "score", [1.0 - alpha], counts, exact_rows)
+    q = grouped_quantiles(scored, ["op", "chain"], "score", [1.0 - alpha], counts, exact_rows,
+                          largest=largest)
     return q.select("op", "chain", "n", F.col("q")[0].alias("limit"))
 
 
@@ -198,26 +212,82 @@ class Mahalanobis(Detector):
         if run_id != "run_id":
             nominal = nominal.withColumnRenamed(run_id, "run_id")
         rows = clean(nominal, list(sensors), ["op", "run_id"])
-        plan, axis = self._choose_sensors(rows, list(sensors), available)
-        tagged, plan = self._tag(rows, plan, axis)
-        train = tagged.where("_train")
-        scaler = self._scaler(train, plan, axis)
-        models = self._models(train, scaler, axis)
+        stats = self._stats(rows, list(sensors), available)
+        facts = stats.agg(
+            F.count(F.lit(1)).alias("ops"), F.max("n").alias("largest"), F.min("n").alias("least"),
+            F.bool_or(F.exists("cnt", lambda c: c < F.col("n"))).alias("gaps"),
+        ).first()
+        if not facts["ops"] or facts["least"] < 2:
+            raise ValueError("at least 2 usable nominal runs are required")
+        if facts["gaps"] or self.scaler == "robust" or self.cov == "mcd":
+            models, tagged, axis = self._stepwise(rows, stats, list(sensors))
+        else:
+            models, tagged = self._in_one_pass(rows, stats, list(sensors), facts)
+            axis = list(sensors)
+        table, axis = _narrow_axis(models, axis)
+        fitted = self._thresholds(tagged, table, axis, facts)
         return FittedMahalanobis(
-            self._thresholds(tagged, models, axis), tuple(axis), self.inverse == "cholesky"
+            fitted, tuple(axis), facts["ops"], self.inverse == "cholesky"
         )
 
-    def _choose_sensors(self, rows, sensors, available):
-        """Kept sensors per operating point and the axis (their union, in column order)."""
+    def _stats(self, rows, sensors, available):
         stats = live_stats(rows, ["op"], sensors)
         names = F.array(*[F.lit(s) for s in sensors])
-        offered = names
-        if available is not None:
-            stats = stats.join(available.select("op", F.col("sensors").alias("_on")), "op")
-            offered = F.filter(names, lambda s: F.array_contains("_on", s))
-            stats = stats.withColumn("use", F.zip_with(
-                "use", names, lambda u, s: u & F.array_contains("_on", s)))
-        stats = materialise(stats.withColumn("features_in", offered))
+        if available is None:
+            return materialise(stats.withColumn("features_in", names))
+        on = available.select("op", F.col("sensors").alias("_on"))
+        stats = stats.join(on, "op").withColumns({
+            "features_in": F.filter(names, lambda s: F.array_contains("_on", s)),
+            "use": F.zip_with("use", names, lambda u, s: u & F.array_contains("_on", s)),
+        })
+        # a sensor that is not offered has no gaps to care about
+        offered = F.transform(names, lambda s: F.array_contains("_on", s))
+        return materialise(stats.withColumn("cnt", F.zip_with(
+            "cnt", offered, lambda c, o: F.when(o, c).otherwise(F.col("n")))).drop("_on"))
+
+    def _in_one_pass(self, rows, stats, sensors, facts):
+        """No gaps: one scan gives the sums of the training and of the held-out rows.
+
+        Together they decide which sensors are redundant; the training sums alone
+        give scaling, covariance and (from the quartic sums) the shrinkage.
+        """
+        k = F.bround(F.lit(self.calib_fraction) * F.col("n")).cast("bigint")
+        hold = F.lit(self.calib_fraction > 0.0)
+        tiny = hold & ((k < 2) | (F.col("n") - k < 2))
+        plan = stats.withColumns({"tiny": tiny, "k": F.when(hold & ~tiny, k).otherwise(0)})
+        plan = plan.withColumn("n_calib", F.when(F.col("tiny"), F.col("n")).otherwise(F.col("k")))
+        if self.calib_fraction > 0.0:
+            cuts = hash_cut(rows, ["op"], "run_id", plan.select("op", "n", "k"), self.seed,
+                            largest=facts["largest"], n_groups=facts["ops"])
+            plan = materialise(plan.join(cuts, "op", "left"))
+        else:
+            none = F.lit(None).cast("string")
+            plan = plan.withColumns({"cut_hash": none, "cut_id": none})
+        marked = attach(rows, plan.select("op", "cut_hash", "cut_id", "tiny"), ["op"],
+                        row_bytes=160, rows=facts["ops"])
+        held = before_cut(F.col("run_id"), self.seed)
+        tagged = marked.withColumns({"_held": held, "_calib": held | F.col("tiny")})
+        tagged = tagged.drop("cut_hash", "cut_id", "tiny")
+        z = standard_columns(tagged, plan, ["op"], sensors, keep=["op", "_held"], rows=facts["ops"])
+        sums = gram(z, ["op", "_held"], [f"z{j}" for j in range(len(sensors))],
+                    quartic=self.cov == "ledoit_wolf")
+        side = lambda flag_: F.max(F.when(F.col("_held") == flag_, F.col("acc")))
+        per_op = sums.groupBy("op").agg(side(False).alias("acc"), side(True).alias("acc_held"))
+        table = plan.join(per_op, "op").withColumnRenamed("n", "n_all")
+        params, names = asdict(self), list(sensors)
+        models = per_row(table, lambda row: _solve_sums(row, params, names), _MODEL_SCHEMA)
+        return materialise(models), tagged
+
+    def _stepwise(self, rows, stats, sensors):
+        """Gaps, robust scaling or MCD: sensors, rows, scaling and sums in turn."""
+        plan, axis = self._choose_sensors(rows, stats, sensors)
+        tagged, plan = self._tag(rows, plan, axis)
+        train = tagged.where("_train")
+        scaler = self._scaler(train, plan, axis)
+        return self._models(train, scaler, axis), tagged, axis
+
+    def _choose_sensors(self, rows, stats, sensors):
+        """Kept sensors per operating point and the axis (their union, in column order)."""
         if self.drop_redundant_sensors:
             chosen = drop_redundant(
                 rows, ["op"], sensors, self.collinear_threshold, stats=stats
@@ -305,32 +375,23 @@ class Mahalanobis(Detector):
                 scaler.select("op", "n", "use"), columns, self.support_fraction, self.seed,
             )
             sums = sums.join(robust, "op", "left")
-        params = asdict(self)
-        names = list(axis)
-        schema = (
-            "op string, chain string, features_in array<string>, features_used array<string>, "
-            "center array<double>, scale array<double>, location array<double>, "
-            "a array<array<double>>, precision array<array<double>>, "
-            "thresholds map<string,double>, alpha double, dropped map<string,string>, "
-            f"diagnostics struct<{_DIAGNOSTICS.replace(' ', ':').replace(',:', ',')}>, "
-            "warnings array<string>, n_calib bigint, "
-            "use array<boolean>, shift array<double>, weight array<double>"
-        )
+        params, names = asdict(self), list(axis)
         table = scaler.drop("n").join(sums, "op")
-        return materialise(per_row(table, lambda row: _solve(row, params, names), schema))
+        return materialise(per_row(table, lambda row: _solve(row, params, names), _MODEL_SCHEMA))
 
-    def _thresholds(self, tagged, models, axis):
+    def _thresholds(self, tagged, models, axis, facts):
         if self.calib_fraction <= 0.0:
             found = models.select("op").limit(0).withColumns(
                 {"n": F.lit(0).cast("bigint"), "limit": F.lit(0.0)})
         else:
-            held = tagged.where("_calib").drop("_train", "_calib")
+            held = tagged.where("_calib").select("op", *[col(s) for s in axis])
             scored = distances(
                 held, models.withColumn("chain", F.lit(self.chain)), axis, ["chain"],
-                triangular=self.inverse == "cholesky",
+                triangular=self.inverse == "cholesky", rows=facts["ops"],
             ).withColumn("score", F.sqrt(F.greatest("d2", F.lit(0.0))))
             counts = models.select("op", "chain", F.col("n_calib").alias("n"))
-            found = score_quantile(scored, self.alpha, counts=counts).drop("chain")
+            found = score_quantile(
+                scored, self.alpha, counts=counts, largest=facts["largest"]).drop("chain")
         few = F.when(
             F.col("n") * F.lit(self.alpha) < 10,
             F.lit(f"empirical threshold at alpha={self.alpha:g} rests on fewer than 10 "
@@ -357,52 +418,112 @@ class Mahalanobis(Detector):
         return materialise(table.drop("n", "limit", "n_calib"))
 
 
+def _narrow_axis(models: DataFrame, axis: list[str]) -> tuple[DataFrame, list[str]]:
+    """Keep only sensors that some model uses, so that scoring reads no others."""
+    used = models.agg(*[
+        F.bool_or(F.array_contains("features_used", s)).alias(f"_{j}") for j, s in enumerate(axis)
+    ]).first()
+    kept = [j for j in range(len(axis)) if used[j]]
+    if len(kept) == len(axis):
+        return models, axis
+    p = len(axis)
+    pick = lambda name: F.array(*[F.col(name)[j] for j in kept])
+    cells = F.array(*[F.lit(i * p + j) for i in kept for j in kept])
+    return models.withColumns({
+        "use": pick("use"), "shift": pick("shift"),
+        "weight": F.transform(cells, lambda at: F.get("weight", at)),
+    }), [axis[j] for j in kept]
+
+
+def _solve_sums(row: dict, params: dict, axis: list[str]) -> dict:
+    """Model of one operating point from its training and held-out sums."""
+    p_all = len(axis)
+    acc = np.asarray(row["acc"], dtype=float)
+    held = row["acc_held"]
+    together = acc if held is None else acc + np.asarray(held, dtype=float)
+    live = np.asarray(row["use"], dtype=bool)
+    offered = set(row["features_in"])
+    if params["drop_redundant_sensors"]:
+        kept, dropped = first_of_each(
+            np.abs(correlation(together, p_all)), live, axis, params["collinear_threshold"])
+        dropped = {k: v for k, v in dropped.items() if k in offered}
+    else:
+        kept, dropped = [j for j, s in enumerate(axis) if s in offered], {}
+    if not kept:
+        raise ValueError(f"every sensor of {row['op']!r} is constant or redundant")
+    pick = np.asarray(kept)
+    n, total, cross, rest = unpack(acc, p_all)
+    # the sums are around the mean and in the spread of all rows; move to the training rows
+    unit = np.asarray(row["scale"], dtype=float)[pick]
+    about = np.asarray(row["center"], dtype=float)[pick]
+    shift = total[pick] / n
+    spread = np.diag(cross)[pick] / n - shift * shift
+    root = np.sqrt(np.where(live[pick] & (spread > 0), spread, 1.0))
+    if params["scaler"] == "none":
+        center, scale, grow = np.zeros(len(pick)), np.ones(len(pick)), unit
+    else:
+        center, scale, grow = about + unit * shift, unit * root, 1.0 / root
+    centred = (cross[np.ix_(pick, pick)] - n * np.outer(shift, shift)) * np.outer(grow, grow)
+    norm4 = (fourth_power(acc, p_all, pick, shift, 1.0 / grow)
+             if params["cov"] == "ledoit_wolf" else 0.0)
+    cov = estimate(params["cov"], n, np.zeros(len(pick)), centred, norm4)
+    location = (about + unit * shift - center) / scale
+    return _model_row(row, params, axis, pick, n, center, scale, location, cov, dropped)
+
+
 def _solve(row: dict, params: dict, axis: list[str]) -> dict:
-    """One operating point: covariance, factor and diagnostics from its packed sums."""
+    """Model of one operating point from the sums of its scaled training rows."""
     p_all = len(axis)
-    use = np.asarray(row["use"], dtype=bool)
-    pick = np.flatnonzero(use)
-    p = len(pick)
-    n, total, cross, norm4 = unpack(row["acc"], p_all)
-    warnings: list[str] = []
-    dropped = dict(row["dropped"] or {})
-    if dropped:
-        warnings.append("redundant sensors left out: " + ", ".join(
-            f"{k} ({v})" for k, v in sorted(dropped.items())))
-    lost = int(row["n_all"]) - int(row["n_ok"])
-    if lost:
-        warnings.append(f"incomplete rows ignored while fitting: {lost}")
-    if bool(row["tiny"]):
-        warnings.append("too few nominal runs to hold some out: the empirical threshold is in-sample")
-    name = params["cov"]
-    if name == "mcd" and n <= p:
-        warnings.append(f"{n} runs for {p} sensors are too few for MCD: Ledoit-Wolf used")
-        name = "ledoit_wolf"
+    pick = np.flatnonzero(np.asarray(row["use"], dtype=bool))
+    n, total, cross, rest = unpack(row["acc"], p_all)
     scale = np.asarray(row["scale"], dtype=float)[pick]
     center = np.asarray(row["scaler_center"], dtype=float)[pick]
     mean = np.asarray(row["mean"], dtype=float)[pick]
     offset = (mean - center) / scale
+    warnings: list[str] = []
+    name = params["cov"]
+    if name == "mcd" and n <= len(pick):
+        warnings.append(f"{n} runs for {len(pick)} sensors are too few for MCD: Ledoit-Wolf used")
+        name = "ledoit_wolf"
     if name == "mcd":
         if params["scaler"] != "robust":
             warnings.append("MCD with a scaler that is not robust: outliers still set the scale")
         cov = np.asarray(row["mcd_cov"], dtype=float).reshape(p_all, p_all)[np.ix_(pick, pick)]
         location = offset + np.asarray(row["mcd_mean"], dtype=float)[pick]
     else:
-        cov = estimate(name, n, total[pick], cross[np.ix_(pick, pick)], norm4)
+        cov = estimate(name, n, total[pick], cross[np.ix_(pick, pick)], float(rest[0]))
         location = offset + total[pick] / n
+    return _model_row(row, params, axis, pick, n, center, scale, location, cov,
+                      dict(row["dropped"] or {}), warnings)
+
+
+def _model_row(row, params, axis, pick, n, center, scale, location, cov, dropped, warnings=()):
+    """Factor, thresholds and diagnostics, laid out as a row of the model table."""
+    p_all, p = len(axis), len(pick)
+    notes: list[str] = []
+    if dropped:
+        notes.append("redundant sensors left out: " + ", ".join(
+            f"{k} ({v})" for k, v in sorted(dropped.items())))
+    lost = int(row["n_all"]) - int(row.get("n_ok", row["n_all"]))
+    if lost:
+        notes.append(f"incomplete rows ignored while fitting: {lost}")
+    if bool(row["tiny"]):
+        notes.append("too few nominal runs to hold some out: the empirical threshold is in-sample")
     got = factorise(cov, params["inverse"], params["ridge"], params["rcond"],
                     params["var_explained"])
-    warnings += got["warnings"]
+    notes += [*warnings, *got["warnings"]]
     if n < 10 * p:
-        warnings.append(f"few samples per sensor ({n / p:.1f}): prefer Ledoit-Wolf or fewer sensors")
+        notes.append(f"few samples per sensor ({n / p:.1f}): prefer Ledoit-Wolf or fewer sensors")
     if got["rank"] < p:
-        warnings.append(f"nominal covariance has rank {got['rank']} of {p}")
+        notes.append(f"nominal covariance has rank {got['rank']} of {p}")
     root = got["root"]
     k = len(root)
     weight = np.zeros((p_all, p_all))
-    weight[np.ix_(pick[:k] if k == p else np.arange(k), pick)] = root / scale
+    weight[np.ix_(pick if k == p else np.arange(k), pick)] = root / scale
     shift = np.zeros(p_all)
     shift[pick] = center + scale * location
+    use = np.zeros(p_all, dtype=bool)
+    use[pick] = True
     return {
         "op": row["op"], "chain": params["chain"], "features_in": list(row["features_in"]),
         "features_used": [axis[j] for j in pick], "center": center.tolist(),
@@ -417,7 +538,7 @@ def _solve(row: dict, params: dict, axis: list[str]) -> dict:
             "effective_rank": got["rank"], "condition_number": got["cond"],
             "spectrum": got["spectrum"].tolist(), "calibration_samples": None,
         },
-        "warnings": warnings, "n_calib": int(row["n_calib"]), "use": use.tolist(),
+        "warnings": notes, "n_calib": int(row["n_calib"]), "use": use.tolist(),
         "shift": shift.tolist(), "weight": weight.ravel().tolist(),
     }
 
@@ -430,7 +551,7 @@ class FittedMahalanobis(FittedDetector):
 
     def _distances(self, df: DataFrame, carry: list[str], parts: bool = False) -> DataFrame:
         return distances(df, self.table, list(self.axis), carry, contributions=parts,
-                         triangular=self.triangular)
+                         triangular=self.triangular, rows=self.n_models)
 
     def squared_distance(self, df: DataFrame) -> DataFrame:
         return self._distances(df, ["chain"])
@@ -514,4 +635,5 @@ def combine(models: list[FittedMahalanobis]) -> FittedMahalanobis:
     for t in tables[1:]:
         table = table.unionByName(t)
     same = all(m.axis == tuple(axis) and m.triangular for m in models)
-    return FittedMahalanobis(materialise(table), tuple(axis), same)
+    return FittedMahalanobis(
+        materialise(table), tuple(axis), None, same)

@@ -48,17 +48,19 @@ def attach(
     row_bytes: int = 256,
     how: str = "inner",
     limit: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi-join a reduced table onto ``df``.
 
-    ``small`` holds at most one row per key (or a few, one per chain) and should
-    be materialised, since it is counted here.  Within ``limit`` bytes it is
+    ``small`` holds at most one row per key (or a few, one per chain).  It is
+    counted here, so it should be materialised, unless the caller already knows
+    its size (``rows``).  Within ``limit`` bytes it is
     broadcast, which leaves the partitioning of ``df`` alone.  Beyond it both
     sides are salted: each key of ``df`` is spread over ``JOIN_SALTS`` reducers
     and ``small`` is replicated to match.
     """
     limit = BROADCAST_BYTES if limit is None else limit
-    if small.count() * row_bytes <= limit:
+    if (small.count() if rows is None else rows) * row_bytes <= limit:
         return df.join(F.broadcast(small), keys, how)
     salted = df.withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(JOIN_SALTS))
