@@ -163,18 +163,18 @@ def _(spark, d):
     return rows.select("run_id", rd("s1", 6).alias("s1"), rd("s2", 6).alias("s2"))
 
 
-_TOK = "list_filter(regexp_split_to_array(stem, '[^A-Za-z0-9]+'), t -> t <> '')"
+_TOK = "list_filter(regexp_split_to_array(stem, '[^A-Za-z0-9]+'), lambda t: t <> '')"
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _NOM, _FAIL = _LIST(catalog.NOMINAL_TOKENS), _LIST(catalog.FAILURE_TOKENS)
 _FILES = f"""paths AS ({duck(PATHS)}),
 stems AS (SELECT path, substr(path, 7) AS rel, regexp_extract(substr(path, 7), '^(.*)/[^/]*$', 1) AS dir,
   regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[.][^.]*$', '') AS stem FROM paths),
-toks AS (SELECT *, {_TOK} AS tokens, list_transform({_TOK}, t -> lower(t)) AS low FROM stems),
-tell AS (SELECT *, list_filter(low, t -> regexp_matches(t, 'failure|fault|guast|nominal'))[1] AS f FROM toks),
+toks AS (SELECT *, {_TOK} AS tokens, list_transform({_TOK}, lambda t: lower(t)) AS low FROM stems),
+tell AS (SELECT *, list_filter(low, lambda t: regexp_matches(t, 'failure|fault|guast|nominal'))[1] AS f FROM toks),
 kinds AS (SELECT *, CASE WHEN list_has_any(low, {_FAIL}) THEN 'failures'
   WHEN list_has_any(low, {_NOM}) THEN 'nominal'
   WHEN regexp_matches(f, 'failure|fault|guast') THEN 'failures' WHEN f IS NOT NULL THEN 'nominal' END AS kind FROM tell),
-keyed AS (SELECT *, array_to_string(list_filter(tokens, t -> NOT list_contains(
+keyed AS (SELECT *, array_to_string(list_filter(tokens, lambda t: NOT list_contains(
   list_concat(CASE WHEN kind = 'nominal' THEN {_NOM} ELSE {_FAIL} END, ['table', 'data', 'csv']), lower(t))), '_') AS key
   FROM kinds)"""
 
@@ -508,7 +508,7 @@ _BACK = ", ".join(
     for i in (4, 3, 2, 1))
 _PARTS = scored("ledoit_wolf") + f", back AS (SELECT *, {_BACK} FROM scored)"
 _PARTS_LONG = _PARTS + ", parts AS (" + " UNION ALL ".join(
-    f"SELECT run_id, op, side, class, score, thr, d2, '{s}' AS sensor, {i} AS at, d{i}*g{i} AS contribution FROM back"
+    f"SELECT run_id, op, side, class, score, thr, d2, '{s}' AS sensor, {i} AS ord, dl{i}*g{i} AS contribution FROM back"
     for i, s in zip(Q.J, S4)) + ") "
 
 
@@ -521,7 +521,7 @@ def _(spark, d):
 
 
 @query("top_contributors", _PARTS_LONG + f""", o AS (SELECT *, row_number() OVER (PARTITION BY run_id
-  ORDER BY contribution DESC, at) AS place FROM parts WHERE side = 'failure')
+  ORDER BY contribution DESC, ord) AS place FROM parts WHERE side = 'failure')
 SELECT run_id, any_value(sensor) FILTER (WHERE place = 1) AS sensor_1,
   {r('max(contribution/d2) FILTER (WHERE place = 1)', 3)} AS share_1,
   any_value(sensor) FILTER (WHERE place = 2) AS sensor_2,

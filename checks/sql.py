@@ -18,7 +18,7 @@ def runs_cte(body: str = RUNS) -> str:
 
 def fit_cte(cov: str, calib: float = 0.3, alpha: float = 0.01, rule: str = "empirical",
             chi2: float = 13.276704135987622, sensors: list[str] = S4) -> str:
-    """CTEs ``models`` and ``scored(run_id, op, side, class, intensity, d1.., y1.., d2, score,
+    """CTEs ``models`` and ``scored(run_id, op, side, class, intensity, dl1.., y1.., d2, score,
     thr, flagged)``: split, scale, covariance, Cholesky factor, forward substitution."""
     p = len(sensors)
     idx = range(1, p + 1)
@@ -56,9 +56,9 @@ def fit_cte(cov: str, calib: float = 0.3, alpha: float = 0.01, rule: str = "empi
     factor.sort(key=lambda f: f.split(" AS l")[1][::-1])
     factor = _row_order(factor)
     forward = ", ".join(
-        f"(d{i}" + "".join(f" - l{i}{k}*y{k}" for k in range(1, i)) + f")/l{i}{i} AS y{i}"
+        f"(dl{i}" + "".join(f" - l{i}{k}*y{k}" for k in range(1, i)) + f")/l{i}{i} AS y{i}"
         for i in idx)
-    deltas = ", ".join(f"({s[i]} - c{i})/t{i} - loc{i} AS d{i}" for i in idx)
+    deltas = ", ".join(f"({s[i]} - c{i})/t{i} - loc{i} AS dl{i}" for i in idx)
     d2 = " + ".join(f"y{i}*y{i}" for i in idx)
     held = f"rk <= round_even({calib}*n_op, 0)" if calib > 0 else "FALSE"
     return f"""
@@ -118,7 +118,7 @@ def edges_cte(source: str, keys: str, x: str, n_bins: int, min_count: int) -> st
 quants AS (SELECT {keys}, CASE {nb} {cases} END AS q FROM base GROUP BY {keys}),
 edges AS (SELECT {keys}, CASE WHEN len({distinct}) < 2 THEN [q[1], q[1] + 1e-12] ELSE {distinct} END AS e
   FROM quants),
-placed AS (SELECT base.*, e, len(list_filter(e[2:len(e)-1], v -> v <= {x})) AS bin
+placed AS (SELECT base.*, e, len(list_filter(e[2:len(e)-1], lambda v: v <= {x})) AS bin
   FROM base JOIN edges {using})"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,19 @@ from ..runtime import attach, materialise
 from .quantiles import grouped_quantiles, spread_fractions
 
 
+@dataclass
+class Edges:
+    """The edge table with the facts later steps would otherwise have to count."""
+
+    table: DataFrame
+    groups: int
+    largest: int
+
+
 def bin_edges(
     rows: DataFrame, keys: list[str], x: str, n_bins: int, min_count: int,
     weight: str | None = None, exact_rows: int | None = None,
-) -> DataFrame:
+) -> Edges:
     """``keys, n, edges ARRAY<DOUBLE>``: distinct quantile edges per group.
 
     A group of n rows gets max(1, min(n_bins, n // min_count)) bins before equal
@@ -26,15 +37,21 @@ def bin_edges(
         rows.groupBy(*keys).agg(F.sum(times).alias("n")).withColumn(
             "nb", F.greatest(F.lit(1), F.least(F.lit(n_bins), share)).cast("int"))
     )
-    wanted = [r[0] for r in sizes.select("nb").distinct().collect()]
-    fractions, start = spread_fractions(wanted or [1])
-    q = grouped_quantiles(rows, keys, x, fractions, sizes.select(*keys, "n"), exact_rows, weight)
+    facts = sizes.agg(
+        F.max("n").alias("largest"), F.count(F.lit(1)).alias("groups"),
+        F.collect_set("nb").alias("nb"),
+    ).first()
+    fractions, start = spread_fractions(facts["nb"] or [1])
+    q = grouped_quantiles(rows, keys, x, fractions, sizes.select(*keys, "n"), exact_rows, weight,
+                          facts["largest"] or 0)
     at = F.create_map(*[F.lit(v) for nb, s in start.items() for v in (nb, s + 1)])
     own = F.array_distinct(F.slice("q", at[F.col("nb")], F.col("nb") + 1))
     low = own[0]
     edges = F.when(F.size(own) < 2, F.array(low, low + F.lit(1e-12))).otherwise(own)
-    return materialise(
-        q.drop("n").join(sizes, keys).select(*keys, "n", edges.alias("edges")))
+    made = materialise(
+        q.drop("n").join(F.broadcast(sizes) if facts["groups"] < 100_000 else sizes, keys)
+        .select(*keys, "n", edges.alias("edges")))
+    return Edges(made, facts["groups"], facts["largest"] or 0)
 
 
 def bin_index(x: Column, edges: Column) -> Column:
@@ -43,9 +60,10 @@ def bin_index(x: Column, edges: Column) -> Column:
     return F.size(F.filter(inner, lambda e: e <= x))
 
 
-def assign_bins(rows: DataFrame, edges: DataFrame, keys: list[str], x: str) -> DataFrame:
+def assign_bins(rows: DataFrame, edges: Edges, keys: list[str], x: str) -> DataFrame:
     """Adds ``bin, lo, hi`` by comparing with the group's edges (no shuffle)."""
-    joined = attach(rows, edges.select(*keys, "edges"), keys, row_bytes=512)
+    joined = attach(rows, edges.table.select(*keys, "edges"), keys, row_bytes=512,
+                    rows=edges.groups)
     joined = joined.withColumn("bin", bin_index(F.col(x), F.col("edges")))
     return joined.withColumns({
         "lo": F.col("edges")[F.col("bin")], "hi": F.col("edges")[F.col("bin") + 1],
@@ -62,8 +80,8 @@ def binned_stats(
     edges = bin_edges(rows, keys, "_x", n_bins, min_count, exact_rows=exact_rows)
     placed = assign_bins(rows, edges, keys, "_x")
     cell = [*keys, "bin", "lo", "hi"]
-    sizes = None if exact_rows is not None else edges.select(*keys, "n")
-    q = lambda v, ps: grouped_quantiles(placed, cell, v, ps, sizes, exact_rows)
+    q = lambda v, ps: grouped_quantiles(
+        placed, cell, v, ps, exact_rows=exact_rows, largest=edges.largest)
     centers = q("_x", [0.5]).select(*cell, F.col("q")[0].alias("center"))
     spread = q("_y", [0.25, 0.5, 0.75])
     return spread.join(centers, cell).select(

@@ -100,8 +100,8 @@ def empirical_pod(
     placed = assign_bins(rows, edges, keys, "intensity")
     cell = [*keys, "bin", "lo", "hi"]
     sums = placed.groupBy(*cell).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    sizes = None if exact_rows is not None else edges.select(*keys, "n")
-    middle = grouped_quantiles(placed, cell, "intensity", [0.5], sizes, exact_rows, "n")
+    middle = grouped_quantiles(
+        placed, cell, "intensity", [0.5], exact_rows=exact_rows, weight="n", largest=edges.largest)
     both = sums.join(middle.select(*cell, F.col("q")[0].alias("center")), cell)
     lo, hi = wilson(F.col("k"), F.col("n"), confidence)
     return both.select(
@@ -144,8 +144,7 @@ def fit_pod(
     crossings = empirical_crossing(bins, keys, {"i50_emp": 0.5, "i90_emp": 0.9})
     seen = totals.where("detected > 0").select(*keys)
     fits = fit_groups(
-        materialise(attach(cells.where(usable), seen, keys)), keys, n_boot, confidence, seed,
-        cells_per_task,
+        attach(cells.where(usable), seen, keys), keys, n_boot, confidence, seed, cells_per_task,
     )
     table = totals.join(crossings, keys, "left").join(fits, keys, "left")
     if settings:

@@ -22,7 +22,9 @@ from .quantiles import order_values
 
 START_ROWS = 1500
 STARTS = 30
-MAX_STEPS = 30
+MAX_STEPS = 10
+#: a step that lowers the log determinant by less than this ends the search
+MIN_GAIN = 1e-3
 
 _STATE = ("op string, chain string, use array<boolean>, shift array<double>, "
           "weight array<double>, cov array<double>, logdet double, singular boolean")
@@ -49,24 +51,36 @@ def _support(n: int, p: int, fraction: float | None) -> int:
     return min(max(h, 2), n)
 
 
+def _concentrate(z: np.ndarray, part: np.ndarray, h: int, steps: int) -> tuple:
+    """Up to ``steps`` concentration steps in memory: (logdet, mean, cov, rows kept)."""
+    last = np.inf
+    p = z.shape[1]
+    for _ in range(steps):
+        mean, cov = part.mean(axis=0), np.cov(part, rowvar=False, bias=True).reshape(p, p)
+        sign, logdet = np.linalg.slogdet(cov)
+        if sign > 0 and len(part) >= h and last - logdet < 1e-9:
+            break
+        last = logdet if sign > 0 and len(part) >= h else np.inf
+        gap = z - mean
+        d2 = np.einsum("ij,jk,ik->i", gap, np.linalg.pinv(cov), gap)
+        part = z[np.argpartition(d2, h - 1)[:h]]
+    mean, cov = part.mean(axis=0), np.cov(part, rowvar=False, bias=True).reshape(p, p)
+    sign, logdet = np.linalg.slogdet(cov)
+    return (logdet if sign > 0 else np.inf), mean, cov, part
+
+
 def _best_start(z: np.ndarray, fraction: float | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Short searches from random small subsets; the best one is run to its end."""
     n, p = z.shape
     h = _support(n, p, fraction)
     rng = np.random.default_rng(seed)
-    best = (np.inf, z.mean(axis=0), np.cov(z, rowvar=False, bias=True).reshape(p, p))
-    for _ in range(STARTS):
-        part = z[rng.choice(n, size=min(p + 1, n), replace=False)]
-        for _ in range(6):
-            mean = part.mean(axis=0)
-            cov = np.cov(part, rowvar=False, bias=True).reshape(p, p)
-            gap = z - mean
-            d2 = np.einsum("ij,jk,ik->i", gap, np.linalg.pinv(cov), gap)
-            part = z[np.argpartition(d2, h - 1)[:h]]
-        cov = np.cov(part, rowvar=False, bias=True).reshape(p, p)
-        sign, logdet = np.linalg.slogdet(cov)
-        if sign > 0 and logdet < best[0]:
-            best = (logdet, part.mean(axis=0), cov)
-    return best[1], best[2]
+    tries = [
+        _concentrate(z, z[rng.choice(n, size=min(p + 1, n), replace=False)], h, 4)
+        for _ in range(STARTS)
+    ]
+    best = min(tries, key=lambda t: t[0])
+    _, mean, cov, _ = _concentrate(z, best[3], h, 200)
+    return mean, cov
 
 
 def minimum_covariance_determinant(
@@ -85,7 +99,10 @@ def minimum_covariance_determinant(
         .otherwise(F.floor(F.lit(fraction or 0.0) * F.col("n"))).cast("bigint").alias("h"),
     ))
     groups = groups.withColumn("h", F.least(F.greatest("h", F.lit(2)), "n"))
-    rows = attach(z, groups.select("op"), ["op"])
+    known = groups.agg(F.count(F.lit(1)).alias("ops"), F.max("n").alias("largest")).first()
+    ops, largest = known["ops"], known["largest"] or 0
+    # every step reads these rows again: store them once
+    rows = materialise(attach(z, groups.select("op"), ["op"], rows=ops))
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
         use = np.asarray(pdf["use"].iloc[0], dtype=bool)
@@ -113,18 +130,22 @@ def minimum_covariance_determinant(
         return materialise(per_row(before.select("op", "use").join(sums, "op"), step, _STATE))
 
     def scored(current: DataFrame) -> DataFrame:
-        return distances(rows, current, columns, [])
+        return distances(rows, current, columns, [], rows=ops)
+
+    def value_at(d: DataFrame, place: DataFrame, name: str) -> DataFrame:
+        v = d.select("op", F.col("d2").alias("_v"), F.lit(1).cast("bigint").alias("_c"))
+        return materialise(order_values(v, ["op"], place, largest).select(
+            "op", F.col("x").alias(name)))
 
-    position = groups.select(
-        "op", "n", F.lit(0).alias("i"), (F.col("h") - 1).cast("double").alias("pos"))
+    place = lambda pos: materialise(groups.select(
+        "op", "n", F.lit(0).alias("i"), pos.cast("double").alias("pos")))
+    position = place(F.col("h") - 1)
     for _ in range(MAX_STEPS):
         d = scored(state)
-        cut = materialise(order_values(
-            d.select("op", F.col("d2").alias("_v"), F.lit(1).cast("bigint").alias("_c")), ["op"], materialise(position)
-        ).select("op", F.col("x").alias("_cut")))
-        new = refit(attach(d, cut, ["op"]).where(F.col("d2") <= F.col("_cut")), state)
+        cut = value_at(d, position, "_cut")
+        new = refit(attach(d, cut, ["op"], rows=ops).where(F.col("d2") <= F.col("_cut")), state)
         moved = new.alias("a").join(state.alias("b"), "op").where(
-            ~F.col("a.singular") & (F.col("a.logdet") < F.col("b.logdet") - 1e-9))
+            ~F.col("a.singular") & (F.col("a.logdet") < F.col("b.logdet") - MIN_GAIN))
         stop = moved.isEmpty()
         state = new
         if stop:
@@ -132,10 +153,7 @@ def minimum_covariance_determinant(
 
     # consistency at the normal distribution, then reweighting
     d = scored(state)
-    middle = groups.select("op", "n", F.lit(0).alias("i"), ((F.col("n") - 1) / 2.0).alias("pos"))
-    med = materialise(order_values(
-        d.select("op", F.col("d2").alias("_v"), F.lit(1).cast("bigint").alias("_c")), ["op"], materialise(middle)
-    ).select("op", F.col("x").alias("_med")))
+    med = value_at(d, place((F.col("n") - 1) / 2.0), "_med")
     ps = [r[0] for r in groups.select("p").distinct().collect()]
     pick = lambda q: F.create_map(
         *[x for k in ps for x in (F.lit(k), F.lit(chi2_quantile(q, k)))])[F.col("p")]
@@ -144,5 +162,5 @@ def minimum_covariance_determinant(
             "mcd_mean": F.lit(None).cast("array<double>"), "mcd_cov": F.lit(None).cast("array<double>")})
     limit = materialise(groups.join(med, "op").select(
         "op", (F.col("_med") / pick(0.5) * pick(0.975)).alias("_cut")))
-    final = refit(attach(d, limit, ["op"]).where(F.col("d2") < F.col("_cut")), state)
+    final = refit(attach(d, limit, ["op"], rows=ops).where(F.col("d2") < F.col("_cut")), state)
     return final.select("op", F.col("shift").alias("mcd_mean"), F.col("cov").alias("mcd_cov"))

@@ -88,11 +88,18 @@ def _narrowed(
     )
 
 
-def order_values(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+def order_values(
+    rows: DataFrame, keys: list[str], wanted: DataFrame, largest: int | None = None
+) -> DataFrame:
     """Values at fractional 0-based positions: ``wanted`` is ``keys, n, i, pos``.
 
-    ``rows`` is ``keys, _v, _c`` without NULLs (``_c``: rows it stands for).  Returns ``keys, n, i, x``.
+    ``rows`` is ``keys, _v, _c`` without NULLs (``_c``: rows it stands for).  Returns
+    ``keys, n, i, x``.  ``largest`` bounds the group sizes where the caller knows them.
     """
+    if largest is not None and largest <= FINISH_ROWS:
+        none = F.lit(None).cast("double")
+        return _finish(rows, keys, wanted.select(
+            "*", none.alias("lo"), none.alias("hi"), F.lit(0).cast("bigint").alias("below")), True)
     bounds = materialise(
         attach(rows, wanted.select(*keys).distinct(), keys)
         .groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
@@ -138,12 +145,15 @@ def _narrow_once(rows: DataFrame, keys: list[str], active: DataFrame) -> DataFra
     )
 
 
-def _finish(rows: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
-    open_ = brackets.where(F.col("lo") < F.col("hi"))
+def _finish(
+    rows: DataFrame, keys: list[str], brackets: DataFrame, whole: bool = False
+) -> DataFrame:
+    open_ = brackets if whole else brackets.where(F.col("lo") < F.col("hi"))
     v = F.col("_v")
+    inside = F.lit(True) if whole else (v >= F.col("lo")) & (v <= F.col("hi"))
     values = (
         attach(rows, open_, keys, row_bytes=256)
-        .where((v >= F.col("lo")) & (v <= F.col("hi")))
+        .where(inside)
         .groupBy(*keys, "n", "i", "pos", "below")
         .agg(F.array_sort(F.flatten(F.collect_list(
             F.array_repeat("_v", F.col("_c").cast("int"))))).alias("vs"))
@@ -153,6 +163,8 @@ def _finish(rows: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
         *keys, "n", "i",
         _interpolate(at(F.floor("pos")), at(F.ceil("pos")), F.col("pos")).alias("x"),
     )
+    if whole:
+        return solved
     tied = brackets.where(F.col("lo") == F.col("hi")).select(
         *keys, "n", "i", F.col("lo").alias("x")
     )
