@@ -130,7 +130,7 @@ def fit_pod(
 ) -> Pod:
     """POD of every group of ``frame`` (``keys, intensity, detected, threshold, alpha``)."""
     cells = detection_cells(frame, keys)
-    settings = [c for c in ("threshold", "alpha") if c in frame.columns]
+    settings = [c for c in ("threshold", "alpha") if c in frame.columns and c not in keys]
     x = F.col("intensity")
     usable = x > 0
     on = lambda c: F.sum(F.when(usable, c).otherwise(0))

@@ -79,8 +79,8 @@ def duplicate_rows(df: DataFrame, keys: list[str], sensors: list[str]) -> DataFr
     repeated run does not load one task.
     """
     rows = df.select(*keys, *[F.nanvl(number(df, s), F.lit(None)).alias(s) for s in sensors])
-    groups = rows.groupBy(*keys, *[col(s) for s in sensors]).agg(F.count(F.lit(1)).alias("c"))
-    return groups.groupBy(*keys).agg(F.sum(F.col("c") - 1).cast("bigint").alias("duplicate_rows"))
+    groups = rows.groupBy(*keys, *[col(s) for s in sensors]).agg(F.count(F.lit(1)).alias("_copies"))
+    return groups.groupBy(*keys).agg(F.sum(F.col("_copies") - 1).cast("bigint").alias("duplicate_rows"))
 
 
 def check(

@@ -99,18 +99,18 @@ def order_values(
     if largest is not None and largest <= FINISH_ROWS:
         none = F.lit(None).cast("double")
         return _finish(rows, keys, wanted.select(
-            "*", none.alias("lo"), none.alias("hi"), F.lit(0).cast("bigint").alias("below")), True)
+            "*", none.alias("_lo"), none.alias("_hi"), F.lit(0).cast("bigint").alias("_below")), True)
     bounds = materialise(
         attach(rows, wanted.select(*keys).distinct(), keys)
-        .groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        .groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
     state = materialise(
         wanted.join(bounds, keys).select(
-            *keys, "n", "i", "pos", "lo", "hi",
-            F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"),
+            *keys, "n", "i", "pos", "_lo", "_hi",
+            F.lit(0).cast("bigint").alias("_below"), F.col("n").alias("_inside"),
         )
     )
-    done = (F.col("lo") == F.col("hi")) | (F.col("inside") <= FINISH_ROWS)
+    done = (F.col("_lo") == F.col("_hi")) | (F.col("_inside") <= FINISH_ROWS)
     finished: list[DataFrame] = []
     while True:
         finished.append(state.where(done))
@@ -123,50 +123,50 @@ def order_values(
 
 def _narrow_once(rows: DataFrame, keys: list[str], active: DataFrame) -> DataFrame:
     """One pass: histogram each open bracket and keep the bins holding the ranks."""
-    v, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
     share = v / (hi - lo) - lo / (hi - lo)
     slot = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(share * F.lit(BINS)))).cast("int")
     hist = (
         attach(rows, active, keys, row_bytes=256)
         .where((v >= lo) & (v <= hi))
-        .groupBy(*keys, "i", "n", "pos", "below", slot.alias("slot"))
-        .agg(F.sum("_c").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        .groupBy(*keys, "i", "n", "pos", "_below", slot.alias("_slot"))
+        .agg(F.sum("_c").alias("_count"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
-    run = Window.partitionBy(*keys, "i").orderBy("slot").rowsBetween(
+    run = Window.partitionBy(*keys, "i").orderBy("_slot").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    hist = hist.withColumn("end", F.col("below") + F.sum("c").over(run))
-    first = F.col("end") - F.col("c")
-    holds = lambda rank: (rank >= first) & (rank < F.col("end"))
+    hist = hist.withColumn("_end", F.col("_below") + F.sum("_count").over(run))
+    first = F.col("_end") - F.col("_count")
+    holds = lambda rank: (rank >= first) & (rank < F.col("_end"))
     kept = hist.where(holds(F.floor("pos")) | holds(F.ceil("pos")))
     return kept.groupBy(*keys, "n", "i", "pos").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.min(first).cast("bigint").alias("below"), F.sum("c").alias("inside"),
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
+        F.min(first).cast("bigint").alias("_below"), F.sum("_count").alias("_inside"),
     )
 
 
 def _finish(
     rows: DataFrame, keys: list[str], brackets: DataFrame, whole: bool = False
 ) -> DataFrame:
-    open_ = brackets if whole else brackets.where(F.col("lo") < F.col("hi"))
+    open_ = brackets if whole else brackets.where(F.col("_lo") < F.col("_hi"))
     v = F.col("_v")
-    inside = F.lit(True) if whole else (v >= F.col("lo")) & (v <= F.col("hi"))
+    inside = F.lit(True) if whole else (v >= F.col("_lo")) & (v <= F.col("_hi"))
     values = (
         attach(rows, open_, keys, row_bytes=256)
         .where(inside)
-        .groupBy(*keys, "n", "i", "pos", "below")
+        .groupBy(*keys, "n", "i", "pos", "_below")
         .agg(F.array_sort(F.flatten(F.collect_list(
             F.array_repeat("_v", F.col("_c").cast("int"))))).alias("vs"))
     )
-    at = lambda rank: F.col("vs")[(rank - F.col("below")).cast("int")]
+    at = lambda rank: F.col("vs")[(rank - F.col("_below")).cast("int")]
     solved = values.select(
         *keys, "n", "i",
         _interpolate(at(F.floor("pos")), at(F.ceil("pos")), F.col("pos")).alias("x"),
     )
     if whole:
         return solved
-    tied = brackets.where(F.col("lo") == F.col("hi")).select(
-        *keys, "n", "i", F.col("lo").alias("x")
+    tied = brackets.where(F.col("_lo") == F.col("_hi")).select(
+        *keys, "n", "i", F.col("_lo").alias("x")
     )
     return solved.unionByName(tied)
 
