@@ -705,7 +705,7 @@ _ALPHAS = [0.05, 0.01, 0.001]
 
 
 @query("alpha_tradeoff", Q.recursive(scored("ledoit_wolf") + f""", lim AS ({" UNION ALL ".join(
-    f"SELECT op, {a!r} AS alpha, quantile_cont(score, {1.0 - a!r}) AS cut FROM scored WHERE side = 'nominal' GROUP BY op" for a in _ALPHAS)}),
+    f"SELECT op, {a!r}e0 AS alpha, quantile_cont(score, {1.0 - a!r}) AS cut FROM scored WHERE side = 'nominal' GROUP BY op" for a in _ALPHAS)}),
 frame AS (SELECT op, alpha, class, abs(intensity) AS x, score > cut AS hit FROM scored JOIN lim USING (op) WHERE side = 'failure')"""
     + Q.pod_cte("op, alpha, class")) + f""" SELECT op, CAST(alpha AS DOUBLE) AS alpha, {r('median(i90)', 3)} AS median_i90,
   {r('max(i90)', 3)} AS worst_i90, count(i90) AS n_finite, count(*) AS n_classes FROM pod GROUP BY op, alpha""")
