@@ -388,7 +388,7 @@ class Mahalanobis(Detector):
             scored = distances(
                 held, models.withColumn("chain", F.lit(self.chain)), axis, ["chain"],
                 triangular=self.inverse == "cholesky", rows=facts["ops"],
-            ).withColumn("score", F.sqrt(F.greatest("d2", F.lit(0.0))))
+            ).withColumn("score", F.sqrt("d2"))
             counts = models.select("op", "chain", F.col("n_calib").alias("n"))
             found = score_quantile(
                 scored, self.alpha, counts=counts, largest=facts["largest"]).drop("chain")
@@ -558,7 +558,7 @@ class FittedMahalanobis(FittedDetector):
 
     def score(self, df: DataFrame) -> DataFrame:
         joined = self._distances(df, ["chain", "threshold"])
-        return joined.withColumn("score", F.sqrt(F.greatest("d2", F.lit(0.0)))).drop("d2")
+        return joined.withColumn("score", F.sqrt("d2")).drop("d2")
 
     def contributions(self, df: DataFrame, normalize: bool = False) -> DataFrame:
         """Adds ``features_used`` and ``contribution ARRAY<DOUBLE>`` aligned with it."""
@@ -572,7 +572,7 @@ class FittedMahalanobis(FittedDetector):
             share = F.col("_mine")
         return (
             joined.withColumn("_mine", mine).withColumn("contribution", share)
-            .withColumn("score", F.sqrt(F.greatest("d2", F.lit(0.0)))).drop("parts", "_mine")
+            .withColumn("score", F.sqrt("d2")).drop("parts", "_mine")
         )
 
     def contribution_rows(self, df: DataFrame, carry: list[str] | None = None) -> DataFrame:
