@@ -216,9 +216,13 @@ class Mahalanobis(Detector):
         facts = stats.agg(
             F.count(F.lit(1)).alias("ops"), F.max("n").alias("largest"), F.min("n").alias("least"),
             F.bool_or(F.exists("cnt", lambda c: c < F.col("n"))).alias("gaps"),
+            F.min(F.struct(F.size(F.filter("use", lambda u: u)), "op")).alias("poorest"),
         ).first()
         if not facts["ops"] or facts["least"] < 2:
             raise ValueError("at least 2 usable nominal runs are required")
+        # the first sensor with any spread is always kept
+        if self.drop_redundant_sensors and facts["poorest"][0] == 0:
+            raise ValueError(f"every sensor of {facts['poorest'][1]!r} is constant or redundant")
         if facts["gaps"] or self.scaler == "robust" or self.cov == "mcd":
             models, tagged, axis = self._stepwise(rows, stats, list(sensors))
         else:
@@ -303,9 +307,6 @@ class Mahalanobis(Detector):
             .withColumn("dropped", F.map_filter(
                 "dropped", lambda k, v: F.array_contains("features_in", k)))
         )
-        empty = plan.where(F.size("kept") == 0).first()
-        if empty is not None:
-            raise ValueError(f"every sensor of {empty['op']!r} is constant or redundant")
         used = {r[0] for r in plan.select(F.explode("kept")).distinct().collect()}
         axis = [s for s in sensors if s in used]
         mask = F.array(*[F.array_contains("kept", s) for s in axis])
@@ -449,8 +450,6 @@ def _solve_sums(row: dict, params: dict, axis: list[str]) -> dict:
         dropped = {k: v for k, v in dropped.items() if k in offered}
     else:
         kept, dropped = [j for j, s in enumerate(axis) if s in offered], {}
-    if not kept:
-        raise ValueError(f"every sensor of {row['op']!r} is constant or redundant")
     pick = np.asarray(kept)
     n, total, cross, rest = unpack(acc, p_all)
     # the sums are around the mean and in the spread of all rows; move to the training rows
