@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import fingerprints, mixing, packing, tokens
 from .shared import documents
 
 
@@ -12,12 +12,22 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op9_token_counts": op9_token_counts,
+    "op10_source_mixing": op10_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
