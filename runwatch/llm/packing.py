@@ -167,6 +167,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     as empty ones, a NULL id stays NULL, repeated rows are packed each for itself, other columns
     of ``docs`` are not read.
     """
-    pieces = encode_pieces(docs, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    # stored before the range partitioning, which reads its input twice
+    pieces = shared.stored(
+        encode_pieces(docs, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return assign(pieces, capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
