@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, minhash, mixing, multiindex, packing, tokens
+from . import fingerprints, hmm, minhash, mixing, multiindex, packing, tokens
 from .shared import documents
 
 
@@ -20,6 +20,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model(documents(spark, sf_dir))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(documents(spark, sf_dir))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_hmm_scoring": op6_hmm_scoring,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
