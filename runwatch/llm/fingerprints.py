@@ -112,6 +112,12 @@ def near_fingerprints(found: DataFrame, radius: int = 3, blocks: int = 5) -> Dat
     return pairs.where(F.col("distance") <= radius).distinct()
 
 
+def _same(a: Column, b: Column) -> Column:
+    """Equal ids, NULL included, in a form that stays out of the keys of a join."""
+    known = [F.coalesce(c, F.lit(-1 << 63)) for c in (a, b)]
+    return known[0].bitwiseXOR(known[1]) == 0
+
+
 def edit_report(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Fingerprints of all texts, of edited texts, and how alike they are.
 
@@ -121,7 +127,7 @@ def edit_report(docs: DataFrame, words: int = WORDS) -> DataFrame:
     agree in id and text take one place in the order and get the same result each.  Returns
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("_h", F.xxhash64("doc_id", "text"))
     narrow = base.groupBy("doc_id", "_h", F.length("text").cast("long").alias("n_chars")).agg(
         F.count("*").alias("_rows"))
@@ -130,12 +136,14 @@ def edit_report(docs: DataFrame, words: int = WORDS) -> DataFrame:
         "_k", F.floor(F.col("n_chars") / 3).cast("int")))
     wanted = line.select(F.col("next_doc_id"), F.col("next__h"), F.col("doc_id").alias("_to"),
                          F.col("_h").alias("_to_h"), "_k")
+    # rows meet on the content hash alone, the id is checked on top of it: so the votes below
+    # find their rows where the join left them and need no further exchange
     supply = base.join(wanted, (base["_h"] == wanted["next__h"])
-                       & base["doc_id"].eqNullSafe(wanted["next_doc_id"]))
+                       & _same(base["doc_id"], wanted["next_doc_id"]))
     heads = supply.select("_to", "_to_h", F.col("_k"), F.substring(
         F.col("text"), F.lit(1), F.col("_k")).alias("_head"))
-    heads = heads.groupBy("_to", "_to_h", "_k").agg(F.first("_head").alias("_head"))
-    both = base.join(heads, (base["_h"] == heads["_to_h"]) & base["doc_id"].eqNullSafe(heads["_to"]))
+    heads = heads.repartition("_to_h").groupBy("_to", "_to_h", "_k").agg(F.first("_head").alias("_head"))
+    both = base.join(heads, (base["_h"] == heads["_to_h"]) & _same(base["doc_id"], heads["_to"]))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("_k")), F.col("_head"))
     both = both.select("doc_id", "_h", "text", edited.alias("_edited"))
     kinds = both.withColumn("_sha", F.sha2(F.col("_edited").cast("binary"), 256)).select(
@@ -145,10 +153,10 @@ def edit_report(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for kind, name in ((0, "own"), (1, "edit")) for k in range(words)]
     found = shared.stored(found.groupBy("doc_id", "_h", "_sha").agg(*pick))
     whole = line.join(found.withColumnsRenamed({"doc_id": "_d", "_h": "_g"}),
-                      (F.col("_h") == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+                      (F.col("_h") == F.col("_g")) & _same(F.col("doc_id"), F.col("_d")))
     after = found.select(F.col("doc_id").alias("_n"), F.col("_h").alias("_m"),
                          *[F.col(f"_own{k}").alias(f"_next{k}") for k in range(words)])
-    whole = whole.join(after, (F.col("next__h") == F.col("_m")) & F.col("next_doc_id").eqNullSafe(F.col("_n")))
+    whole = whole.join(after, (F.col("next__h") == F.col("_m")) & _same(F.col("next_doc_id"), F.col("_n")))
     own, edit, then = ([F.col(f"_{n}{k}") for k in range(words)] for n in ("own", "edit", "next"))
     return whole.select(
         "doc_id", "n_chars", F.col("_sha").alias("edited_sha256"), as_text(own).alias("fingerprint"),
