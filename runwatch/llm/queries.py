@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, hmm, minhash, mixing, multiindex, packing, tokens
-from .shared import documents
+from . import fingerprints, hmm, minhash, mixing, multiindex, packing, quality, tokens, toxicity
+from .shared import documents, labels
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -28,6 +34,10 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(documents(spark, sf_dir))
 
 
+def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir))
 
@@ -38,10 +48,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op3_toxicity_mil": op3_toxicity_mil,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_hmm_scoring": op6_hmm_scoring,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_quality_pu": op8_quality_pu,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
 }
