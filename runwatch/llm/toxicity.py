@@ -20,90 +20,122 @@ from .hmm import Lookup
 
 #: the weights are fitted on about so many labelled texts, picked by a hash of their id
 SAMPLE = 12_000
-#: words that occur in fewer sampled texts have no weight
-MIN_TEXTS = 4
+#: features kept after screening, at most
+FEATURES = 20_000
+#: a feature must occur in so many toxic texts of the sample, and so many times as often as in others
+MIN_TEXTS, MIN_RATIO = 4, 3.0
+#: a word counts as itself and by its beginnings of so many bytes
+HEADS = (4, 5, 6)
 LIMIT = 0.3
 _BREAKS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 
 
 def bag(data: np.ndarray, at: np.ndarray):
-    """(word hash, sentence number, text number) of all words of a batch, and sentence borders.
+    """(features by word, sentence number, text number) of all words, and sentence numbers of bytes.
 
     Sentence numbers run through the batch; a new text begins a new sentence.
     """
     step = _BREAKS[data].astype(np.int64)
     number = np.cumsum(step) - step
-    hashes, sentences, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for h, start, _, owner in words.words(data, at, words.LETTERS):
-        hashes.append(h)
+    found, sentences, owners = [np.zeros((1 + len(HEADS), 0), np.uint64)], [np.zeros(0, np.int64)], [
+        np.zeros(0, np.int64)]
+    for h, start, _, owner in words.words(data, at, words.LETTERS, heads=HEADS):
+        found.append(h)
         sentences.append(number[start] + owner)
         owners.append(owner)
-    return np.concatenate(hashes), np.concatenate(sentences), np.concatenate(owners), number
+    return np.concatenate(found, axis=1), np.concatenate(sentences), np.concatenate(owners), number
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> pd.DataFrame:
-    """(toxic, words, sentences) of about ``sample`` labelled texts; the bound holds at any size."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long"), F.col("toxic").cast("int")).distinct()
-    total = max(known.count(), 1)
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(np.ceil(1e6 * min(1.0, sample / total))))
-    picked = docs.join(F.broadcast(known.where(pick)), "doc_id")  # about `sample` narrow rows
+def _groups(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        data, at = words.texts_of(batch.column("text"))
+        for lo, hi in words.groups_of_bytes(at, 2 * words.BLOCK):
+            part, base = data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
+            yield batch, lo, hi - lo, base, bag(part, base)
+
+
+def _hits(find: Lookup, features: np.ndarray, sentence: np.ndarray, owner: np.ndarray):
+    """Distinct (sentence number, feature) and the sentences that occur at all, with their text."""
+    seen, first = np.unique(sentence, return_index=True)
+    cells = []
+    for row in features:
+        slot = find(row)
+        hit = np.flatnonzero(slot >= 0)
+        cells.append(np.searchsorted(seen, sentence[hit]) * (len(find.keys) + 1) + slot[hit])
+    cell = np.unique(np.concatenate(cells))
+    return cell // (len(find.keys) + 1), cell % (len(find.keys) + 1), seen, owner[first]
+
 
+def screen(picked: DataFrame) -> np.ndarray:
+    """Sorted hashes of the features that toxic texts of the sample have more often than others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = words.texts_of(batch.column("text"))
-            for lo, hi in words.groups_of_bytes(at, 4 * words.BLOCK):
-                h, sentence, owner, _ = bag(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
-                cut = np.searchsorted(owner, np.arange(hi - lo + 1))
+        for batch, lo, n, _, (features, _, owner, _) in _groups(batches):
+            toxic = batch.column("toxic").slice(lo, n).to_numpy() > 0
+            for row in features:
+                keep = row != 0
+                pair = np.unique(np.stack([row[keep], owner[keep].astype(np.uint64)]), axis=1)
+                key, index = np.unique(pair[0], return_inverse=True)
+                positive = np.bincount(index, toxic[pair[1].astype(np.int64)], len(key))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("toxic").slice(lo, hi - lo),
-                     pa.array([h[cut[i]:cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary()),
-                     pa.array([(sentence[cut[i]:cut[i + 1]] - (sentence[cut[i]] if cut[i] < cut[i + 1] else 0))
-                               .astype(np.int32).tobytes() for i in range(hi - lo)], pa.binary())],
-                    ["toxic", "words", "sentences"])
+                    [pa.array(key.view(np.int64)), pa.array(positive.astype(np.int64)),
+                     pa.array(np.bincount(index, minlength=len(key)).astype(np.int64))], ["f", "bad", "n"])
 
-    return picked.select("toxic", "text").mapInArrow(run, "toxic int, words binary, sentences binary").toPandas()
+    totals = picked.agg(F.count("*"), F.sum("toxic")).first()
+    bad, rest = int(totals[1] or 0), int(totals[0]) - int(totals[1] or 0)
+    counts = picked.select("toxic", "text").mapInArrow(run, "f long, bad long, n long")
+    counts = counts.groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    lift = (F.col("bad") / max(bad, 1)) / ((F.col("n") - F.col("bad") + 0.5) / max(rest, 1))
+    chosen = counts.where((F.col("bad") >= MIN_TEXTS) & (lift >= MIN_RATIO))
+    top = chosen.orderBy(F.col("bad").desc(), lift.desc(), "f").limit(FEATURES).select("f").toPandas()
+    return np.sort(top["f"].to_numpy(np.int64).view(np.uint64))
 
 
-def fit(rows: pd.DataFrame, rounds: int = 150, penalty: float = 2e-4):
-    """(sorted word hashes, weights, bias) by proximal Adam on the noisy-or likelihood."""
-    h = [np.frombuffer(v, np.uint64) for v in rows["words"]]
-    s = [np.frombuffer(v, np.int32).astype(np.int64) for v in rows["sentences"]]
+def _bags(picked: DataFrame, key: np.ndarray) -> pd.DataFrame:
+    """(toxic, sentences, sentence, feature): what is left of a sampled text after screening."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Lookup(key)
+        for batch, lo, n, _, (features, sentence, owner, _) in _groups(batches):
+            place, slot, seen, text = _hits(find, features, sentence, owner)
+            border = np.searchsorted(text, np.arange(n + 1))
+            cut = np.searchsorted(text[place], np.arange(n + 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("toxic").slice(lo, n), pa.array(np.maximum(np.diff(border), 1)),
+                 pa.array([(place[cut[i]:cut[i + 1]] - border[i]).astype(np.int64).tobytes() for i in range(n)],
+                          pa.binary()),
+                 pa.array([slot[cut[i]:cut[i + 1]].astype(np.int64).tobytes() for i in range(n)], pa.binary())],
+                ["toxic", "sentences", "sentence", "feature"])
+
+    return picked.select("toxic", "text").mapInArrow(
+        run, "toxic int, sentences long, sentence binary, feature binary").toPandas()
+
+
+def fit(rows: pd.DataFrame, width: int, rounds: int = 200, penalty: float = 3e-5):
+    """(weights, bias) by proximal Adam on the noisy-or likelihood."""
     y = rows["toxic"].to_numpy(float)
     n = len(y)
-    empty = np.zeros(0, np.uint64), np.zeros(0), -4.0
     if n == 0 or y.min() == y.max():
         base = np.clip(y.mean() if n else 0.0, 0.001, 0.999)
-        return empty[0], empty[1], float(np.log(base / (1 - base)))
-    owner = np.repeat(np.arange(n), [len(v) for v in h])
-    key, index = np.unique(np.concatenate(h), return_inverse=True)
-    texts = np.unique(index.astype(np.int64) * n + owner) // n
-    often = np.bincount(texts, minlength=len(key)) >= MIN_TEXTS
-    kept = np.flatnonzero(often)
-    rank = np.cumsum(often) - 1
-    first = np.concatenate([[0], np.cumsum([int(v[-1]) + 1 if len(v) else 1 for v in s])])
-    sentence = np.concatenate(s) + first[owner]
+        return np.zeros(width), float(np.log(base / (1 - base)))
+    first = np.concatenate([[0], np.cumsum(rows["sentences"].to_numpy(np.int64))])
+    local = [np.frombuffer(v, np.int64) for v in rows["sentence"]]
+    sentence = np.concatenate([s + first[i] for i, s in enumerate(local)])
+    word = np.concatenate([np.frombuffer(v, np.int64) for v in rows["feature"]])
     bags = np.repeat(np.arange(n), np.diff(first))
-    use = often[index]
-    # a word counts once in a sentence
-    cell = np.unique(sentence[use] * len(kept) + rank[index[use]])
-    sentence, word = cell // len(kept), cell % len(kept)
-    w, bias = np.zeros(len(kept)), -5.0
-    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    w, bias = np.zeros(width), -5.0
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):
         z = bias + np.bincount(sentence, w[word], len(bags))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(bags, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
         pull = np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0)[bags] * p / n
-        g = np.append(np.bincount(word, pull[sentence], len(kept)), pull.sum())
+        g = np.append(np.bincount(word, pull[sentence], width), pull.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        rate = 0.15 / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-7)
+        rate = 0.1 / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6)
         step = rate * m / (1 - 0.9 ** t)
         w = w - step[:-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(rate[:-1], 2e3) * penalty, 0.0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate[:-1] * penalty, 0.0)
         bias -= step[-1]
-    live = np.flatnonzero(w)
-    return key[kept[live]], w[live], float(bias)
+    return w, float(bias)
 
 
 def score(docs: DataFrame, model, offending: float = 0.5) -> DataFrame:
@@ -115,34 +147,25 @@ def score(docs: DataFrame, model, offending: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, weight, bias = shipped.value
         find = Lookup(key)
-        for batch in batches:
-            data, at = words.texts_of(batch.column("text"))
-            for lo, hi in words.groups_of_bytes(at, 4 * words.BLOCK):
-                part, base, n = data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], hi - lo
-                h, sentence, owner, number = bag(part, base)
-                slot = find(h)
-                hit = np.flatnonzero(slot >= 0)
-                seen, at_word = np.unique(sentence, return_index=True)
-                place = np.searchsorted(seen, sentence[hit])
-                cell = np.unique(place * (len(key) + 1) + slot[hit])  # a word counts once in a sentence
-                z = bias + np.bincount(cell // (len(key) + 1), weight[cell % (len(key) + 1)], len(seen))
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                text = owner[at_word]
-                clear = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n)
-                # a text without words has one empty sentence
-                clear += np.where(np.bincount(text, minlength=n) == 0, np.log1p(-1 / (1 + np.exp(-bias))), 0)
-                spans = [[] for _ in range(n)]
-                for k in np.flatnonzero(p >= offending):
-                    i = int(text[k])
-                    inside = number[base[i]:base[i + 1]] + i
-                    a, b = np.searchsorted(inside, [seen[k], seen[k] + 1])
-                    spans[i].append({"start": int(a), "stop": int(b), "score": float(p[k])})
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n),
-                     pa.array(-np.expm1(clear)),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()),
-                                                         ("score", pa.float64())])))],
-                    ["doc_id", "held_out", "score", "offending"])
+        empty = np.log1p(-1 / (1 + np.exp(-bias)))
+        for batch, lo, n, base, (features, sentence, owner, number) in _groups(batches):
+            place, slot, seen, text = _hits(find, features, sentence, owner)
+            z = bias + np.bincount(place, weight[slot], len(seen))
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            clear = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n)
+            clear += np.where(np.bincount(text, minlength=n) == 0, empty, 0)
+            spans = [[] for _ in range(n)]
+            for k in np.flatnonzero(p >= offending):
+                i = int(text[k])
+                inside = number[base[i]:base[i + 1]] + i
+                a, b = np.searchsorted(inside, [seen[k], seen[k] + 1])
+                spans[i].append({"start": int(a), "stop": int(b), "score": float(p[k])})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n),
+                 pa.array(-np.expm1(clear)),
+                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()),
+                                                     ("score", pa.float64())])))],
+                ["doc_id", "held_out", "score", "offending"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
@@ -157,6 +180,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text",
                        (shared.fold(F.col("doc_id"), folds) == held_out).alias("held_out"))
-    open_labels = labels.where(shared.fold(F.col("doc_id"), folds) != held_out)
-    model = fit(_sampled(docs, open_labels, sample))
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(
+        shared.fold(F.col("doc_id"), folds) != held_out).select(
+        F.col("doc_id").cast("long"), F.col("toxic").cast("int")).distinct()
+    cut = int(np.ceil(1e6 * min(1.0, sample / max(known.count(), 1))))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(cut))
+    # about `sample` narrow rows at any size of the input, so they may be broadcast
+    picked = shared.stored(docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
+    key = screen(picked)
+    weight, bias = fit(_bags(picked, key), len(key))
+    live = np.flatnonzero(weight)
+    model = key[live], weight[live], bias
     return score(docs, model).withColumn("predicted", (F.col("score") >= limit).cast("int"))

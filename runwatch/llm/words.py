@@ -97,8 +97,13 @@ def pieces(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> Iterator[tup
         begin = end
 
 
-def words(data: np.ndarray, at: np.ndarray, inside: np.ndarray = NOT_SPACE, lower: bool = True):
-    """Yield (hash, start, stop, text number) of all words, block by block, in order."""
+def words(data: np.ndarray, at: np.ndarray, inside: np.ndarray = NOT_SPACE, lower: bool = True,
+          heads: tuple[int, ...] = ()):
+    """Yield (hash, start, stop, text number) of all words, block by block, in order.
+
+    With ``heads`` the hashes are a matrix: the word, and its first so many bytes (0 where the
+    word is not longer).
+    """
     for begin, end, cuts in pieces(data, at, inside):
         raw = data[begin:end]
         if lower:
@@ -119,6 +124,13 @@ def words(data: np.ndarray, at: np.ndarray, inside: np.ndarray = NOT_SPACE, lowe
         total[0] = 0
         np.cumsum(_BYTE_VALUES[raw] * power[: len(raw)], out=total[1:])
         h = mix((total[stop] - total[start]) * inverse[start] ^ (stop - start).astype(np.uint64))
+        if heads:
+            rows = [h]
+            for k in heads:
+                longer = stop - start > k
+                part = mix((total[np.minimum(start + k, stop)] - total[start]) * inverse[start] ^ np.uint64(1 << 20 | k))
+                rows.append(np.where(longer, part, np.uint64(0)))
+            h = np.stack(rows)
         start, stop = start + begin, stop + begin
         yield h, start, stop, np.searchsorted(at, start, "right") - 1
 
