@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hmm, minhash, mixing, multiindex, packing, quality, tokens, toxicity
+from . import fingerprints, hmm, langid, minhash, mixing, multiindex, packing, quality, tokens, toxicity
 from .shared import documents, labels
 
 
@@ -13,6 +13,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(documents(spark, sf_dir))
+
+
 def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
@@ -48,6 +52,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_language_id": op2_language_id,
     "op3_toxicity_mil": op3_toxicity_mil,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
