@@ -29,6 +29,8 @@ LONGEST = 8
 #: longer words are cut into parts of so many bytes
 PART = 32
 UNKNOWN = "und"
+#: columns added on the way into Python
+LOWER, LETTERS = "__lower", "__letters"
 _LETTER_BYTES = (((np.arange(256) | 32) >= 97) & ((np.arange(256) | 32) <= 122)) | (np.arange(256) >= 128)
 
 
@@ -158,6 +160,54 @@ def fit(texts: dict[str, list[str]], codes: np.ndarray, rounds: int = ROUNDS) ->
     return out
 
 
+def learn(docs: DataFrame, folds: int, held_out: int, sample: int, vocabulary: str):
+    """(piece codes, piece probabilities, languages, log shares) from texts outside the fold."""
+    known = docs.where("lang IS NOT NULL").where(shared.fold(F.col("doc_id"), folds) != held_out).where(
+        F.col("text").rlike("\\p{L}")).select(
+        F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.lower("text").alias("text"))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    names, codes = sorted(sizes), pieces(vocabulary)
+    if not names:
+        return codes, np.zeros((len(codes) + 1, 0)), [], np.zeros(0)
+    cuts = docs.sparkSession.createDataFrame(
+        [(n, int(np.ceil(1e6 * min(1.0, sample / sizes[n])))) for n in names], "lang string, _cut int")
+    picked = known.join(F.broadcast(cuts), "lang").where(
+        F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_cut"))
+    texts: dict[str, list[str]] = {n: [] for n in names}
+    for row in picked.select("lang", "text").toLocalIterator():  # about `sample` texts a language
+        texts[row["lang"]].append(row["text"])
+    first = np.log(np.array([sizes[n] for n in names], float) / sum(sizes.values()))
+    return codes, fit(texts, codes), names, first
+
+
+def judge(batch: pa.RecordBatch, model, cutter: Segmenter):
+    """Language and posterior probability of the lower-case texts of a batch."""
+    _, share, names, first = model
+    data, at = words.texts_of(batch.column(LOWER))
+    letters = batch.column(LETTERS).to_numpy(zero_copy_only=False)
+    found, scores = [], [np.zeros(0)]
+    for lo, hi in words.groups_of_bytes(at, 8 * words.BLOCK):
+        part, base, n = data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], hi - lo
+        best, score = np.zeros(n, np.int64), np.zeros(n)
+        if names:
+            start, stop, number, owner = distinct_words(part, base)
+            value = np.zeros((len(start), len(names)))
+            for some, table in _by_length(part, start, stop):
+                value[some] = cutter.forward(table, share)
+            log = np.stack([np.bincount(owner, value[number, k], n) for k in range(len(names))], 1) + first
+            best = log.argmax(1)
+            score = 1 / np.exp(log - log.max(1, keepdims=True)).sum(1)
+        good = letters[lo:hi] & bool(names)
+        found += [names[b] if g else UNKNOWN for b, g in zip(best, good)]
+        scores.append(np.where(good, score, 0.0))
+    return found, np.concatenate(scores)
+
+
+def _prepared(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({LOWER: F.lower("text"),
+                             LETTERS: F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))})
+
+
 def language(docs: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE,
              vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs (doc_id, text, lang)``.
@@ -167,52 +217,32 @@ def language(docs: DataFrame, folds: int = 4, held_out: int = 2, sample: int = S
     could be learned; else the most probable language and its posterior probability.  Repeated
     rows are scored each for itself, further columns are not read.
     """
-    spark = docs.sparkSession
-    docs = docs.select(
-        F.col("doc_id").cast("long"), F.lower("text").alias("text"), F.col("lang").cast("string"),
-        (shared.fold(F.col("doc_id"), folds) == held_out).alias("held_out"),
-        F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters"))
-    known = docs.where("NOT held_out AND lang IS NOT NULL AND letters")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
-    names = sorted(sizes)
-    codes = pieces(vocabulary)
-    if names:
-        cuts = spark.createDataFrame(
-            [(n, int(np.ceil(1e6 * min(1.0, sample / sizes[n])))) for n in names], "lang string, _cut int")
-        picked = known.join(F.broadcast(cuts), "lang").where(
-            F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_cut"))
-        texts: dict[str, list[str]] = {n: [] for n in names}
-        for row in picked.select("lang", "text").toLocalIterator():
-            texts[row["lang"]].append(row["text"])
-        model = fit(texts, codes)
-    else:
-        model = np.zeros((len(codes) + 1, 0))
-    first = np.log(np.array([sizes[n] for n in names], float) / max(sum(sizes.values()), 1))
-    shipped = spark.sparkContext.broadcast((codes, model, names, first))
+    shipped = docs.sparkSession.sparkContext.broadcast(learn(docs, folds, held_out, sample, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, share, names, first = shipped.value
-        cutter = Segmenter(codes)
+        cutter = Segmenter(shipped.value[0])
         for batch in batches:
-            data, at = words.texts_of(batch.column("text"))
-            letters = batch.column("letters").to_numpy(zero_copy_only=False)
-            for lo, hi in words.groups_of_bytes(at, 8 * words.BLOCK):
-                part, base, n = data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], hi - lo
-                best, score = np.zeros(n, np.int64), np.zeros(n)
-                if names:
-                    start, stop, number, owner = distinct_words(part, base)
-                    value = np.zeros((len(start), len(names)))
-                    for some, table in _by_length(part, start, stop):
-                        value[some] = cutter.forward(table, share)
-                    log = np.stack([np.bincount(owner, value[number, k], n) for k in range(len(names))], 1) + first
-                    best = log.argmax(1)
-                    score = 1 / np.exp(log - log.max(1, keepdims=True)).sum(1)
-                good = letters[lo:hi] & bool(names)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n),
-                     pa.array([names[b] if g else UNKNOWN for b, g in zip(best, good)], pa.string()),
-                     pa.array(np.where(good, score, 0.0))],
-                    ["doc_id", "held_out", "lang_pred", "score"])
-
-    return docs.select("doc_id", "held_out", "letters", "text").mapInArrow(
+            found, scores = judge(batch, shipped.value, cutter)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.string()), pa.array(scores)],
+                ["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = _prepared(docs.select(
+        F.col("doc_id").cast("long"), (shared.fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text"))
+    return rows.drop("text").mapInArrow(
         run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, least: float = 0.5, folds: int = 4, held_out: int = 2,
+               sample: int = SAMPLE, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The rows of ``docs``, all columns, with a language of at least that posterior probability."""
+    shipped = docs.sparkSession.sparkContext.broadcast(learn(docs, folds, held_out, sample, vocabulary))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Segmenter(shipped.value[0])
+        for batch in batches:
+            _, scores = judge(batch, shipped.value, cutter)
+            yield batch.filter(pa.array(scores >= least)).select(names)
+
+    return _prepared(docs).mapInArrow(run, docs.schema)

@@ -138,57 +138,81 @@ def fit(rows: pd.DataFrame, width: int, rounds: int = 200, penalty: float = 3e-5
     return w, float(bias)
 
 
-def score(docs: DataFrame, model, offending: float = 0.5) -> DataFrame:
-    """docs' ``doc_id, held_out`` with ``score`` and ``offending``: byte spans of bad sentences."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ("doc_id long, held_out boolean, score double, "
-              "offending array<struct<start: long, stop: long, score: double>>")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, weight, bias = shipped.value
-        find = Lookup(key)
-        empty = np.log1p(-1 / (1 + np.exp(-bias)))
-        for batch, lo, n, base, (features, sentence, owner, number) in _groups(batches):
-            place, slot, seen, text = _hits(find, features, sentence, owner)
-            z = bias + np.bincount(place, weight[slot], len(seen))
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            clear = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n)
-            clear += np.where(np.bincount(text, minlength=n) == 0, empty, 0)
-            spans = [[] for _ in range(n)]
-            for k in np.flatnonzero(p >= offending):
-                i = int(text[k])
-                inside = number[base[i]:base[i + 1]] + i
-                a, b = np.searchsorted(inside, [seen[k], seen[k] + 1])
-                spans[i].append({"start": int(a), "stop": int(b), "score": float(p[k])})
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n),
-                 pa.array(-np.expm1(clear)),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()),
-                                                     ("score", pa.float64())])))],
-                ["doc_id", "held_out", "score", "offending"])
-
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
-             sample: int = SAMPLE, limit: float = LIMIT) -> DataFrame:
-    """``doc_id, held_out, score, predicted, offending`` for every row of ``docs (doc_id, text)``.
-
-    Labels outside the held-out fold train the weights; a NULL label is none.  NULL and empty
-    texts are one empty sentence.  Repeated rows are scored each for itself.  Without labels of
-    both kinds every text gets the base rate.  Further columns are not read.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), "text",
-                       (shared.fold(F.col("doc_id"), folds) == held_out).alias("held_out"))
+def judge(batch: pa.RecordBatch, model, find: Lookup, offending: float = 0.5):
+    """Scores of the texts of a batch, and for each the byte spans of its offending sentences."""
+    _, weight, bias = model
+    empty = np.log1p(-1 / (1 + np.exp(-bias)))
+    scores, spans = [np.zeros(0)], []
+    for _, _, n, base, (features, sentence, owner, number) in _groups(iter([batch])):
+        place, slot, seen, text = _hits(find, features, sentence, owner)
+        z = bias + np.bincount(place, weight[slot], len(seen))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        clear = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n)
+        clear += np.where(np.bincount(text, minlength=n) == 0, empty, 0)
+        found = [[] for _ in range(n)]
+        for k in np.flatnonzero(p >= offending):
+            i = int(text[k])
+            inside = number[base[i]:base[i + 1]] + i
+            a, b = np.searchsorted(inside, [seen[k], seen[k] + 1])
+            found[i].append({"start": int(a), "stop": int(b), "score": float(p[k])})
+        scores.append(-np.expm1(clear))
+        spans += found
+    return np.concatenate(scores), spans
+
+
+def learn(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, sample: int = SAMPLE):
+    """(feature hashes, weights, bias) from labels outside the held-out fold."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(
         shared.fold(F.col("doc_id"), folds) != held_out).select(
         F.col("doc_id").cast("long"), F.col("toxic").cast("int")).distinct()
     cut = int(np.ceil(1e6 * min(1.0, sample / max(known.count(), 1))))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(cut))
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
     # about `sample` narrow rows at any size of the input, so they may be broadcast
-    picked = shared.stored(docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
+    picked = shared.stored(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
     key = screen(picked)
     weight, bias = fit(_bags(picked, key), len(key))
     live = np.flatnonzero(weight)
-    model = key[live], weight[live], bias
-    return score(docs, model).withColumn("predicted", (F.col("score") >= limit).cast("int"))
+    return key[live], weight[live], bias
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
+             sample: int = SAMPLE, limit: float = LIMIT) -> DataFrame:
+    """``doc_id, held_out, score, predicted, offending`` for every row of ``docs (doc_id, text)``.
+
+    ``offending`` holds byte spans and scores of offending sentences.  Labels outside the
+    held-out fold train the weights; a NULL label is none.  NULL and empty texts are one empty
+    sentence.  Repeated rows are scored each for itself.  Without labels of both kinds every
+    text gets the base rate.  Further columns are not read.
+    """
+    model = learn(docs, labels, folds, held_out, sample)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Lookup(shipped.value[0])
+        for batch in batches:
+            scores, spans = judge(batch, shipped.value, find)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array(spans, span)],
+                ["doc_id", "held_out", "score", "offending"])
+
+    rows = docs.select(F.col("doc_id").cast("long"),
+                       (shared.fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
+    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, "
+                             "offending array<struct<start: long, stop: long, score: double>>")
+    return scored.withColumn("predicted", (F.col("score") >= limit).cast("int"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
+          sample: int = SAMPLE, limit: float = LIMIT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``limit``; texts are not shuffled."""
+    shipped = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, folds, held_out, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Lookup(shipped.value[0])
+        for batch in batches:
+            scores, _ = judge(batch, shipped.value, find)
+            yield batch.filter(pa.array(scores < limit))
+
+    return docs.mapInArrow(run, docs.schema)
