@@ -24,6 +24,8 @@ SAMPLE = 12_000
 FEATURES = 20_000
 #: a feature must occur in so many toxic texts of the sample, and so many times as often as in others
 MIN_TEXTS, MIN_RATIO = 4, 3.0
+#: a weight must explain more than so many texts to be kept (an L1 penalty)
+TEXTS_OF_PENALTY = 0.36
 #: a word counts as itself and by its beginnings of so many bytes
 HEADS = (4, 5, 6)
 LIMIT = 0.3
@@ -109,7 +111,7 @@ def _bags(picked: DataFrame, key: np.ndarray) -> pd.DataFrame:
         run, "toxic int, sentences long, sentence binary, feature binary").toPandas()
 
 
-def fit(rows: pd.DataFrame, width: int, rounds: int = 200, penalty: float = 3e-5):
+def fit(rows: pd.DataFrame, width: int, rounds: int = 200, texts: float = TEXTS_OF_PENALTY):
     """(weights, bias) by proximal Adam on the noisy-or likelihood."""
     y = rows["toxic"].to_numpy(float)
     n = len(y)
@@ -133,7 +135,7 @@ def fit(rows: pd.DataFrame, width: int, rounds: int = 200, penalty: float = 3e-5
         rate = 0.1 / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6)
         step = rate * m / (1 - 0.9 ** t)
         w = w - step[:-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - rate[:-1] * penalty, 0.0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate[:-1] * texts / n, 0.0)
         bias -= step[-1]
     return w, float(bias)
 
