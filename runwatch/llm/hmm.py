@@ -346,6 +346,22 @@ def score(encoded: DataFrame, model: Model, params) -> DataFrame:
     return encoded.select("uid", "classes").mapInArrow(run, "uid long, chain double")
 
 
+def _frequent(vocab: DataFrame, most: int) -> DataFrame:
+    """The words above a count that at most ``most`` words reach.
+
+    The count comes from a histogram of fixed size, so no partition sends its own top list.
+    """
+    level = F.floor(F.log2("c") * 16).cast("int")
+    bins = vocab.groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect()
+    total, least = 0, 1 << 30
+    for row in bins:
+        total += row["count"]
+        if total > most:
+            break
+        least = row["level"]
+    return vocab.where(level >= least)
+
+
 def language_model(docs: DataFrame, folds: int = 10, held_out: int = 0, states: int = STATES,
                    rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
@@ -364,7 +380,7 @@ def language_model(docs: DataFrame, folds: int = 10, held_out: int = 0, states:
     sums = vocab.groupBy("shape").agg(
         F.count("*").alias("n"), F.sum("c").alias("c"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once"))
     sums = sums.toPandas()  # at most SHAPES rows
-    top = vocab.orderBy(F.col("c").desc(), "h").limit(FREQUENT).toPandas()
+    top = _frequent(vocab, FREQUENT).toPandas().sort_values(["c", "h"], ascending=[False, True])
     model = Model(
         n_docs, int(sums["c"].sum()), int(sums["n"].sum()),
         (top["h"].to_numpy(np.int64).view(np.uint64), top["shape"].to_numpy(np.int64), top["c"].to_numpy(np.int64)),
