@@ -147,7 +147,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 value = np.zeros(len(h))
                 value[seen] = log_count[slot[seen]]
                 base_sum = np.bincount(owner, value, n) + np.log10(m.end + ADD)
-                inner = np.bincount(owner, np.where(cls > OWN, value, 0.0), n)
+                inner = np.bincount(owner, np.where(cls > OWN, value, 0.0), n).astype(float)
                 # every text is followed by the end token, class 0
                 whole = np.zeros(len(h) + n, np.uint16)
                 cut = np.concatenate([[0], np.cumsum(length + 1)])

@@ -149,8 +149,8 @@ def judge(batch: pa.RecordBatch, model, find: Lookup, offending: float = 0.5):
         place, slot, seen, text = _hits(find, features, sentence, owner)
         z = bias + np.bincount(place, weight[slot], len(seen))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clear = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n)
-        clear += np.where(np.bincount(text, minlength=n) == 0, empty, 0)
+        clear = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n) + np.where(
+            np.bincount(text, minlength=n) == 0, empty, 0.0)
         found = [[] for _ in range(n)]
         for k in np.flatnonzero(p >= offending):
             i = int(text[k])
