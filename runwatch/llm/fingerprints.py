@@ -96,20 +96,38 @@ def near_fingerprints(found: DataFrame, radius: int = 3, blocks: int = 5) -> Dat
     digits = F.length("fingerprint")
     cut = [F.floor(digits * i / blocks).cast("int") for i in range(blocks + 1)]
     block = [F.substring(F.col("fingerprint"), cut[i] + 1, cut[i + 1] - cut[i]) for i in range(blocks)]
-    tables = F.array(*[F.concat_ws("-", F.lit(str(n)), *[block[i] for i in chosen])
+    tables = F.array(*[F.xxhash64(F.lit(n), *[block[i] for i in chosen])
                        for n, chosen in enumerate(combinations(range(blocks), blocks - radius))])
-    keyed = texts.select("fingerprint", F.explode(tables).alias("_key"))
-    a = keyed.withColumnRenamed("fingerprint", "a")
-    b = keyed.withColumnRenamed("fingerprint", "b")
+    words = [F.shiftleft(_number(16 * k, 8), 32).bitwiseOR(_number(16 * k + 8, 8)) for k in range(WORDS)]
+    keyed = texts.select(*[w.alias(f"w{k}") for k, w in enumerate(words)], F.explode(tables).alias("_key"))
+    a = keyed.select("_key", *[F.col(f"w{k}").alias(f"a{k}") for k in range(WORDS)])
+    b = keyed.select("_key", *[F.col(f"w{k}").alias(f"b{k}") for k in range(WORDS)])
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")))
+                                        for k in range(WORDS)])
+    first = F.struct(*[f"a{k}" for k in range(WORDS)]) < F.struct(*[f"b{k}" for k in range(WORDS)])
+    pairs = a.join(b, (a["_key"] == b["_key"]) & first & (apart <= radius)).select(
+        *[f"{s}{k}" for s in "ab" for k in range(WORDS)], apart.alias("distance")).distinct()
+    named = {s: as_text([F.col(f"{s}{k}") for k in range(WORDS)]) for s in "ab"}
+    return pairs.select(F.least(named["a"], named["b"]).alias("a"), F.greatest(named["a"], named["b"]).alias("b"),
+                        "distance")
 
-    def words(name: str, k: int) -> Column:
-        half = [F.conv(F.substring(name, 16 * k + 8 * i + 1, 8), 16, 10).cast("long") for i in (0, 1)]
-        return F.shiftleft(half[0], 32).bitwiseOR(half[1])
 
-    apart = reduce(lambda x, y: x + y, [F.bit_count(words("a", k).bitwiseXOR(words("b", k)))
-                                        for k in range(WORDS)])
-    pairs = a.join(b, "_key").where("a < b").select("a", "b", apart.alias("distance"))
-    return pairs.where(F.col("distance") <= radius).distinct()
+def _number(at: int, digits: int) -> Column:
+    return F.conv(F.substring("fingerprint", at + 1, digits), 16, 10).cast("long")
+
+
+def near_counts(found: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """``fingerprint, n_near``: for each fingerprint the other documents within ``radius`` bits.
+
+    Documents with the very same fingerprint count too.
+    """
+    counts = shared.stored(found.groupBy("fingerprint").agg(F.count("*").alias("n")))
+    pairs = near_fingerprints(counts, radius, blocks)
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    others = both.join(counts.select(F.col("fingerprint").alias("b"), "n"), "b").groupBy("a").agg(
+        F.sum("n").alias("m"))
+    return counts.join(others, F.col("fingerprint") == F.col("a"), "left").select(
+        "fingerprint", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_near"))
 
 
 def _same(a: Column, b: Column) -> Column:

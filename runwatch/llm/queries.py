@@ -35,7 +35,8 @@ def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edit_report(documents(spark, sf_dir))
+    report = fingerprints.edit_report(documents(spark, sf_dir))
+    return report.join(fingerprints.near_counts(report.select("fingerprint")), "fingerprint")
 
 
 def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,12 @@ def test_block_tables_find_all_pairs_within_the_radius(spark):
             if a < b and d <= 3:
                 want[a, b] = d
     assert got == want
+    near = {t: 0 for t in texts}
+    for a, b in want:
+        near[a] += 1 + (b in texts[:5])
+        near[b] += 1 + (a in texts[:5])
+    near = {t: n + (t in texts[:5]) for t, n in near.items()}
+    assert {r.fingerprint: r.n_near for r in fingerprints.near_counts(found).collect()} == near
     with pytest.raises(ValueError):
         fingerprints.near_fingerprints(found, radius=5, blocks=5)
 
