@@ -82,7 +82,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
                     [pa.array(key.view(np.int64)), pa.array(np.concatenate(shapes)[first].astype(np.int32)),
                      pa.array(n.astype(np.int64))], ["h", "shape", "c"])
 
-    counted = docs.select("text").mapInArrow(run, "h long, shape int, c long")
+    counted = shared.bounded(docs.select("text")).mapInArrow(run, "h long, shape int, c long")
     return counted.groupBy("h").agg(F.min("shape").alias("shape"), F.sum("c").alias("c"))
 
 
@@ -165,7 +165,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                      pick(h[rest].view(np.int64)), pick(shape[rest].astype(np.int16))],
                     ["doc_id", "fold", "n_tokens", "known", "base", "inner", "classes", "rare", "rare_shape"])
 
-    return docs.mapInArrow(
+    return shared.bounded(docs).mapInArrow(
         run, "doc_id long, fold int, n_tokens long, known long, base double, inner double, "
         "classes binary, rare array<long>, rare_shape array<short>")
 

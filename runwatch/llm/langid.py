@@ -229,7 +229,7 @@ def language(docs: DataFrame, folds: int = 4, held_out: int = 2, sample: int = S
 
     rows = _prepared(docs.select(
         F.col("doc_id").cast("long"), (shared.fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text"))
-    return rows.drop("text").mapInArrow(
+    return shared.bounded(rows.drop("text")).mapInArrow(
         run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -245,4 +245,4 @@ def identified(docs: DataFrame, least: float = 0.5, folds: int = 4, held_out: in
             _, scores = judge(batch, shipped.value, cutter)
             yield batch.filter(pa.array(scores >= least)).select(names)
 
-    return _prepared(docs).mapInArrow(run, docs.schema)
+    return shared.bounded(_prepared(docs)).mapInArrow(run, docs.schema)

@@ -97,7 +97,7 @@ def shingle_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width:
                      pa.array(s2.view(np.int64)), lists],
                     ["doc_id", "n_shingles", "s1", "s2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return shared.bounded(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(
         run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 

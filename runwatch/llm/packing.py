@@ -55,7 +55,7 @@ def encode_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_I
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return shared.bounded(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, schema)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

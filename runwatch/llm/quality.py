@@ -77,7 +77,7 @@ def _collected(rows: DataFrame) -> np.ndarray:
         for _, _, _, x in _blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
-    got = rows.select("text").mapInArrow(run, "x binary").toPandas()["x"]
+    got = shared.bounded(rows.select("text")).mapInArrow(run, "x binary").toPandas()["x"]
     return np.frombuffer(b"".join(got), np.float32).reshape(len(got), WIDTH).astype(np.float64)
 
 
@@ -179,5 +179,5 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
                 [batch.column("doc_id").slice(at, n), batch.column("held_out").slice(at, n),
                  pa.array(value.astype(np.float64))], ["doc_id", "held_out", "score"])
 
-    scored = docs.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = shared.bounded(docs).mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= limit).cast("int"))

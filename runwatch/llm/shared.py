@@ -34,6 +34,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: most bytes of a batch on its way to or from Python
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` as it is, with the session's bound on the bytes of an Arrow batch at most ``BATCH_BYTES``.
+
+    A batch is doubled while it is filled and copied on the way, on every core, so long texts
+    need a bound in bytes and not in rows.  A lower bound of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in df.sparkSession.conf.get(key) if c.isdigit() or c == "-"))
+    if not 0 < now <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

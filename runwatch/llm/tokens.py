@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import shared, words
 
 VOCABULARY = "byte_bpe_50k"
 #: bytes handed to the encoder at a time; also the length above which a text is cut
@@ -106,5 +106,5 @@ def count_tokens(docs: DataFrame, limit: int = 1024, vocabulary: str = VOCABULAR
                 ["doc_id", "n_bytes", "n_tokens"])
 
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
-    counted = narrow.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = shared.bounded(narrow).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -84,7 +84,7 @@ def screen(picked: DataFrame) -> np.ndarray:
 
     totals = picked.agg(F.count("*"), F.sum("toxic")).first()
     bad, rest = int(totals[1] or 0), int(totals[0]) - int(totals[1] or 0)
-    counts = picked.select("toxic", "text").mapInArrow(run, "f long, bad long, n long")
+    counts = shared.bounded(picked.select("toxic", "text")).mapInArrow(run, "f long, bad long, n long")
     counts = counts.groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     lift = (F.col("bad") / max(bad, 1)) / ((F.col("n") - F.col("bad") + 0.5) / max(rest, 1))
     chosen = counts.where((F.col("bad") >= MIN_TEXTS) & (lift >= MIN_RATIO))
@@ -201,7 +201,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
 
     rows = docs.select(F.col("doc_id").cast("long"),
                        (shared.fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, "
+    scored = shared.bounded(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, "
                              "offending array<struct<start: long, stop: long, score: double>>")
     return scored.withColumn("predicted", (F.col("score") >= limit).cast("int"))
 
@@ -217,4 +217,4 @@ def clean(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
             scores, _ = judge(batch, shipped.value, find)
             yield batch.filter(pa.array(scores < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shared.bounded(docs).mapInArrow(run, docs.schema)
