@@ -19,11 +19,17 @@ def finite(c: Column) -> Column:
     return F.when(F.abs(c) < F.lit(_INF), c)
 
 
+def parsed(text: Column) -> Column:
+    """The number a text stands for; Java's trailing type letters are no numbers here."""
+    bare = F.trim(text)
+    return F.when(~bare.rlike(r"[0-9.][dDfF]$"), bare.try_cast("double"))
+
+
 def number(df: DataFrame, name: str) -> Column:
     """Column ``name`` as a double; text that is no number becomes NULL."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        return col(name).try_cast("double")
+        return parsed(col(name))
     return col(name).cast("double")
 
 
@@ -61,9 +67,5 @@ def hash_uniform(key: Column, tag: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def safe_name(name: Column) -> Column:
-    return F.regexp_replace(name, r"[^\p{IsAlphabetic}\p{IsDigit}_-]", "_")
-
-
 def array_of(columns: list[Column], kind: str = "double") -> Column:
     return F.array(*columns) if columns else F.array().cast(f"array<{kind}>")

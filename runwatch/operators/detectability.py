@@ -210,7 +210,3 @@ def alpha_tradeoff(pod: Pod, by: list[str] = ["op", "alpha"]) -> DataFrame:
 def training_floor(pod: Pod) -> DataFrame:
     """Intensity worth training above: the smaller of i50 and i90, missing ones skipped."""
     return pod.result.select(*pod.keys, "i50", "i90", F.least("i50", "i90").alias("train_above"))
-
-
-def mark_detected(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("detected", flag(F.col("score"), F.col("threshold")))

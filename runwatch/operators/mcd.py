@@ -22,8 +22,9 @@ from .quantiles import order_values
 
 START_ROWS = 1500
 STARTS = 30
-MAX_STEPS = 10
-#: a step that lowers the log determinant by less than this ends the search
+#: a group that still moves after so many steps is marked and gets a warning
+MAX_STEPS = 40
+#: a step that lowers the log determinant by less than this has settled
 MIN_GAIN = 1e-3
 
 _STATE = ("op string, chain string, use array<boolean>, shift array<double>, "
@@ -86,7 +87,7 @@ def _best_start(z: np.ndarray, fraction: float | None, seed: int) -> tuple[np.nd
 def minimum_covariance_determinant(
     z: DataFrame, sizes: DataFrame, columns: list[str], fraction: float | None, seed: int
 ) -> DataFrame:
-    """``op, mcd_mean, mcd_cov`` over complete standardised rows ``op, run_id, columns``.
+    """``op, mcd_mean, mcd_cov, mcd_open`` over complete standardised rows ``op, run_id, columns``.
 
     ``sizes`` is ``op, n, use``.  Groups with no more rows than sensors are left
     out (the caller falls back to shrinkage).
@@ -146,10 +147,12 @@ def minimum_covariance_determinant(
         new = refit(attach(d, cut, ["op"], rows=ops).where(F.col("d2") <= F.col("_cut")), state)
         moved = new.alias("a").join(state.alias("b"), "op").where(
             ~F.col("a.singular") & (F.col("a.logdet") < F.col("b.logdet") - MIN_GAIN))
-        stop = moved.isEmpty()
-        state = new
-        if stop:
+        state, moving = new, moved.select("op")
+        if moving.isEmpty():
             break
+    settling = groups.select("op").join(
+        materialise(moving).withColumn("mcd_open", F.lit(True)), "op", "left").select(
+        "op", F.coalesce("mcd_open", F.lit(False)).alias("mcd_open"))
 
     # consistency at the normal distribution, then reweighting
     d = scored(state)
@@ -159,8 +162,10 @@ def minimum_covariance_determinant(
         *[x for k in ps for x in (F.lit(k), F.lit(chi2_quantile(q, k)))])[F.col("p")]
     if not ps:
         return groups.select("op").withColumns({
-            "mcd_mean": F.lit(None).cast("array<double>"), "mcd_cov": F.lit(None).cast("array<double>")})
+            "mcd_mean": F.lit(None).cast("array<double>"), "mcd_cov": F.lit(None).cast("array<double>"),
+            "mcd_open": F.lit(False)})
     limit = materialise(groups.join(med, "op").select(
         "op", (F.col("_med") / pick(0.5) * pick(0.975)).alias("_cut")))
     final = refit(attach(d, limit, ["op"], rows=ops).where(F.col("d2") < F.col("_cut")), state)
-    return final.select("op", F.col("shift").alias("mcd_mean"), F.col("cov").alias("mcd_cov"))
+    return final.join(settling, "op").select(
+        "op", F.col("shift").alias("mcd_mean"), F.col("cov").alias("mcd_cov"), "mcd_open")

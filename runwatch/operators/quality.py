@@ -18,6 +18,7 @@ EXACT_DUPLICATE = 1.0 - 1e-9
 STRONG = 0.98
 RCOND = 1e-8
 MIN_SAMPLES_PER_SENSOR = 10
+PAIR_KINDS = ("duplicate", "collinear", "strong")
 
 
 @dataclass
@@ -105,21 +106,45 @@ def check(
         .join(per_sensor.groupBy(*keys).agg(
             F.sum("non_finite").cast("bigint").alias("values_non_finite")), keys)
     )
-    names, p = list(sensors), len(sensors)
-
-    def assess(row: dict) -> dict:
-        return {**{k: row[k] for k in keys}, **_assess(row, names, p, rcond, strong)}
-
-    schema = (
-        f"{stats_schema(df, keys)}, n_rows bigint, n_sensors int, samples_per_sensor double, "
-        "rows_non_finite bigint, values_non_finite bigint, duplicate_rows bigint, "
-        "constant array<string>, condition_number double, effective_rank int, "
-        "eigenvalues array<double>, redundant array<string>, warnings array<string>, "
-        "pairs array<struct<kind:string,a:string,b:string,r:double>>"
-    )
-    full = materialise(per_row(table, assess, schema))
-    pairs = full.select(*keys, F.inline("pairs"))
-    return Quality(full.drop("pairs"), per_sensor, pairs, list(keys))
+    names = list(sensors)
+
+    def algebra(row: dict) -> dict:
+        return {**{k: row[k] for k in keys}, **_algebra(row, names, rcond, strong)}
+
+    reduced = per_row(table, algebra, (
+        f"{stats_schema(df, keys)}, n bigint, constant array<string>, condition_number double, "
+        "effective_rank int, eigenvalues array<double>, redundant array<string>, "
+        "pairs array<struct<grade:int,kind:string,a:string,b:string,r:double>>"))
+    full = materialise(reduced.join(table.drop("n", "use", "acc"), keys))
+    counted = F.transform(F.array(*map(F.lit, PAIR_KINDS)), lambda kind: F.size(
+        F.filter("pairs", lambda q: q["kind"] == kind)))
+    ratio = F.col("n") / F.lit(float(len(names))) if names else F.lit(None).cast("double")
+    summary = full.select(
+        *keys, F.col("n").alias("n_rows"), F.lit(len(names)).alias("n_sensors"),
+        ratio.alias("samples_per_sensor"), "rows_non_finite", "values_non_finite", "duplicate_rows",
+        "constant", "condition_number", "effective_rank", "eigenvalues", "redundant",
+        counted.alias("_kinds"))
+    summary = summary.withColumn("warnings", F.array_compact(F.array(*_warnings(len(names)))))
+    pairs = full.select(*keys, F.inline(F.array_sort("pairs"))).drop("grade")
+    return Quality(summary.drop("_kinds"), per_sensor, pairs, list(keys))
+
+
+def _warnings(p: int) -> list:
+    """One sentence per finding of a summary row, NULL where there is none."""
+    size, kinds = F.size("constant"), F.col("_kinds")
+    say = lambda hit, *parts: F.when(hit, F.concat(*[
+        F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts]))
+    few = F.col("samples_per_sensor") < MIN_SAMPLES_PER_SENSOR
+    return [
+        say(size > 0, "constant sensors carry no information: ", size),
+        say(kinds[0] > 0, "sensor pairs that are exact copies: ", kinds[0]),
+        say(kinds[1] > 0, "sensor pairs that are nearly collinear: ", kinds[1]),
+        say(F.col("effective_rank") < p, "effective rank ", F.col("effective_rank"), f" is below the {p} sensors"),
+        say(few, "few samples per sensor (", F.format_string("%.1f", "samples_per_sensor"),
+            "): prefer a shrinkage estimator"),
+        say(F.col("values_non_finite") > 0, "non-finite values: ", F.col("values_non_finite")),
+        say(F.col("duplicate_rows") > 0, "duplicated rows: ", F.col("duplicate_rows")),
+    ]
 
 
 def rank_of(r: np.ndarray, rcond: float) -> tuple[float, list[float], int]:
@@ -130,48 +155,37 @@ def rank_of(r: np.ndarray, rcond: float) -> tuple[float, list[float], int]:
     return cond, eig.tolist(), rank
 
 
-def _assess(row: dict, names: list[str], p: int, rcond: float, strong: float) -> dict:
-    live = [j for j in range(p) if row["use"][j]]
-    n = int(row["n"])
-    cond, eig, rank, pairs = None, [], 0, []
-    if len(live) >= 2:
-        r = correlation(row["acc"], p)[np.ix_(live, live)]
-        for i in range(len(live)):
-            for j in range(i + 1, len(live)):
-                size = abs(r[i, j])
-                if size >= strong:
-                    kind = ("duplicate" if size >= EXACT_DUPLICATE
-                            else "collinear" if size >= COLLINEAR else "strong")
-                    pairs.append({"kind": kind, "a": names[live[i]], "b": names[live[j]],
-                                  "r": float(r[i, j])})
-        cond, eig, rank = rank_of(r, rcond)
-    of = lambda kind: [q for q in pairs if q["kind"] == kind]
-    redundant: list[str] = []
-    for q in of("duplicate") + of("collinear"):
-        if q["a"] not in redundant and q["b"] not in redundant:
-            redundant.append(q["b"])
-    constant = [names[j] for j in range(p) if not row["use"][j]]
-    ratio = n / p if p else None
-    found = [
-        (constant, f"constant sensors carry no information: {len(constant)}"),
-        (of("duplicate"), f"sensor pairs that are exact copies: {len(of('duplicate'))}"),
-        (of("collinear"), f"sensor pairs that are nearly collinear: {len(of('collinear'))}"),
-        (p and rank < p, f"effective rank {rank} is below the {p} sensors"),
-        (ratio is not None and ratio < MIN_SAMPLES_PER_SENSOR,
-         f"few samples per sensor ({(ratio or 0):.1f}): prefer a shrinkage estimator"),
-        (row["values_non_finite"], f"non-finite values: {int(row['values_non_finite'])}"),
-        (row["duplicate_rows"], f"duplicated rows: {int(row['duplicate_rows'])}"),
-    ]
-    order = {"duplicate": 0, "collinear": 1, "strong": 2}
-    return {
-        "n_rows": n, "n_sensors": p, "samples_per_sensor": ratio,
-        "rows_non_finite": int(row["rows_non_finite"]),
-        "values_non_finite": int(row["values_non_finite"]),
-        "duplicate_rows": int(row["duplicate_rows"]), "constant": constant,
-        "condition_number": cond, "effective_rank": rank, "eigenvalues": eig,
-        "redundant": redundant, "warnings": [text for hit, text in found if hit],
-        "pairs": sorted(pairs, key=lambda q: order[q["kind"]]),
-    }
+def implied(linked: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Sensors that an earlier, kept one stands for; ``gone`` ones neither stand nor fall.
+
+    Going through the sensors in order, one falls if a kept sensor before it is linked to it.
+    """
+    gone = gone.copy()
+    for j in range(len(gone)):
+        gone[j] |= bool((linked[:j, j] & ~gone[:j]).any())
+    return gone
+
+
+def _algebra(row: dict, names: list[str], rcond: float, strong: float) -> dict:
+    """What needs the whole correlation matrix of a group: graded pairs, spectrum, redundancy."""
+    use = np.asarray(row["use"], dtype=bool)
+    live = [c for c, u in zip(names, use) if u]
+    out = {"n": int(row["n"]), "constant": [c for c, u in zip(names, use) if not u], "condition_number": None,
+           "effective_rank": 0, "eigenvalues": [], "redundant": [], "pairs": []}
+    if len(live) < 2:
+        return out
+    r = correlation(row["acc"], len(names))[np.ix_(use, use)]
+    # grade 0, 1, 2: the index of the pair's kind; 3: no pair
+    grade = np.digitize(-np.abs(r), [-EXACT_DUPLICATE, -COLLINEAR, -strong], right=True)
+    upper = np.triu(np.ones_like(grade, dtype=bool), 1)
+    a, b = np.nonzero(upper & (grade < len(PAIR_KINDS)))
+    out["pairs"] = [{"grade": int(grade[i, j]), "kind": PAIR_KINDS[grade[i, j]], "a": live[i], "b": live[j],
+                     "r": float(r[i, j])} for i, j in zip(a, b)]
+    copies = implied((grade == 0) & upper, np.zeros(len(live), bool))
+    all_gone = implied((grade == 1) & upper, copies)
+    out["redundant"] = [live[j] for j in (*np.flatnonzero(copies), *np.flatnonzero(all_gone & ~copies))]
+    out["condition_number"], out["eigenvalues"], out["effective_rank"] = rank_of(r, rcond)
+    return out
 
 
 def correlation_cells(df: DataFrame, keys: list[str], sensors: list[str]) -> DataFrame:

@@ -487,6 +487,8 @@ def _solve(row: dict, params: dict, axis: list[str]) -> dict:
     if name == "mcd":
         if params["scaler"] != "robust":
             warnings.append("MCD with a scaler that is not robust: outliers still set the scale")
+        if row["mcd_open"]:
+            warnings.append("MCD had not settled when its steps ran out: the estimate may be poor")
         cov = np.asarray(row["mcd_cov"], dtype=float).reshape(p_all, p_all)[np.ix_(pick, pick)]
         location = offset + np.asarray(row["mcd_mean"], dtype=float)[pick]
     else:

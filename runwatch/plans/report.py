@@ -56,22 +56,24 @@ def as_dataset(spark: SparkSession, target) -> Dataset:
 
 
 def quicklook(
-    spark: SparkSession, target, out: str | None = None, max_sensors_hist: int = 60,
-    trend_sensors: int = 6, trend_classes: int = 8,
+    spark: SparkSession, target, out: str | None = None, trend_sensors: int = 6,
 ) -> Report:
-    """What is in the data: roles, quality, distributions, correlation, PCA, trends."""
+    """What is in the data: roles, quality, distributions, correlation, PCA, trends.
+
+    The tables hold every sensor and class; only the trends are about the sensors
+    that respond most, ``trend_sensors`` of each operating point.
+    """
     ds = as_dataset(spark, target)
     runs, sensors = ds.runs, ds.all_sensors()
-    shown = sensors[:max_sensors_hist]
     nominal, failures = sel.nominal_runs(runs), sel.failure_runs(runs)
-    report = Report({"roles": ds.roles_table(), "summary": ds.summary()})
+    report = Report({"roles": ds.roles_table(), "role_notes": ds.role_notes(), "summary": ds.summary()})
     add = report.tables
     both = quality.check(runs.where(F.col("set").isin(NOMINAL, FAILURE)), ["op", "set"], sensors)
     add["quality"], add["quality_sensors"] = both.summary, both.sensors
     add["quality_pairs"] = both.pairs
     add["spectrum"] = both.spectrum().where(F.col("set") == NOMINAL)
-    add["histograms"] = views.sensor_histograms(runs, shown)
-    add["correlation"] = quality.correlation_cells(nominal, ["op"], shown)
+    add["histograms"] = views.sensor_histograms(runs, sensors)
+    add["correlation"] = quality.correlation_cells(nominal, ["op"], sensors)
     if ds.load_info:
         rows = [(op, side, i["path"], i["rows_read"], i["rows_dropped"], i["rows_with_non_finite"])
                 for op, sides in ds.load_info.items() for side, i in sides.items()]
@@ -91,10 +93,7 @@ def quicklook(
             top = views.most_responsive(runs, sensors, trend_sensors)
             add["most_responsive"] = top
             chosen = {r[0] for r in top.select("sensor").distinct().collect()}
-            classes = [r[0] for r in sel.class_names(runs).select("class").distinct()
-                       .orderBy("class").limit(trend_classes).collect()]
-            add["trends"] = views.trend_vs_intensity(
-                runs, [s for s in sensors if s in chosen], classes or None)
+            add["trends"] = views.trend_vs_intensity(runs, [s for s in sensors if s in chosen])
         else:
             report.notes.append("no intensity column: trends left out")
     if out is not None:
@@ -104,16 +103,16 @@ def quicklook(
 
 def detection_report(
     bank: ModelBank, dataset: Dataset, out: str | None = None, at_alpha: float | None = None,
-    classes: list[str] | None = None, n_boot: int = 200, max_classes_plot: int = 10,
+    classes: list[str] | None = None, n_boot: int = 200,
 ) -> tuple[Report, ModelBank]:
     """Detection and detectability tables; also returns the bank in force.
 
-    With ``at_alpha`` every model is recalibrated on its own nominal runs first.
-    The bank given is not changed.
+    With ``at_alpha`` the models of the dataset's operating points are recalibrated on
+    its nominal runs first.  The bank given is not changed.
     """
     runs = dataset.runs
     if at_alpha is not None:
-        bank = bank.with_models(bank.models.calibrate(sel.nominal_runs(runs), at_alpha))
+        bank = bank.recalibrated(sel.nominal_runs(runs), at_alpha)
     models = bank.models
     scored = materialise(bank.score_dataset(runs))
     report = Report({"models": bank.to_frame(), "thresholds": models.threshold_table()})
@@ -131,12 +130,10 @@ def detection_report(
             pod = pod_analysis(models, runs, classes, n_boot=n_boot)
             add["pod"] = pod.result
             add["pod_bins"], add["pod_curve"] = pod.bins, pod.curve()
-            some = [r[0] for r in sel.class_names(failures).select("class").distinct()
-                    .orderBy("class").limit(max_classes_plot).collect()]
-            frame = score_frame(models, runs, some or None)
+            frame = materialise(score_frame(models, runs, classes))
             add["score_vs_intensity"] = views.score_vs_intensity(frame)
-            add["sensitivity"] = views.sensor_sensitivity(
-                runs, dataset.all_sensors(), some or None)
+            known = runs.join(models.table.select("op").distinct(), "op", "left_semi")
+            add["sensitivity"] = views.sensor_sensitivity(known, dataset.all_sensors(), classes)
         else:
             report.notes.append("no intensity column: POD skipped")
     if out is not None:

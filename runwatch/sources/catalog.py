@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: words that mark a file's role, words and folder names that say nothing
@@ -24,12 +25,25 @@ NOMINAL_PARTS = "nominal"
 
 
 def list_csv(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Paths of the CSV files under ``root``; file contents are never read."""
-    found = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]")
-        .option("recursiveFileLookup", str(recursive).lower()).load(root)
-    )
-    return found.select("path")
+    """Paths of the CSV files under ``root``; file contents are never read.
+
+    The file system lists the folder itself: Spark's readers pass over names that
+    begin with ``_`` or ``.``, and those must be reported.
+    """
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, recursive)
+    paths = []
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        if path.lower().endswith(".csv"):
+            paths.append((path,))
+    return spark.createDataFrame(paths, "path string")
+
+
+def is_hidden(rel: str) -> bool:
+    """Whether Spark's readers would pass over a file of this relative path."""
+    return any(part[:1] in ("_", ".") for part in rel.split("/"))
 
 
 def _words(words: tuple[str, ...]) -> Column:
@@ -126,15 +140,31 @@ def pair_files(paths: DataFrame, root: str) -> DataFrame:
         rest(files.where("kind is null"), "unknown"))
 
 
+def free_name(taken: set[str], name: str) -> str:
+    """``name``, or with the first of _2, _3, ... that is not taken; it is taken from now on."""
+    found, turn = name, 1
+    while found in taken:
+        turn += 1
+        found = f"{name}_{turn}"
+    taken.add(found)
+    return found
+
+
 def _unique_names(pairs: DataFrame) -> DataFrame:
-    """Repeated names get _2, _3, ... in directory and key order."""
-    turn = F.row_number().over(Window.partitionBy("name").orderBy("dir", "key"))
-    named = pairs.withColumn("_turn", turn)
-    again = F.col("name").isNotNull() & (F.col("_turn") > 1)
-    return named.withColumn(
-        "name", F.when(again, F.concat_ws("_", "name", F.col("_turn").cast("string")))
-        .otherwise(F.col("name"))
-    ).drop("_turn")
+    """Repeated names get the next free number, in directory and key order.
+
+    Only names that agree up to trailing numbers can collide, so each such family
+    is named by itself; halves of pairs have no name and take no part.
+    """
+    def settle(family: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        ordered = family.sort_values(["dir", "key"], kind="stable")
+        return ordered.assign(name=[free_name(taken, n) for n in ordered["name"]]).drop(columns="_family")
+
+    named = pairs.where("name IS NOT NULL").withColumn(
+        "_family", F.regexp_replace("name", r"(_[0-9]+)+$", ""))
+    settled = named.groupBy("_family").applyInPandas(settle, pairs.schema)
+    return settled.unionByName(pairs.where("name IS NULL"))
 
 
 def catalog_runs(spark: SparkSession, root: str, recursive: bool = True) -> dict:
@@ -142,23 +172,21 @@ def catalog_runs(spark: SparkSession, root: str, recursive: bool = True) -> dict
     full = list_csv(spark, root, recursive)
     prefix = os.path.abspath(root) if "://" not in root else root
     local = full.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
-    rows = sorted(pair_files(local, prefix).collect(), key=lambda r: (r["dir"], r["key"] or ""))
+    lead = len(prefix.rstrip("/")) + 1
+    hidden = sorted(r[0][lead:] for r in local.collect() if is_hidden(r[0][lead:]))
+    seen = local.where(~F.substr("path", F.lit(lead + 1)).isin(hidden)) if hidden else local
+    rows = sorted(pair_files(seen, prefix).collect(), key=lambda r: (r["dir"], r["key"] or ""))
     file_of = lambda r: r["nominal"] or r["failures"]
-    ops: dict[str, dict[str, str]] = {}
-    for r in rows:
-        if r["status"] == "paired":
-            name, i = r["name"], 1
-            while name in ops:
-                i += 1
-                name = f"{r['name']}_{i}"
-            ops[name] = {"nominal": r["nominal"], "failures": r["failures"]}
+    ops = {r["name"]: {"nominal": r["nominal"], "failures": r["failures"]}
+           for r in rows if r["status"] == "paired"}
     return {
         "root": prefix, "operating_points": ops,
         "columns": {"label": None, "intensity": None, "exclude": []},
         "intensity_mode": "auto",
-        "unmatched": sorted(file_of(r) for r in rows if r["status"] != "paired"),
+        "unmatched": sorted([file_of(r) for r in rows if r["status"] != "paired"] + hidden),
         "notes": [f"{r['dir'] or '.'}: key {r['key']!r} has one file only: {file_of(r)}"
-                  for r in rows if r["status"] == "half"],
+                  for r in rows if r["status"] == "half"]
+        + [f"{path}: Spark cannot read names that begin with _ or .; rename it" for path in hidden],
     }
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite
+from ..functions.columns import finite, parsed
 from ..operators.roles import is_numeric
 from ..runtime import col
 
@@ -37,28 +37,31 @@ class RunTable:
 
 
 def _cell(name: str) -> Column:
-    return F.when(~F.trim(col(name)).isin(*NA_TEXTS), F.trim(col(name)))
+    """The cell as it stands, NULL where its trimmed text means missing."""
+    return F.when(~F.trim(col(name)).isin(*NA_TEXTS), col(name))
 
 
-def _as_number(c: Column) -> Column:
-    """Number in a text cell; Java's trailing type letters are not numbers here."""
-    return F.when(~c.rlike(r"[0-9.][dDfF]$"), c.try_cast("double"))
+def _breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line of the file holds an odd number of quotes, so a cell goes on below."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
 def typed_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV whose columns are doubles where every present cell is a number.
 
     Typing is decided by one aggregate over all columns, so that a single ``inf``
-    does not turn a sensor into text.
+    does not turn a sensor into text.  A file is read in splits unless a quoted
+    cell runs over several lines.  Text cells keep their white space.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=_breaks_lines(spark, path))
     text = raw.select(*[_cell(c).alias(c) for c in raw.columns])
     bad = text.agg(*[
-        F.count_if(col(c).isNotNull() & _as_number(col(c)).isNull()).alias(f"_{i}")
+        F.count_if(col(c).isNotNull() & parsed(col(c)).isNull()).alias(f"_{i}")
         for i, c in enumerate(text.columns)
     ]).first()
     return text.select(*[
-        (_as_number(col(c)) if bad[f"_{i}"] == 0 else col(c)).alias(c)
+        (parsed(col(c)) if bad[f"_{i}"] == 0 else col(c)).alias(c)
         for i, c in enumerate(text.columns)
     ])
 
