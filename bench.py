@@ -33,7 +33,6 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("runwatch-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.files.maxPartitionBytes", "2m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

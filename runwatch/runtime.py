@@ -10,7 +10,9 @@ Two rules hold everywhere in the package:
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,27 @@ def _prepare_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once per application.
+
+    Workers that run in another folder, or on another machine, then import the same
+    code as the driver.  Not needed where the package is installed on every machine.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_runwatch_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="runwatch-"), "runwatch.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(home):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    sc.addPyFile(archive)
+    sc._runwatch_shipped = True
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and store it reliably; later jobs read the stored copy."""
     _prepare_checkpoint_dir(df.sparkSession)
