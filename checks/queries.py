@@ -330,6 +330,45 @@ def _(spark, d):
     return t.select("op", "component", rd("eigenvalue", 6).alias("eigenvalue"), "effective_rank")
 
 
+@query("quality_counts", f"""WITH {runs_cte()}, g AS (SELECT op, side, {", ".join(S7)}, count(*) AS copies FROM runs
+  GROUP BY ALL), d AS (SELECT op, side, CAST(sum(copies - 1) AS BIGINT) AS duplicate_rows FROM g GROUP BY op, side),
+c AS (SELECT op, side, count(*) AS n_rows, {", ".join(f"min({s}) = max({s}) AS k_{s}" for s in S7)},
+  abs({Q.pair_corr('s1', 's1_dup')}) AS r1, abs({Q.pair_corr('s2', 's2_near')}) AS r2 FROM runs GROUP BY op, side)
+SELECT op, side AS set, n_rows, 7 AS n_sensors, {r('n_rows / 7e0', 6)} AS samples_per_sensor,
+  CAST(0 AS BIGINT) AS rows_non_finite, CAST(0 AS BIGINT) AS values_non_finite, duplicate_rows,
+  concat_ws(',', {", ".join(f"CASE WHEN k_{s} THEN '{s}' END" for s in S7)}) AS constant,
+  concat_ws(',', CASE WHEN r1 >= 0.999e0 THEN 's1_dup' END, CASE WHEN r2 >= 0.999e0 THEN 's2_near' END) AS redundant
+FROM c JOIN d USING (op, side)""")
+def _(spark, d):
+    t = quality.check(runs(spark, d), ["op", "set"], S7).summary
+    return t.select("op", "set", "n_rows", "n_sensors", rd("samples_per_sensor", 6).alias("samples_per_sensor"),
+                    "rows_non_finite", "values_non_finite", "duplicate_rows",
+                    F.array_join("constant", ",").alias("constant"), F.array_join("redundant", ",").alias("redundant"))
+
+
+# the eigenvalues of a matrix add up to its trace, their squares to the squares of its cells
+_SQUARES = " + ".join(
+    f"2e0 * pow({Q.pair_corr(a, b)}, 2)" for i, a in enumerate(_LIVE) for b in _LIVE[i + 1:])
+
+
+@query("spectrum_moments", f"""WITH {runs_cte()}, m AS (SELECT op, {len(_LIVE)}e0 AS trace,
+  {len(_LIVE)}e0 + {_SQUARES} AS squares FROM runs WHERE side = 'nominal' GROUP BY op)
+SELECT op, CAST({len(_LIVE)} AS BIGINT) AS components, {r('trace', 6)} AS trace, {r('squares', 5)} AS squares FROM m""")
+def _(spark, d):
+    t = quality.check(nominal(spark, d), ["op"], S7).spectrum()
+    return t.groupBy("op").agg(
+        F.count("*").alias("components"), rd(F.sum("eigenvalue"), 6).alias("trace"),
+        rd(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), 5).alias("squares"))
+
+
+@query("largest_intensities", f"""WITH {runs_cte()}, t AS (SELECT op, class, run_id, abs(intensity) AS x,
+  row_number() OVER (PARTITION BY op, class ORDER BY abs(intensity) DESC, run_id) AS place
+  FROM runs WHERE side = 'failure' AND intensity IS NOT NULL AND class IS NOT NULL)
+SELECT op, class, CAST(place AS INT) AS place, run_id, {r('x', 6)} AS intensity FROM t WHERE place <= 5""")
+def _(spark, d):
+    return sel.largest_intensities(runs(spark, d), 5).withColumn("intensity", rd("intensity", 6))
+
+
 # -- preparation ----------------------------------------------------------------------------------
 
 @query("scaler_table", f"""WITH {runs_cte()} {" UNION ALL ".join(
@@ -595,6 +634,15 @@ def _(spark, d):
     return bank.to_frame().withColumns({"threshold": rd("threshold", 4), "cond": rd("cond", 2)})
 
 
+@query("bank_overview", scored("ledoit_wolf") + f"""SELECT op, 'default' AS chain, 'FittedMahalanobis' AS model,
+  CAST(n AS BIGINT) AS n_train, 4 AS sensors_used, 'empirical' AS rule, {r('thr', 6)} AS threshold
+  FROM models JOIN limits USING (op)""")
+def _(spark, d):
+    bank = ModelBank.fit(Dataset.from_runs(runs(spark, d), S7), DEFAULT)
+    return bank.to_frame().select("op", "chain", "model", "n_train", "sensors_used", "rule",
+                                  rd("threshold", 6).alias("threshold"))
+
+
 @query("score_mcd")
 def _(spark, d):
     t = fitted_scores(spark, d, Mahalanobis(cov="mcd", scaler="robust", threshold="chi2", alpha=0.01))
@@ -720,6 +768,14 @@ def _(spark, d):
     return t.select("op", "class", rd("i90", 3).alias("i90"), rd("i90_95", 3).alias("i90_95"))
 
 
+@query("pod_bootstrap_bounds", f"""WITH {runs_cte()} SELECT DISTINCT op, class, TRUE AS above, TRUE AS near
+  FROM runs WHERE side = 'failure'""")
+def _(spark, d):
+    t = _pod(spark, d, n_boot=200).result
+    ratio = F.col("i90_95") / F.col("i90")
+    return t.select("op", "class", (ratio >= 1).alias("above"), (ratio <= 1.1).alias("near"))
+
+
 _SENS = ", ".join(
     f"regr_slope(z_{s}, x) AS slope_{s}, avg(abs(z_{s})) FILTER (WHERE x >= cut) AS dev_{s}, "
     f"covar_pop(z_{s}, x)/(stddev_pop(z_{s})*stddev_pop(x)) AS r_{s}, count(z_{s}) AS n_{s}" for s in S4)

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import FAILURE, NOMINAL, finite, number
@@ -50,6 +50,20 @@ def class_counts(runs: DataFrame) -> DataFrame:
     return named.groupBy("op", "class").agg(F.count(F.lit(1)).alias("n")).orderBy("op", "class")
 
 
+def largest_intensities(runs: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` runs of largest intensity of each class: ``op, class, place, run_id, intensity``.
+
+    Only the first ``n`` rows of a class and task are shuffled; ties go by run.
+    """
+    rows = failure_runs(runs).select(
+        "op", F.col("class").cast("string").alias("class"), "run_id",
+        F.abs(signed_intensity(runs)).alias("intensity")).where("intensity IS NOT NULL AND class IS NOT NULL")
+    place = F.row_number().over(
+        Window.partitionBy("op", "class").orderBy(F.col("intensity").desc(), F.col("run_id")))
+    return rows.withColumn("place", place).where(F.col("place") <= n).select(
+        "op", "class", "place", "run_id", "intensity")
+
+
 def intensity_mode(lo: Column, hi: Column) -> Column:
     """Hint at the unit: percent (0-100 or a fraction), absolute, or unknown."""
     return (
