@@ -45,8 +45,8 @@ def bounded(df: DataFrame) -> DataFrame:
     need a bound in bytes and not in rows.  A lower bound of the session stays.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int("".join(c for c in df.sparkSession.conf.get(key) if c.isdigit() or c == "-"))
-    if not 0 < now <= BATCH_BYTES:
+    units = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils
+    if not 0 < units.byteStringAsBytes(df.sparkSession.conf.get(key)) <= BATCH_BYTES:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
     return df
 

@@ -132,3 +132,17 @@ def test_packing_takes_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "c"), (1, "c")], "doc_id long, text string")
     out = packing.pack(rows).collect()
     assert len(out) == 4 and len({(r.sequence_id, r.offset) for r in out}) == 4
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    from runwatch.llm import shared
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("64m", str(shared.BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(key, given)
+            shared.bounded(spark.range(1))
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
