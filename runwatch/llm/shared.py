@@ -114,8 +114,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b", rounds: int
     """``(id, component_id)`` for every id that occurs in ``links``; the smallest reachable id.
 
     Alternating large-star and small-star steps.  A hub never gathers its neighbours in one
-    task: its smallest neighbour comes from a partial aggregate and is joined back, which Spark
-    can split.  Stops when a step changes nothing; raises if ``rounds`` steps are not enough.
+    task: its smallest neighbour comes from a partial aggregate and is stored, so that the join
+    back stands alone and Spark can split or broadcast it.  Stops when a step changes nothing; raises if ``rounds`` steps are not enough.
     """
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
     edges = runtime.materialise(edges.where("u != v").distinct())
@@ -128,12 +128,13 @@ def components(links: DataFrame, left: str = "a", right: str = "b", rounds: int
         if state[0] == 0:
             break
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            "u", F.least("u", "m").alias("m"))
+        low = runtime.materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(
+            "u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = runtime.materialise(large)
+        low = runtime.materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         linked = large.join(low, "u")
         small = linked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).select(
