@@ -77,16 +77,18 @@ def invert(b0: Column, b1: Column, target: float) -> Column:
     return F.when(log_i <= 700.0, F.exp(log_i))
 
 
-def detection_cells(frame: DataFrame, keys: list[str]) -> DataFrame:
+def detection_cells(frame: DataFrame, keys: list[str], carry: list[str] = []) -> DataFrame:
     """The sufficient statistic ``keys, intensity, n, k``, combined before the shuffle.
 
-    Everything below reads these cells, so the runs are scored exactly once.
+    Everything below reads these cells, so the runs are scored exactly once; ``carry``
+    names columns that are constant in a group and come along.
     Missing intensities share one NULL cell per group.
     """
     return materialise(
-        frame.select(*keys, finite(F.col("intensity")).alias("intensity"), "detected")
+        frame.select(*keys, finite(F.col("intensity")).alias("intensity"), "detected", *carry)
         .groupBy(*keys, "intensity")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("detected").alias("k"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("detected").alias("k"),
+             *[F.max(c).alias(c) for c in carry])
     )
 
 
@@ -129,16 +131,18 @@ def fit_pod(
     exact_rows: int | None = None, cells_per_task: int | None = None,
 ) -> Pod:
     """POD of every group of ``frame`` (``keys, intensity, detected, threshold, alpha``)."""
-    cells = detection_cells(frame, keys)
     settings = [c for c in ("threshold", "alpha") if c in frame.columns and c not in keys]
+    whole = detection_cells(frame, keys, settings)
+    cells = whole.drop(*settings)
     x = F.col("intensity")
     usable = x > 0
     on = lambda c: F.sum(F.when(usable, c).otherwise(0))
-    totals = materialise(cells.groupBy(*keys).agg(
+    totals = materialise(whole.groupBy(*keys).agg(
         on(F.col("n")).alias("n"), on(F.col("k")).alias("detected"),
         F.sum(F.when(x <= 0, F.col("n")).otherwise(0)).alias("n_zero"),
         F.sum(F.when(x.isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
         F.min(F.when(usable, x)).alias("i_min"), F.max(F.when(usable, x)).alias("i_max"),
+        *[F.max(c).alias(c) for c in settings],
     ))
     bins = materialise(empirical_pod(cells, keys, n_bins, min_count, confidence, exact_rows))
     crossings = empirical_crossing(bins, keys, {"i50_emp": 0.5, "i90_emp": 0.9})
@@ -147,9 +151,6 @@ def fit_pod(
         attach(cells.where(usable), seen, keys), keys, n_boot, confidence, seed, cells_per_task,
     )
     table = totals.join(crossings, keys, "left").join(fits, keys, "left")
-    if settings:
-        facts = frame.groupBy(*keys).agg(*[F.max(c).alias(c) for c in settings])
-        table = table.join(facts, keys, "left")
     return Pod(materialise(_conclude(table, keys, n_boot, settings)), bins, list(keys))
 
 
