@@ -63,4 +63,30 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+groups AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: the same results by brute force, where SQL can express them
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+nodes AS (SELECT DISTINCT vec_id AS id FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93e0),
+{_REACH}, n AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN groups ON groups.id = e.vec_id LEFT JOIN n ON n.id = e.vec_id""",
+    "op5_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(
+  translate(text, '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda t: t <> '') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+  THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+nodes AS (SELECT DISTINCT doc_id AS id FROM documents),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+{_REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN groups ON groups.id = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id""",
+}
