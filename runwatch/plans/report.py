@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +24,24 @@ class Report:
     notes: list[str] = field(default_factory=list)
 
     def write(self, out: str) -> list[str]:
-        """One Parquet folder per table, partitioned by operating point."""
-        paths = []
+        """One Parquet folder per table, partitioned by operating point.
+
+        A table that cannot be computed is named in the notes, and the others are
+        written; only when none can be is the first error raised.
+        """
+        paths, errors = [], []
         for name, df in self.tables.items():
             path = f"{out.rstrip('/')}/{name}"
             writer = df.write.mode("overwrite")
-            (writer.partitionBy("op") if "op" in df.columns else writer).parquet(path)
-            paths.append(path)
+            try:
+                (writer.partitionBy("op") if "op" in df.columns else writer).parquet(path)
+            except PySparkException as error:
+                errors.append(error)
+                self.notes.append(f"table {name} left out: {str(error).splitlines()[0]}")
+            else:
+                paths.append(path)
+        if errors and not paths:
+            raise errors[0]
         return paths
 
 

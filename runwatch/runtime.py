@@ -11,6 +11,7 @@ Two rules hold everywhere in the package:
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -29,7 +30,7 @@ def _prepare_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):  # local-cluster[...] has executors of its own
             raise RuntimeError(
                 "set spark.checkpoint.dir to a folder every executor can reach"
             )

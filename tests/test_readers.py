@@ -93,3 +93,26 @@ def test_recalibration_leaves_other_models_alone(spark):
     old = {r.op: r.threshold for r in bank.models.table.select("op", "threshold").collect()}
     new = {r.op: r.threshold for r in again.models.table.select("op", "threshold").collect()}
     assert new["B"] == old["B"] and new["A"] < old["A"]
+
+
+def test_a_frame_without_op_is_scored_by_name(spark):
+    from conftest import make_op
+    from runwatch import Dataset, Mahalanobis, ModelBank
+
+    nominal = spark.createDataFrame(make_op(1, p=3, n_nominal=300, classes=1, per_class=5, redundant=False).nominal)
+    bank = ModelBank.fit(Dataset.from_frames(nominal, None, "A", label="none", intensity="none"), Mahalanobis())
+    assert bank.score(nominal, "A").where("score IS NOT NULL").count() == 300
+    with pytest.raises(KeyError):
+        bank.predict(nominal, "B")
+
+
+def test_a_failing_table_leaves_the_others(spark, tmp_path):
+    from runwatch.plans.report import Report
+
+    good = spark.range(3)
+    bad = good.select(F.raise_error(F.lit("no such thing")).alias("x"))
+    report = Report({"good": good, "bad": bad})
+    assert [p.rsplit("/", 1)[1] for p in report.write(str(tmp_path / "out"))] == ["good"]
+    assert len(report.notes) == 1 and "bad" in report.notes[0]
+    with pytest.raises(Exception):
+        Report({"bad": bad}).write(str(tmp_path / "none"))
