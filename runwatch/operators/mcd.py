@@ -1,9 +1,9 @@
 """Minimum covariance determinant (Rousseeuw & Van Driessen 1999) on all rows.
 
-Starts are searched on a bounded hash-ordered sample per group, as in the nested
-scheme of the paper; from the best start, concentration steps run over the whole
-data: distances, the exact h-th smallest one, and the Gram sums of the rows
-within it.  Each step is a few aggregates; rows are neither shuffled nor stored.
+Starts are searched in parts of bounded size that together hold every row of a
+group, as in the nested scheme of the paper; the best part gives the start.  Then
+concentration steps run over the whole data: distances, the exact h-th smallest
+one, and the Gram sums of the rows within it.  Each step is a few aggregates.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from ..functions.distributions import chi2_quantile
 from ..runtime import attach, materialise
 from .distance import distances
 from .gram import gram, per_row, unpack
-from .ordering import subsample
 from .quantiles import order_values
 
-START_ROWS = 1500
+#: rows of a part in which starts are searched
+PART_ROWS = 1500
 STARTS = 30
 #: a group that still moves after so many steps is marked and gets a warning
 MAX_STEPS = 40
@@ -114,10 +114,13 @@ def minimum_covariance_determinant(
         mean[pick], cov[np.ix_(pick, pick)] = m, c
         return pd.DataFrame([_state(pdf["op"].iloc[0], use, mean, cov)])
 
-    sample = subsample(rows, ["op"], "run_id", START_ROWS, f"mcd{seed}")
-    state = materialise(
-        attach(sample, groups.select("op", "use"), ["op"]).groupBy("op").applyInPandas(start, _STATE)
-    )
+    facts = groups.select("op", "use", F.ceil(F.col("n") / PART_ROWS).alias("_parts"))
+    parted = attach(rows, facts, ["op"], rows=ops).withColumn(
+        "_part", F.pmod(F.xxhash64("run_id", F.lit(f"mcd{seed}")), F.col("_parts")))
+    tries = parted.groupBy("op", "_part").applyInPandas(start, _STATE)
+    names = tries.columns
+    best = F.min_by(F.struct(*names), F.struct("singular", "logdet", "shift"))
+    state = materialise(tries.groupBy("op").agg(best.alias("_best")).select("_best.*").select(*names))
 
     def refit(rows_in: DataFrame, before: DataFrame) -> DataFrame:
         sums = gram(rows_in, ["op"], columns)
