@@ -3,8 +3,9 @@
 A vector is scaled to length one and cut into two halves, each with a codebook of its own; the
 pairs of codewords form a grid of cells, and every vector lies in the cell of its nearest pair.
 A probe walks the cells by the sum of its two distances and stops where that sum exceeds the
-nearest one by ``reach``.  ``reach`` is set on the codebook sample so that neighbours exactly at
-the threshold - the hardest ones - are met from one side or the other at the target recall.
+nearest one by ``reach``.  ``reach`` is set on samples so that neighbours exactly at the threshold -
+the hardest ones - are met from one side or the other at the target recall: neighbours by noise in
+all directions, real pairs of a sample, and steps along the directions in which the data vary.
 Every pair that meets is verified in double precision.
 
 Cells are compared in blocks of bounded size.  A block returns counts and one edge per linked
@@ -33,6 +34,10 @@ SAMPLE = 20_000
 PER_CELL = 256
 MAX_CODEWORDS = 2048
 RECALL = 0.999
+#: vectors the reach is measured from, partners of one vector, and the cosines counted as near the threshold
+PROBES = 4000
+PARTNERS = 8
+NEAR = 0.01
 #: vectors of one side of a block
 BLOCK = 256
 
@@ -53,16 +58,68 @@ def _codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return book
 
 
-def fit(sample: np.ndarray, codewords: int, threshold: float, recall: float, seed: int = 7):
-    """(codebook of the first half, of the second half, reach) from unit vectors."""
+def _picked(able: np.ndarray, most: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of at most ``most`` random true cells of each row."""
+    draw = np.where(able, rng.random(able.shape, np.float32), np.float32(2))
+    most = min(most, able.shape[1])
+    at = np.argpartition(draw, most - 1, axis=1)[:, :most]
+    row, k = np.nonzero(np.take_along_axis(able, at, 1))
+    return row, at[row, k]
+
+
+def _neighbours(x: np.ndarray, own: np.ndarray, held: np.ndarray, labels: np.ndarray, threshold: float,
+                rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Three kinds of pairs of ``x`` (labels ``own``) with what ``held`` (``labels``) shows of its neighbours.
+
+    Real pairs of one label just above the threshold; all real pairs above it; and where the
+    sample is too thin to hold pairs, steps from a vector towards its nearest others below the
+    threshold, as long as the threshold allows.  No row gives more than a few pairs of a kind,
+    so that a hot group does not hide the others.
+    """
+    kinds = [[], [], []]
+    for lo in range(0, len(x), 256):
+        part = x[lo:lo + 256]
+        cosine = part @ held.T
+        alike = own[lo:lo + 256, None] == labels[None, :]
+        linked = alike & (cosine >= threshold) & (cosine < 1 - 1e-9)
+        for kind, able in ((kinds[0], linked & (cosine < threshold + NEAR)), (kinds[1], linked)):
+            if able.any():
+                row, at = _picked(able, PARTNERS, rng)
+                kind.append((part[row], held[at]))
+        # others of the same label come first, those of any label only where it has none
+        rank = np.where(cosine < threshold, cosine - 4 * ~alike, -9.0)
+        most = min(PARTNERS, len(held))
+        at = np.argpartition(-rank, most - 1, axis=1)[:, :most]
+        best = np.take_along_axis(rank, at, 1)
+        row, k = np.nonzero((best > -9) & (best >= best.max(1)[:, None] - 2))
+        kinds[2].append((part[row], _at_threshold(part[row], held[at[row, k]], threshold)))
+    return [tuple(np.concatenate(side) for side in zip(*kind)) for kind in kinds if kind]
+
+
+def _at_threshold(x: np.ndarray, way: np.ndarray, threshold: float) -> np.ndarray:
+    """Unit vectors with cosine ``threshold`` to ``x`` in the direction of ``way``."""
+    away = way - (way * x).sum(1)[:, None] * x
+    away /= np.maximum(np.linalg.norm(away, axis=1), 1e-300)[:, None]
+    return threshold * x + np.sqrt(1 - threshold * threshold) * away
+
+
+def fit(sample: np.ndarray, codewords: int, threshold: float, recall: float, seed: int = 7,
+        held: np.ndarray | None = None, labels: np.ndarray | None = None):
+    """(codebook of the first half, of the second half, reach) from unit vectors.
+
+    ``reach`` is the largest that noise in all directions or any kind of ``_neighbours`` asks
+    for.  The latter come from ``held`` with its ``labels``: vectors the codebooks have not
+    seen, or the sample where that is all there is.
+    """
     rng = np.random.default_rng(seed)
     half = sample.shape[1] // 2
     books = [_codebook(sample[:, :half], codewords, rng), _codebook(sample[:, half:], codewords, rng)]
-    x = sample[rng.choice(len(sample), 4000)]
-    away = rng.normal(size=x.shape)
-    away -= (away * x).sum(1)[:, None] * x
-    away /= np.maximum(np.linalg.norm(away, axis=1), 1e-300)[:, None]
-    y = threshold * x + np.sqrt(1 - threshold * threshold) * away
+    held = sample if held is None or not len(held) else held
+    labels = np.zeros(len(held)) if labels is None or len(labels) != len(held) else labels
+    x = sample[rng.choice(len(sample), PROBES)]
+    kinds = [(x, _at_threshold(x, rng.normal(size=x.shape), threshold))]
+    at = rng.choice(len(held), min(PROBES, len(held)), replace=False)
+    kinds += _neighbours(held[at], labels[at], held, labels, threshold, rng)
 
     def excess(a, b):
         """How much farther b's cell is from a than a's own cell."""
@@ -72,7 +129,12 @@ def fit(sample: np.ndarray, codewords: int, threshold: float, recall: float, see
             out = out + da[np.arange(len(a)), _distances(b[:, part], book).argmin(1)] - da.min(1)
         return out
 
-    reach = np.quantile(np.minimum(excess(x, y), excess(y, x)), recall)
+    def asked(a, b):
+        lowest = [np.minimum(excess(a[k:k + PROBES], b[k:k + PROBES]), excess(b[k:k + PROBES], a[k:k + PROBES]))
+                  for k in range(0, len(a), PROBES)]
+        return np.quantile(np.concatenate(lowest), recall)
+
+    reach = max(asked(a, b) for a, b in kinds if len(a))
     return books[0], books[1], float(reach) * 1.05 + 1e-9
 
 
@@ -148,13 +210,19 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, sample: in
     for dim, n in dims.items():
         if dim < 2:
             continue
-        picked = good.where(F.col("dim") == dim).where(
-            F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.lit(int(np.ceil(1e6 * min(1.0, sample / n)))))
-        fitted = np.array(picked.select("embedding").toPandas()["embedding"].tolist(), np.float64)
+        share = int(np.ceil(1e6 * min(1.0, sample / n)))
+        draw = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000))
+        picked = good.where(F.col("dim") == dim).where(draw < F.lit(min(2 * share, 1_000_000)))
+        picked = picked.select("embedding", "label", (draw < F.lit(share)).alias("fits")).toPandas()
         words = int(min(MAX_CODEWORDS, max(1, np.sqrt(n / per_cell))))
-        if len(fitted):
-            fitted /= np.linalg.norm(fitted, axis=1)[:, None]
-            books[dim] = fit(fitted, words, threshold, recall)
+        fits = picked["fits"].to_numpy(bool)
+        if fits.any():
+            x = np.array(picked["embedding"].tolist(), np.float64)
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            # rows left for the reach may be few where the sample is most of the table; then it sees all
+            unseen = ~fits if 2 * share <= 1_000_000 else np.ones(len(x), bool)
+            books[dim] = fit(x[fits], words, threshold, recall, held=x[unseen],
+                             labels=np.unique(picked["label"], return_inverse=True)[1][unseen])
     shipped = spark.sparkContext.broadcast(books)  # two books of at most MAX_CODEWORDS halves a dimension
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

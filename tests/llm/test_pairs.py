@@ -146,6 +146,19 @@ def test_near_vectors_against_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_near_vectors_that_vary_in_few_directions(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(5000, 4)) @ rng.normal(size=(4, 64)) / 2 + 0.05 * rng.normal(size=(5000, 64))
+    label = np.arange(5000) % 3
+    frame = spark.createDataFrame([(k, [float(v) for v in x[k]], int(label[k])) for k in range(5000)],
+                                  "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in multiindex.near_vectors(frame, per_cell=64).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = ((x @ x.T >= 0.93) & (label[:, None] == label[None, :])).sum(1) - 1
+    assert all(got[k] <= want[k] for k in range(5000))
+    assert sum(got.values()) >= 0.999 * want.sum() > 50_000
+
+
 def test_near_vectors_of_odd_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert multiindex.near_vectors(spark.createDataFrame([], schema)).count() == 0
