@@ -202,11 +202,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """The rows of ``docs``, all columns, without the other documents of each linked group.
 
     The document with the smallest id of a group stays; rows that share that id all stay.
     """
-    found = near_duplicates(docs, percent)
+    found = near_duplicates(docs, percent, bands)
     gone = runtime.materialise(found.where("NOT kept").select("doc_id").distinct())
     return runtime.attach(docs, gone, ["doc_id"], row_bytes=32, how="left_anti").select(*docs.columns)

@@ -33,6 +33,21 @@ def test_stages_keep_columns_and_their_decisions_hold(spark):
     assert len(whole) == len(pieces) and set(whole["doc_id"]) == set(pieces["doc_id"])
 
 
+def test_copies_at_the_limit_of_the_stage_go(spark):
+    words = [f"w{k}" for k in range(400)]
+    near, far = list(words), list(words)
+    for k in range(8):  # each takes five of the 396 shingles
+        near[25 + 43 * k] = f"n{k}"
+    for k in range(16):
+        far[12 + 25 * k] = f"f{k}"
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (words, near, far)]
+    alike = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
+    assert 0.8 < alike[0] < 0.85 and alike[1] < 0.75
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((words, near, far))],
+                                 "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.without_copies(spark, docs, SF).collect()} == {0, 2}
+
+
 def test_empty_documents_pass_every_stage(spark):
     docs = shared.documents(spark, SF).limit(0)
     for _, stage in pipeline.STAGES:
