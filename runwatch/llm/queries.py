@@ -95,7 +95,7 @@ def _windows_sql(width: int) -> str:
     return f"""g{width} AS (SELECT doc_id, i, n, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i
   ROWS BETWEEN CURRENT ROW AND {width - 1} FOLLOWING) AS g FROM p),
 m{width} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) > 1 AS later,
-  count(*) OVER (PARTITION BY doc_id, g) > 1 AS some FROM g{width} WHERE i <= n - {width})"""
+  count(*) OVER (PARTITION BY doc_id, g) > 1 AS twice FROM g{width} WHERE i <= n - {width})"""
 
 
 def _covered_sql(width: int) -> str:
@@ -110,7 +110,7 @@ _REPETITION_SQL = f"""WITH w AS (SELECT doc_id, text, list_filter(string_split_r
 p AS (SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS x FROM w),
 {", ".join(_windows_sql(k) for k in (3, *_WIDTHS))},
 {", ".join(_covered_sql(k) for k in _WIDTHS)},
-r AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, i + k FROM m3, range(3) AS r(k) WHERE some)
+r AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, i + k FROM m3, range(3) AS r(k) WHERE twice)
   GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
 k AS (SELECT *, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS c,
