@@ -4,7 +4,9 @@ A weight table has one row per (group, chain) with, over a common sensor axis of
 length p: ``use ARRAY<BOOLEAN>``, ``shift ARRAY<DOUBLE>`` and the row-major
 ``weight ARRAY<DOUBLE>`` (p*p) with d^2 = |weight (x - shift)|^2.  Few sensors
 are scored by generated JVM code behind a broadcast join; many by one matrix
-product per Arrow batch.  Neither moves a row, and both accept streams.
+product per Arrow batch.  No row moves while the models are few; beyond
+``MODEL_BYTES`` runs and models meet block by block (``blocks``), and what moves
+is spread over salts.  All ways read the runs once and accept streams.
 """
 
 from __future__ import annotations
@@ -14,17 +16,19 @@ from functools import reduce
 from operator import add, and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import finite, number
-from ..runtime import attach, col
+from ..runtime import attach
+from .blocks import Pairs, doubles, matrix, meet, repeated
 from .gram import JVM_SENSORS
 
-#: most bytes of model weights shipped to the Python workers at once
-MODEL_BYTES = 128 * 1024 * 1024
+#: most bytes of model weights that every task holds whole
+MODEL_BYTES = 32 * 1024 * 1024
 
 
 def _flat_models(weights: DataFrame, keys: list[str], carry: list[str], p: int) -> DataFrame:
@@ -52,7 +56,7 @@ def distances(
     """
     if len(axis) <= (JVM_SENSORS if triangular else JVM_SENSORS - 2):
         return _builtin(df, weights, axis, carry, keys, contributions, triangular, rows)
-    return _arrow(df, weights, axis, carry, keys, contributions)
+    return _arrow(df, weights, axis, carry, keys, contributions, rows)
 
 
 def _builtin(df, weights, axis, carry, keys, contributions, triangular, n_models) -> DataFrame:
@@ -84,56 +88,40 @@ def _builtin(df, weights, axis, carry, keys, contributions, triangular, n_models
     return rows.withColumns(made).select(*df.columns, *carry, *made)
 
 
-def _arrow(df, weights, axis, carry, keys, contributions) -> DataFrame:
-    """Models travel as a broadcast in blocks of bounded size; each block is one pass."""
+def _arrow(df, weights, axis, carry, keys, contributions, rows) -> DataFrame:
+    """One scan whatever the number of models: each meets its runs in Arrow, never in the driver's hands
+    while they are many."""
     p = len(axis)
-    spark = df.sparkSession
-    per_block = max(1, MODEL_BYTES // (8 * p * (p + 2)))
-    names = [tuple(r) for r in weights.select(*keys).distinct().sort(*keys).collect()]
-    out = T.StructType(
-        list(df.schema.fields)
-        + [weights.schema[c] for c in carry]
-        + [T.StructField("d2", T.DoubleType())]
-        + ([T.StructField("parts", T.ArrayType(T.DoubleType()))] if contributions else [])
-    )
-    blocks = []
-    for at in range(0, max(len(names), 1), per_block):
-        chosen = names[at:at + per_block]
-        few = spark.createDataFrame(chosen, weights.select(*keys).schema)
-        local: dict[tuple, list] = {}
-        table = weights.join(F.broadcast(few), keys).select(*keys, *carry, "use", "shift", "weight")
-        for r in table.collect():
-            local.setdefault(tuple(r[k] for k in keys), []).append((
-                {c: r[c] for c in carry}, np.array(r["use"], dtype=bool),
-                np.array(r["shift"], dtype=float), np.array(r["weight"], dtype=float).reshape(p, p),
-            ))
-        sent = spark.sparkContext.broadcast(local)
-        rows = df.join(F.broadcast(few), keys, "left_semi")
-        clean = rows.withColumns({f"_x{j}": finite(number(df, s)) for j, s in enumerate(axis)})
-        blocks.append(clean.mapInPandas(_scorer(sent, p, keys, contributions, out), out))
-    return reduce(DataFrame.unionByName, blocks)
-
-
-def _scorer(sent, p: int, keys: list[str], contributions: bool, out: T.StructType):
-    names = out.fieldNames()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = sent.value
-        for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False):
-                x = part[[f"_x{j}" for j in range(p)]].to_numpy(dtype=float)
-                base = part.drop(columns=[f"_x{j}" for j in range(p)])
-                for facts, use, shift, weight in models.get(key, []):
-                    delta = np.where(use, x - shift, 0.0)
-                    y = delta @ weight.T
-                    made = base.copy()
-                    for name, fact in facts.items():
-                        made[name] = [fact] * len(made) if isinstance(fact, list) else fact
-                    d2 = np.einsum("ij,ij->i", y, y)
-                    made["d2"] = pd.array(d2, dtype="Float64")
-                    if contributions:
-                        cells = list(delta * (y @ weight))
-                        made["parts"] = [None if np.isnan(v) else c for c, v in zip(cells, d2)]
-                    yield made[names]
-
-    return run
+    made = [T.StructField("d2", T.DoubleType())]
+    if contributions:
+        made.append(T.StructField("parts", T.ArrayType(T.DoubleType())))
+    out = T.StructType([*df.schema.fields, *[weights.schema[c] for c in carry], *made])
+    # text and other odd types are read as numbers by the JVM, the rest in the batch itself
+    odd = {s: f"_x{j}" for j, s in enumerate(axis) if not isinstance(df.schema[s].dataType, T.NumericType)}
+    ready = df.withColumns({x: number(df, s) for s, x in odd.items()}) if odd else df
+    facts = weights.select(*keys, *carry, "use", "shift", "weight")
+    work = _scorer(df.columns, [odd.get(s, s) for s in axis], carry, contributions, to_arrow_schema(out))
+    return meet(ready, facts, keys, work, out, 8 * p * (p + 2) + 256, rows, MODEL_BYTES)
+
+
+def _scorer(columns: list[str], axis: list[str], carry: list[str], contributions: bool, out: pa.Schema):
+    p = len(axis)
+    kinds = {c: out.field(len(columns) + k).type for k, c in enumerate(carry)}
+
+    def work(pairs: Pairs) -> Iterator[pa.RecordBatch]:
+        for _, models, batch in pairs:
+            x = matrix(batch, axis)
+            base = [batch.column(i) for i in range(len(columns))]
+            for model in models:
+                weight = model["weight"].reshape(p, p)
+                delta = np.where(model["use"], x - model["shift"], 0.0)
+                y = delta @ weight.T
+                d2 = np.einsum("ij,ij->i", y, y)
+                made = [repeated(model[c], kinds[c], len(d2)) for c in carry] + [doubles(d2)]
+                if contributions:
+                    cells = pa.array((delta * (y @ weight)).ravel())
+                    ends = pa.array(np.arange(len(d2) + 1, dtype=np.int32) * p)
+                    made.append(pa.ListArray.from_arrays(ends, cells, mask=pa.array(np.isnan(d2))))
+                yield pa.RecordBatch.from_arrays([*base, *made], schema=out)
+
+    return work

@@ -2,9 +2,10 @@
 
 The result is a packed vector per group, ``[n, sum z, upper triangle of sum z z',
 sum |z|^4]``.  Few sensors are summed by built-in aggregates inside generated
-code; many sensors go through Arrow batches, each partition emitting one vector
-per group, which the JVM then adds element by element, so that a hot group is
-spread over p*p/2 keys instead of one reducer.  Rows are never shuffled.
+code; many sensors are standardised and multiplied batch by batch in Arrow, each
+task making one vector per group, and the vectors are added in a tree of whole
+chunks (``sums``).  Rows are not shuffled, unless their scalings are too many to
+send to every task (``blocks``).
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from operator import add, and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import array_of, finite, number
 from ..runtime import attach, col
+from .blocks import Pairs, by_group, doubles, matrix, meet
+from .sums import Partials, key_fields, partial_vectors, summed, vector_schema
 
 #: up to this many sensors the products are built-in sums in generated code
 JVM_SENSORS = 8
-_FLUSH_BYTES = 64 * 1024 * 1024
 
 
 def clean(df: DataFrame, sensors: list[str], keep: list[str]) -> DataFrame:
@@ -57,19 +61,68 @@ def standard_columns(
 ) -> DataFrame:
     """Attach ``center, scale, use`` arrays and return ``keep`` plus z columns.
 
-    A sensor outside the group's ``use`` mask becomes 0, so that it adds nothing.
+    A sensor outside the group's ``use`` mask becomes 0, so that it adds nothing.  Many sensors
+    are standardised in Arrow, where the arrays meet a whole batch instead of every row.
     """
+    keep = keys if keep is None else keep
     p = len(sensors)
-    joined = attach(
-        df, stats.select(*keys, "center", "scale", F.col(use).alias("_use")), keys,
-        row_bytes=24 * p + 64, rows=rows,
-    )
+    facts = stats.select(*keys, "center", "scale", F.col(use).alias("_use"))
+    if p > JVM_SENSORS:
+        narrow = df.select(*dict.fromkeys([*keys, *keep]), *[col(s) for s in sensors])
+        fields = [df.schema[k] for k in keep] + [
+            T.StructField(f"z{j}", T.DoubleType()) for j in range(p)]
+
+        def work(pairs: Pairs) -> Iterator[pa.RecordBatch]:
+            for _, (fact,), batch in pairs:
+                z = standardised(matrix(batch, sensors), fact)
+                at = [batch.column(batch.schema.get_field_index(k)) for k in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [*at, *[doubles(z[:, j]) for j in range(p)]], [f.name for f in fields])
+
+        return meet(narrow, facts, keys, work, T.StructType(fields), 24 * p + 64, rows)
+    joined = attach(df, facts, keys, row_bytes=24 * p + 64, rows=rows)
     z = [
         F.when(F.col("_use")[j], (col(s) - F.col("center")[j]) / F.col("scale")[j])
         .otherwise(F.lit(0.0)).alias(f"z{j}")
         for j, s in enumerate(sensors)
     ]
-    return joined.select(*(keys if keep is None else keep), *z)
+    return joined.select(*keep, *z)
+
+
+def standardised(x: np.ndarray, fact: dict) -> np.ndarray:
+    """(x - center) / scale of a batch; 0 in sensors that are not used."""
+    use = fact["_use"]
+    center, scale = (np.where(use, fact[c], 1.0) for c in ("center", "scale"))
+    return np.where(use, (x - center) / scale, 0.0)
+
+
+def standard_gram(
+    df: DataFrame, stats: DataFrame, keys: list[str], sensors: list[str], quartic: bool = False,
+    by: list[str] = [], rows: int | None = None,
+) -> DataFrame:
+    """``gram`` of the standardised sensors, per ``keys`` and ``by`` (columns of the rows).
+
+    With many sensors a batch is standardised and summed in one Arrow function.
+    """
+    group, p = [*keys, *by], len(sensors)
+    if not _wide(p, quartic):
+        z = standard_columns(df, stats, keys, sensors, keep=group, rows=rows)
+        return gram(z, group, [f"z{j}" for j in range(p)], quartic)
+    narrow = df.select(*group, *[col(s) for s in sensors])
+    facts = stats.select(*keys, "center", "scale", F.col("use").alias("_use"))
+    fields = key_fields(narrow, group)
+
+    def work(pairs: Pairs) -> Iterator[pa.RecordBatch]:
+        held = Partials(fields)
+        for _, (fact,), batch in pairs:
+            for key, part in by_group(batch, group):
+                z = standardised(matrix(part, sensors), fact)
+                held.add(key, pack(z[~np.isnan(z).any(axis=1)], quartic))
+            if held.full():
+                yield from held.batches()
+        yield from held.batches()
+
+    return summed(meet(narrow, facts, keys, work, vector_schema(narrow, group), 24 * p + 64, rows), group)
 
 
 def packed_size(p: int, quartic: bool = False) -> int:
@@ -88,9 +141,18 @@ def gram(
     """
     whole = reduce(and_, [F.col(c).isNotNull() for c in columns])
     rows = df.where(whole)
-    if packed_size(len(columns), quartic) <= packed_size(JVM_SENSORS):
+    if not _wide(len(columns), quartic):
         return _gram_builtin(rows, keys, columns, quartic)
-    return _gram_arrow(rows, keys, columns, quartic)
+
+    def vectors(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        for key, part in by_group(batch, keys):
+            yield key, pack(matrix(part, columns), quartic)
+
+    return summed(partial_vectors(rows.select(*keys, *columns), keys, vectors), keys)
+
+
+def _wide(p: int, quartic: bool) -> bool:
+    return packed_size(p, quartic) > packed_size(JVM_SENSORS)
 
 
 def _gram_builtin(rows: DataFrame, keys: list[str], columns: list[str], quartic: bool) -> DataFrame:
@@ -123,39 +185,6 @@ def pack(z: np.ndarray, quartic: bool) -> np.ndarray:
     return np.concatenate([*head, [np.dot(total, total)]])
 
 
-def _gram_arrow(rows: DataFrame, keys: list[str], columns: list[str], quartic: bool) -> DataFrame:
-    size = packed_size(len(columns), quartic)
-
-    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
-
-        def emit() -> pd.DataFrame:
-            out = pd.DataFrame(list(sums), columns=keys)
-            out["acc"] = list(sums.values())
-            return out
-
-        for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False):
-                vec = pack(part[columns].to_numpy(dtype=float), quartic)
-                sums[key] = sums[key] + vec if key in sums else vec
-            if len(sums) * size * 8 > _FLUSH_BYTES:
-                yield emit()
-                sums = {}
-        if sums:
-            yield emit()
-
-    key_fields = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
-    parts = rows.select(*keys, *columns).mapInPandas(
-        partials, ", ".join([*key_fields, "acc array<double>"])
-    )
-    cells = parts.select(*keys, F.posexplode("acc").alias("at", "v"))
-    summed = cells.groupBy(*keys, "at").agg(F.sum("v").alias("v"))
-    cell = F.struct("at", "v")
-    return summed.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(cell)), lambda s: s["v"]).alias("acc")
-    )
-
-
 def _square(values: np.ndarray, p: int) -> np.ndarray:
     full = np.zeros((p, p))
     full[np.triu_indices(p)] = values

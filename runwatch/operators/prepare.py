@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import array_of, hash_uniform
 from ..runtime import attach, col, materialise
-from .gram import clean, correlation, gram, moments, per_row, standard_columns
+from .gram import clean, correlation, moments, per_row, standard_gram
 from .quantiles import EXACT_ROWS, grouped_quantiles
 
 #: |r| from which two sensors count as collinear (fixed value)
@@ -143,9 +143,7 @@ def correlation_sums(
     rows: DataFrame, stats: DataFrame, keys: list[str], sensors: list[str]
 ) -> DataFrame:
     """Stats joined with the packed Gram of the rows complete in the live sensors."""
-    z = standard_columns(rows, stats, keys, sensors)
-    sums = gram(z, keys, [f"z{j}" for j in range(len(sensors))])
-    return stats.join(sums, keys, "left")
+    return stats.join(standard_gram(rows, stats, keys, sensors), keys, "left")
 
 
 def drop_redundant(

@@ -68,7 +68,7 @@ def partial_vectors(
     vectors: Callable[[pa.RecordBatch], Iterator[tuple[tuple, np.ndarray]]],
 ) -> DataFrame:
     """``keys, _at, _cells``: the vectors a batch gives for each group, added within a task."""
-    fields = _key_fields(df, keys)
+    fields = key_fields(df, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Partials(fields)
@@ -79,7 +79,7 @@ def partial_vectors(
                 yield from held.batches()
         yield from held.batches()
 
-    return df.mapInArrow(run, _schema(df, keys))
+    return df.mapInArrow(run, vector_schema(df, keys))
 
 
 def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,7 +100,7 @@ def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
 def _added(rows: DataFrame, keys: list[str], branch: list[str], order: list[str]) -> DataFrame:
     """One row per (keys, branch, chunk): a streaming sum over sorted rows."""
     group = [*keys, *branch, "_at"]
-    fields = _key_fields(rows, [*keys, *branch])
+    fields = key_fields(rows, [*keys, *branch])
     width = len(fields)
     narrow = rows.select(*group, *order, "_cells").repartition(*group).sortWithinPartitions(*group, *order)
 
@@ -122,15 +122,15 @@ def _added(rows: DataFrame, keys: list[str], branch: list[str], order: list[str]
         if now is not None:
             yield _batch(fields, [now[:-1]], [now[-1]], [total])
 
-    return narrow.mapInArrow(run, _schema(rows, [*keys, *branch]))
+    return narrow.mapInArrow(run, vector_schema(rows, [*keys, *branch]))
 
 
-def _key_fields(df: DataFrame, keys: list[str]) -> list[pa.Field]:
+def key_fields(df: DataFrame, keys: list[str]) -> list[pa.Field]:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return list(to_arrow_schema(T.StructType([df.schema[k] for k in keys])))
 
 
-def _schema(df: DataFrame, keys: list[str]) -> T.StructType:
+def vector_schema(df: DataFrame, keys: list[str]) -> T.StructType:
     return T.StructType([df.schema[k] for k in keys] + [
         T.StructField("_at", T.IntegerType()), T.StructField("_cells", T.ArrayType(T.DoubleType()))])

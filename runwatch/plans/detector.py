@@ -18,7 +18,7 @@ from ..functions.columns import flag
 from ..functions.covariance import estimate, factorise, model_thresholds
 from ..operators.distance import distances
 from ..operators.gram import (
-    clean, correlation, fourth_power, gram, moments, per_row, standard_columns, unpack,
+    clean, correlation, fourth_power, moments, per_row, standard_columns, standard_gram, unpack,
 )
 from ..operators.mcd import minimum_covariance_determinant
 from ..operators.ordering import before_cut, hash_cut
@@ -272,9 +272,8 @@ class Mahalanobis(Detector):
         held = before_cut(F.col("run_id"), self.seed)
         tagged = marked.withColumns({"_held": held, "_calib": held | F.col("tiny")})
         tagged = tagged.drop("cut_hash", "cut_id", "tiny")
-        z = standard_columns(tagged, plan, ["op"], sensors, keep=["op", "_held"], rows=facts["ops"])
-        sums = gram(z, ["op", "_held"], [f"z{j}" for j in range(len(sensors))],
-                    quartic=self.cov == "ledoit_wolf")
+        sums = standard_gram(tagged, plan, ["op"], sensors, quartic=self.cov == "ledoit_wolf",
+                             by=["_held"], rows=facts["ops"])
         side = lambda flag_: F.max(F.when(F.col("_held") == flag_, F.col("acc")))
         per_op = sums.groupBy("op").agg(side(False).alias("acc"), side(True).alias("acc_held"))
         table = plan.join(per_op, "op").withColumnRenamed("n", "n_all")
@@ -367,9 +366,8 @@ class Mahalanobis(Detector):
 
     def _models(self, train, scaler, axis):
         about = scaler.withColumn("center", F.col("mean"))
-        z = standard_columns(train, about, ["op"], axis)
         columns = [f"z{j}" for j in range(len(axis))]
-        sums = gram(z, ["op"], columns)
+        sums = standard_gram(train, about, ["op"], axis)
         if self.cov == "mcd":
             robust = minimum_covariance_determinant(
                 standard_columns(train, about, ["op"], axis, keep=["op", "run_id"]),

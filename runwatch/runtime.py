@@ -80,21 +80,30 @@ def attach(
     counted here, so it should be materialised, unless the caller already knows
     its size (``rows``).  Within ``limit`` bytes it is
     broadcast, which leaves the partitioning of ``df`` alone.  Beyond it both
-    sides are salted: each key of ``df`` is spread over ``JOIN_SALTS`` reducers
-    and ``small`` is replicated to match.
+    sides are salted: each key of ``df`` is spread over ``JOIN_SALTS`` reducers by
+    the partition its rows come from, and ``small`` is replicated to match.
     """
     limit = BROADCAST_BYTES if limit is None else limit
     if (small.count() if rows is None else rows) * row_bytes <= limit:
         return df.join(F.broadcast(small), keys, how)
-    salted = df.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(JOIN_SALTS))
-    )
-    copies = small.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).cast("bigint")
-    )
+    # a row's partition is known to every retry, and equal rows of one group are spread as well
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(JOIN_SALTS)))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
     return salted.join(copies.hint("shuffle_merge"), [*keys, "_salt"], how).drop("_salt")
 
 
+def bounded_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """``df`` as it is, with the session's bound on the bytes of an Arrow batch at most ``size``.
+
+    For rows so wide that a bound on their number does not bound a batch.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    units = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils
+    if not 0 < units.byteStringAsBytes(df.sparkSession.conf.get(key)) <= size:
+        df.sparkSession.conf.set(key, str(size))
+    return df
+
+
 def col(name: str) -> Column:
     """Column by exact name, also when the name holds dots or spaces."""
     return F.col("`" + name.replace("`", "``") + "`")
