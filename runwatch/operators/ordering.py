@@ -1,9 +1,11 @@
 """Exact random cuts, samples and splits without sorting a whole group.
 
-A cut is the hash of the k-th run in a repeatable random order.  It is found
-from bucket counts plus a window over the one bucket that holds rank k, so no
-task sees more than about ``BUCKET_ROWS`` rows of a group.  Once the cut is
-known, splitting is a row-wise comparison.
+A cut is the hash of the k-th run in a repeatable random order.  It is found digit
+by digit: the runs of a group are counted by the next hexadecimal digits of their
+hash, the counts tell in which of these buckets rank k lies, and so on until the
+bucket holds at most ``BUCKET_ROWS`` runs.  Only those are sorted, so no task sees
+more of a group, however large it is.  Once the cut is known, splitting is a
+row-wise comparison.
 """
 
 from __future__ import annotations
@@ -17,13 +19,10 @@ from ..functions.columns import hash_order
 from ..runtime import attach, materialise
 from .quantiles import order_values
 
-BUCKET_ROWS = 1_000_000
-_SPAN = float(2**32)
-
-
-def _bucket(h: Column, buckets: int) -> Column:
-    head = F.conv(F.substring(h, 1, 8), 16, 10).cast("double")
-    return F.floor(head * F.lit(buckets / _SPAN)).cast("int")
+BUCKET_ROWS = 10_000
+#: hexadecimal digits of a hash, and the most a pass counts by
+HASH_DIGITS = 32
+PASS_DIGITS = 4
 
 
 def hash_cut(
@@ -49,28 +48,53 @@ def hash_cut(
     take = take.where(F.col("k") >= 1)
     if largest is None:
         largest = take.agg(F.max("n")).first()[0] or 0
-    buckets = max(1, math.ceil(largest / bucket_rows))
-    rows = attach(rows, take.select(*keys, "k"), keys, rows=n_groups)
-    if buckets == 1:
-        boundary = rows.withColumn("left", F.col("k"))
-    else:
-        rows = rows.withColumn("_b", _bucket(F.col("_h"), buckets))
-        run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        ends = (
-            rows.groupBy(*keys, "k", "_b").agg(F.count(F.lit(1)).alias("c"))
-            .withColumn("end", F.sum("c").over(run))
-            .where((F.col("end") >= F.col("k")) & (F.col("end") - F.col("c") < F.col("k")))
-            .select(*keys, "_b", (F.col("k") - F.col("end") + F.col("c")).alias("left"))
-        )
-        boundary = attach(rows, materialise(ends), [*keys, "_b"])
+    buckets = take.select(
+        *keys, F.lit("").alias("_head"), F.col("k").alias("left"), F.col("n").alias("_inside"))
+    depth = 0
+    if largest > bucket_rows:
+        buckets, depth = _narrow_by_digits(rows, keys, materialise(buckets), bucket_rows, n_groups)
     order = Window.partitionBy(*keys).orderBy("_h", "_id")
-    return (
-        boundary.withColumn("_r", F.row_number().over(order))
+    inside = attach(rows, buckets.drop("_inside"), keys, rows=n_groups).where(
+        F.startswith("_h", "_head") & (F.length("_head") < HASH_DIGITS))
+    cuts = (
+        inside.withColumn("_r", F.row_number().over(order))
         .where(F.col("_r") == F.col("left"))
         .select(*keys, F.col("_h").alias("cut_hash"), F.col("_id").alias("cut_id"))
     )
+    if depth < HASH_DIGITS:
+        return cuts
+    # more runs than a bucket under one whole hash: they are one run id, repeated
+    same = attach(rows, buckets.where(F.length("_head") == HASH_DIGITS).drop("_inside"), keys)
+    return cuts.unionByName(same.where(F.col("_h") == F.col("_head")).groupBy(*keys).agg(
+        F.first("_head").alias("cut_hash"), F.min("_id").alias("cut_id")))
+
+
+def _narrow_by_digits(
+    rows: DataFrame, keys: list[str], buckets: DataFrame, bucket_rows: int, n_groups: int | None
+) -> tuple[DataFrame, int]:
+    """``keys, _head, left, _inside``: the hash beginning of the bucket that holds the wanted rank
+    and the rank inside it; at most ``bucket_rows`` runs share the beginning, or all their digits agree.
+    Also how many digits were looked at."""
+    depth = 0
+    while depth < HASH_DIGITS:
+        wide = F.col("_inside") > bucket_rows
+        most = buckets.where(wide).agg(F.max("_inside")).first()[0]
+        if most is None:
+            break
+        # buckets of about half the bound, but no more of them than a task can count by
+        digits = min(PASS_DIGITS, HASH_DIGITS - depth, max(1, math.ceil(math.log(2 * most / bucket_rows, 16))))
+        held = attach(rows, buckets.where(wide), keys, rows=n_groups).where(F.startswith("_h", "_head"))
+        line = Window.partitionBy(*keys).orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0)
+        counted = (
+            held.groupBy(*keys, "_head", "left", F.substring("_h", depth + 1, digits).alias("_digits"))
+            .agg(F.count(F.lit(1)).alias("c")).withColumn("end", F.sum("c").over(line)))
+        before = F.col("end") - F.col("c")
+        chosen = counted.where((F.col("end") >= F.col("left")) & (before < F.col("left"))).select(
+            *keys, F.concat("_head", "_digits").alias("_head"), (F.col("left") - before).alias("left"),
+            F.col("c").alias("_inside"))
+        buckets = materialise(buckets.where(~wide).unionByName(chosen))
+        depth += digits
+    return buckets, depth
 
 
 def before_cut(run_id: Column, seed: object) -> Column:
@@ -167,32 +191,24 @@ def _first_rows(
         .select(*keys, "_v", "cut_hash", F.col("_id").alias("cut_id"))
     )
     large = starts.where(F.col("n") > bucket_rows)
-    if large.isEmpty():
+    largest = starts.agg(F.max("n")).first()[0] or 0
+    if largest <= bucket_rows:
         return near
     # the value at the rank, then the right one among the runs sharing that value
     position = (F.col("rank") - 1).cast("double").alias("pos")
-    edges = order_values(
+    edges = materialise(order_values(
         rows.select(*keys, "_v", F.lit(1).cast("bigint").alias("_c")), keys,
-        materialise(large.select(*keys, "n", F.col("b").alias("i"), position)),
-    )
-    edges = materialise(
-        edges.join(large.select(*keys, F.col("b").alias("i"), "rank"), [*keys, "i"])
-        .select(*keys, "i", "rank", "x")
-    )
+        large.select(*keys, "n", F.col("b").alias("i"), position), largest,
+    ))
     ties = materialise(
-        attach(rows, edges, keys)
-        .groupBy(*keys, "i", "rank", "x")
-        .agg(F.count_if(F.col("_v") == F.col("x")).alias("n"),
-             F.count_if(F.col("_v") < F.col("x")).alias("_below"))
-        .select(*keys, "i", "x", "n", (F.col("rank") - F.col("_below")).alias("k"))
-    )
-    tied = attach(rows, ties.select(*keys, "i", "x"), keys).where(F.col("_v") == F.col("x"))
+        edges.join(large.select(*keys, F.col("b").alias("i"), "rank"), [*keys, "i"])
+        .select(*keys, "i", F.col("x").alias("_v"), F.col("ties").alias("n"),
+                (F.col("rank") - F.col("below")).alias("k")))
+    tied = attach(rows, ties.select(*keys, "i", "_v"), [*keys, "_v"])
     cuts = hash_cut(
         tied, [*keys, "i"], "_id", ties.select(*keys, "i", "n", "k"), seed, bucket_rows
     )
-    far = ties.join(cuts, [*keys, "i"]).select(
-        *keys, F.col("x").alias("_v"), "cut_hash", "cut_id"
-    )
+    far = ties.join(cuts, [*keys, "i"]).select(*keys, "_v", "cut_hash", "cut_id")
     return near.unionByName(far)
 
 

@@ -80,7 +80,8 @@ def _medians(
     rows: DataFrame, keys: list[str], sensors: list[str], sizes: DataFrame, name: str,
     exact_rows: int | None,
 ) -> DataFrame:
-    limit = EXACT_ROWS if exact_rows is None else exact_rows
+    # one task holds the values of all sensors of a group
+    limit = (EXACT_ROWS if exact_rows is None else exact_rows) // max(len(sensors), 1)
     if (sizes.agg(F.max("n")).first()[0] or 0) <= limit:
         wide = rows.groupBy(*keys).agg(
             *[F.median(col(s)).alias(f"_q{j}") for j, s in enumerate(sensors)]

@@ -2,11 +2,13 @@
 
 Groups up to ``EXACT_ROWS`` rows use the built-in ``percentile`` aggregate (its
 state is a value histogram, so it is bounded by that count).  Larger groups are
-narrowed instead: every pass lays ``BINS`` equal bins over the bracket that holds
-the wanted order statistic, counts them with a partial aggregate, and keeps the
-bin the rank falls into.  No row is shuffled until a bracket holds at most
-``FINISH_ROWS`` rows or one single value, so a group holding a third of all rows
-costs a few scans and nothing else.  Both ways return the same order statistics.
+narrowed instead.  A mergeable sketch of every group proposes bounds close to
+each wanted rank; one exact count of the rows between the bounds tells where the
+ranks really lie, and what lies elsewhere is never looked at again.  A row falls
+between one pair of bounds, so it is counted once a pass however many ranks are
+wanted.  Brackets of at most ``FINISH_ROWS`` rows are sorted: of a billion scores
+a quantile far out in the tail moves a few thousandths.  The sketch only decides
+how fast a bracket shrinks; the counts are exact, and so is the result.
 """
 
 from __future__ import annotations
@@ -18,11 +20,17 @@ from pyspark.sql import functions as F
 
 from ..runtime import attach, materialise
 
-EXACT_ROWS = 2_000_000
-FINISH_ROWS = 100_000
-#: a pass narrows a bracket by far more than half; doubles have 2,100 binary orders
-MAX_PASSES = 400
-BINS = 4096
+EXACT_ROWS = 500_000
+FINISH_ROWS = 250_000
+#: size of a sketch, and how far from a rank its bounds lie, as a share of the rows
+SKETCH_SIZE = 4096
+MARGIN = 0.0015
+#: quantiles read off a sketch
+LEVELS = 2000
+#: further bounds where rows stand for several rows each, so that a pass still divides them
+GRID = [k / 16 for k in range(1, 16)]
+#: a pass leaves a bracket a few thousandths of its rows
+MAX_PASSES = 60
 
 
 def _interpolate(lo: Column, hi: Column, pos: Column) -> Column:
@@ -63,7 +71,7 @@ def grouped_quantiles(
     large = counts.where(F.col("n") > exact_rows)
     small = counts.where(F.col("n") <= exact_rows).select(*keys)
     near = _builtin(attach(rows, small, keys), keys, probs, weight is not None)
-    return near.unionByName(_narrowed(rows, keys, probs, large))
+    return near.unionByName(_narrowed(rows, keys, probs, large, largest))
 
 
 def _builtin(rows: DataFrame, keys: list[str], probs: list[float], weighted: bool) -> DataFrame:
@@ -75,7 +83,7 @@ def _builtin(rows: DataFrame, keys: list[str], probs: list[float], weighted: boo
 
 
 def _narrowed(
-    rows: DataFrame, keys: list[str], probs: list[float], large: DataFrame
+    rows: DataFrame, keys: list[str], probs: list[float], large: DataFrame, largest: int
 ) -> DataFrame:
     wanted = F.explode(
         F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
@@ -85,7 +93,7 @@ def _narrowed(
         *keys, "n", F.col("w.i").alias("i"), (F.col("w.p") * (F.col("n") - 1)).alias("pos")
     )
     ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
-    return order_values(rows, keys, materialise(at)).groupBy(*keys, "n").agg(
+    return order_values(rows, keys, at, largest).groupBy(*keys, "n").agg(
         F.transform(ordered, lambda s: s["x"]).alias("q")
     )
 
@@ -96,84 +104,130 @@ def order_values(
     """Values at fractional 0-based positions: ``wanted`` is ``keys, n, i, pos``.
 
     ``rows`` is ``keys, _v, _c`` without NULLs (``_c``: rows it stands for).  Returns
-    ``keys, n, i, x``.  ``largest`` bounds the group sizes where the caller knows them.
+    ``keys, n, i, x, below, ties``: at a whole position ``below`` rows are smaller than x and
+    ``ties`` equal to it.  ``largest`` bounds the group sizes where the caller knows them.
     """
+    mark = F.struct("i", "n", F.floor("pos").alias("a"), F.ceil("pos").alias("b"), "pos")
+    nothing = F.lit(None).cast("double")
+    state = wanted.groupBy(*keys).agg(F.collect_list(mark).alias("_marks"), F.max("n").alias("_inside"))
+    state = state.select(*keys, nothing.alias("_lo"), nothing.alias("_hi"),
+                         F.lit(0).cast("bigint").alias("_below"), "_inside", "_marks")
     if largest is not None and largest <= FINISH_ROWS:
-        none = F.lit(None).cast("double")
-        return _finish(rows, keys, wanted.select(
-            "*", none.alias("_lo"), none.alias("_hi"), F.lit(0).cast("bigint").alias("_below")), True)
-    bounds = materialise(
-        attach(rows, wanted.select(*keys).distinct(), keys)
-        .groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    )
-    state = materialise(
-        wanted.join(bounds, keys).select(
-            *keys, "n", "i", "pos", "_lo", "_hi",
-            F.lit(0).cast("bigint").alias("_below"), F.col("n").alias("_inside"),
-        )
-    )
-    done = (F.col("_lo") == F.col("_hi")) | (F.col("_inside") <= FINISH_ROWS)
-    finished: list[DataFrame] = []
+        return _finish(rows, keys, state, whole=True)
+    state = materialise(state)
+    small = F.col("_inside") <= FINISH_ROWS
+    brackets, solved = [], []
+    whole = True
     for _ in range(MAX_PASSES):
-        finished.append(state.where(done))
-        active = state.where(~done)
+        brackets.append(state.where(small))
+        active = state.where(~small)
         if active.isEmpty():
             break
-        state = materialise(_narrow_once(rows, keys, active))
+        slots = materialise(_count_between(rows, keys, active, whole))
+        solved.append(_settled(slots, keys))
+        state, whole = materialise(_still_open(slots, keys)), False
     else:
         raise RuntimeError(f"a quantile was not found in {MAX_PASSES} passes")
-    return _finish(rows, keys, materialise(reduce(DataFrame.unionByName, finished)))
-
-
-def _narrow_once(rows: DataFrame, keys: list[str], active: DataFrame) -> DataFrame:
-    """One pass: histogram each open bracket and keep the bins holding the ranks."""
-    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
-    width = hi / 2 - lo / 2  # halves, since hi - lo may overflow
-    share = (v / 2 - lo / 2) / width
-    slot = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(share * F.lit(BINS)))).cast("int")
-    hist = (
-        attach(rows, active, keys, row_bytes=256)
-        .where((v >= lo) & (v <= hi))
-        .groupBy(*keys, "i", "n", "pos", "_below", slot.alias("_slot"))
-        .agg(F.sum("_c").alias("_count"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    )
-    run = Window.partitionBy(*keys, "i").orderBy("_slot").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    hist = hist.withColumn("_end", F.col("_below") + F.sum("_count").over(run))
-    first = F.col("_end") - F.col("_count")
-    holds = lambda rank: (rank >= first) & (rank < F.col("_end"))
-    kept = hist.where(holds(F.floor("pos")) | holds(F.ceil("pos")))
-    return kept.groupBy(*keys, "n", "i", "pos").agg(
-        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
-        F.min(first).cast("bigint").alias("_below"), F.sum("_count").alias("_inside"),
-    )
+    if len(brackets) == 1:
+        return _finish(rows, keys, brackets[0], whole=True)
+    # the first brackets are whole groups, which have no bounds
+    first = _finish(rows, keys, brackets[0], whole=True)
+    rest = _finish(rows, keys, materialise(reduce(DataFrame.unionByName, brackets[1:])))
+    return reduce(DataFrame.unionByName, [first, rest, *solved])
 
 
-def _finish(
-    rows: DataFrame, keys: list[str], brackets: DataFrame, whole: bool = False
-) -> DataFrame:
-    open_ = brackets if whole else brackets.where(F.col("_lo") < F.col("_hi"))
+def _placed(rows: DataFrame, keys: list[str], brackets: DataFrame, whole: bool) -> DataFrame:
+    """Rows that lie in a bracket of their group, with its lower bound (brackets do not overlap)."""
+    if whole:
+        nothing = F.lit(None).cast("double")
+        return attach(rows, brackets.select(*keys), keys).withColumn("_lo", nothing)
+    lists = materialise(brackets.groupBy(*keys).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_in")))
     v = F.col("_v")
-    inside = F.lit(True) if whole else (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    values = (
-        attach(rows, open_, keys, row_bytes=256)
-        .where(inside)
-        .groupBy(*keys, "n", "i", "pos", "_below")
-        .agg(F.array_sort(F.flatten(F.collect_list(
-            F.array_repeat("_v", F.col("_c").cast("int"))))).alias("vs"))
-    )
-    at = lambda rank: F.col("vs")[(rank - F.col("_below")).cast("int")]
-    solved = values.select(
-        *keys, "n", "i",
-        _interpolate(at(F.floor("pos")), at(F.ceil("pos")), F.col("pos")).alias("x"),
-    )
+    near = attach(rows, lists, keys, row_bytes=1024).withColumn(
+        "_hit", F.filter("_in", lambda s: (s["_lo"] <= v) & (v <= s["_hi"])))
+    return near.where(F.size("_hit") > 0).select(*rows.columns, F.get("_hit", F.lit(0))["_lo"].alias("_lo"))
+
+
+def _count_between(rows: DataFrame, keys: list[str], active: DataFrame, whole: bool) -> DataFrame:
+    """One pass over open brackets: a sketch each, then exact counts between the bounds it gives.
+
+    One row for each stretch between bounds: ``_weight`` rows (``_rows`` table rows) from ``_min``
+    to ``_max``, of which ``_before`` precede in the group, the following stretch's ``_next``, and
+    the marks whose lower position lies in it.
+    """
+    held = _placed(rows, keys, active, whole)
+    cell = [*keys, "_lo"]
+    same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"a.`{k}`")) for k in cell]
+    sketch = held.groupBy(*cell).agg(
+        F.kll_sketch_agg_double("_v", SKETCH_SIZE).alias("_sketch"),
+        F.bool_or(F.col("_c") != 1).alias("_weighted"))
+    joined = sketch.alias("r").join(active.alias("a"), same).select(
+        "a.*", "r._sketch", "r._weighted")
+    levels = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(k / LEVELS) for k in range(LEVELS + 1)]))
+    place = lambda m, rank: (m[rank] - F.col("_below")) / F.col("_inside")
+    level = lambda x: F.get("_levels", F.greatest(F.lit(0), F.least(F.lit(LEVELS), x)).cast("int"))
+    grid = F.when(F.col("_weighted"), F.transform(F.array(*[F.lit(g) for g in GRID]), lambda g: level(g * LEVELS)))
+    near = F.concat(
+        F.transform("_marks", lambda m: level(F.floor((place(m, "a") - MARGIN) * LEVELS))),
+        F.transform("_marks", lambda m: level(F.ceil((place(m, "b") + MARGIN) * LEVELS))),
+        F.coalesce(grid, F.array().cast("array<double>")))
+    bounds = materialise(joined.withColumn("_levels", levels).select(
+        *keys, "_lo", "_below", "_marks", F.array_sort(F.array_distinct(near)).alias("_bounds")))
+    # values equal to a bound have a stretch of their own, so that a frequent value stands alone
+    slot = 2 * F.size(F.filter("_bounds", lambda b: b <= F.col("_v"))) - F.array_contains(
+        "_bounds", F.col("_v")).cast("int")
     if whole:
-        return solved
-    tied = brackets.where(F.col("_lo") == F.col("_hi")).select(
-        *keys, "n", "i", F.col("_lo").alias("x")
-    )
-    return solved.unionByName(tied)
+        tagged = attach(held.drop("_lo"), bounds.select(*keys, "_bounds"), keys, row_bytes=1024)
+        tagged = tagged.withColumn("_lo", F.lit(None).cast("double"))
+    else:
+        tagged = attach(held, bounds.select(*keys, "_lo", "_bounds"), cell, row_bytes=1024)
+    counted = tagged.groupBy(*cell, slot.alias("_slot")).agg(
+        F.sum("_c").alias("_weight"), F.count(F.lit(1)).alias("_rows"),
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    known = counted.alias("r").join(bounds.drop("_bounds").alias("a"), same).select(
+        "r.*", "a._below", "a._marks")
+    line = Window.partitionBy(*cell).orderBy("_slot")
+    ended = known.withColumns({
+        "_end": F.col("_below") + F.sum("_weight").over(line.rowsBetween(Window.unboundedPreceding, 0)),
+        "_next": F.lead("_min").over(line)})
+    before = F.col("_end") - F.col("_weight")
+    return ended.withColumn("_before", before).withColumn("_marks", F.filter(
+        "_marks", lambda m: (m["a"] >= F.col("_before")) & (m["a"] < F.col("_end")))).where(F.size("_marks") > 0)
+
+
+def _settled(slots: DataFrame, keys: list[str]) -> DataFrame:
+    """Marks whose two positions lie in different stretches, or in one of a single value."""
+    each = slots.withColumn("m", F.explode("_marks"))
+    crossing = F.col("m.b") >= F.col("_end")
+    flat = F.col("_min") == F.col("_max")
+    x = _interpolate(F.col("_max"), F.when(crossing, F.col("_next")).otherwise(F.col("_max")), F.col("m.pos"))
+    return each.where(crossing | flat).select(
+        *keys, "m.n", "m.i", x.alias("x"), F.when(flat, F.col("_before")).alias("below"),
+        F.when(flat, F.col("_weight")).alias("ties"))
+
+
+def _still_open(slots: DataFrame, keys: list[str]) -> DataFrame:
+    left = F.filter("_marks", lambda m: m["b"] < F.col("_end"))
+    return slots.where(F.col("_min") < F.col("_max")).select(
+        *keys, F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), F.col("_before").alias("_below"),
+        F.col("_rows").alias("_inside"), left.alias("_marks")).where(F.size("_marks") > 0)
+
+
+def _finish(rows: DataFrame, keys: list[str], brackets: DataFrame, whole: bool = False) -> DataFrame:
+    """Sort the values of small brackets and read the marks off their running counts."""
+    cell = [*keys, "_lo"]
+    same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"a.`{k}`")) for k in cell]
+    values = _placed(rows, keys, brackets, whole).groupBy(*cell, "_v").agg(F.sum("_c").alias("_c"))
+    known = values.alias("r").join(brackets.alias("a"), same).select("r.*", "a._below", "a._marks")
+    line = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("_below") + F.sum("_c").over(line)
+    here = lambda rank: (rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end"))
+    hit = known.withColumn("_end", end).withColumn(
+        "m", F.explode(F.filter("_marks", lambda m: here(m["a"]) | here(m["b"]))))
+    return hit.groupBy(*keys, "m.n", "m.i", "m.pos").agg(
+        F.min("_v").alias("_a"), F.max("_v").alias("_b"),
+        F.min(F.col("_end") - F.col("_c")).alias("below"), F.min_by("_c", "_v").alias("ties"),
+    ).select(*keys, "n", "i", _interpolate(F.col("_a"), F.col("_b"), F.col("pos")).alias("x"), "below", "ties")
 
 
 def spread_fractions(bin_counts: list[int]) -> tuple[list[float], dict[int, int]]:
