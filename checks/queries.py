@@ -776,6 +776,15 @@ def _(spark, d):
     return t.select("op", "class", (ratio >= 1).alias("above"), (ratio <= 1.1).alias("near"))
 
 
+@query("pod_replicates", f"""WITH {runs_cte()}, c AS (SELECT DISTINCT op, class FROM runs WHERE side = 'failure')
+SELECT op, class, CAST(i AS INT) AS replicate, TRUE AS near FROM c, range(1, 201) AS t(i)""")
+def _(spark, d):
+    pod = _pod(spark, d, n_boot=200)
+    fitted = pod.result.select("op", "class", F.col("i90").alias("own"))
+    near = F.col("i90").between(F.col("own") / 1.25, F.col("own") * 1.25)
+    return pod.replicates().join(fitted, ["op", "class"]).select("op", "class", "replicate", near.alias("near"))
+
+
 _SENS = ", ".join(
     f"regr_slope(z_{s}, x) AS slope_{s}, avg(abs(z_{s})) FILTER (WHERE x >= cut) AS dev_{s}, "
     f"covar_pop(z_{s}, x)/(stddev_pop(z_{s})*stddev_pop(x)) AS r_{s}, count(z_{s}) AS n_{s}" for s in S4)

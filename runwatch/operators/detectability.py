@@ -17,11 +17,21 @@ from .quantiles import grouped_quantiles
 
 @dataclass
 class Pod:
-    """``result``: one row per group; ``bins``: empirical curve with intervals."""
+    """``result``: one row per group; ``bins``: empirical curve with intervals; ``fits``: with draws."""
 
     result: DataFrame
     bins: DataFrame
     keys: list[str]
+    fits: DataFrame | None = None
+
+    def replicates(self) -> DataFrame:
+        """``keys, replicate, i90``: a row per bootstrap fit, numbered from 1; NULL where the fit
+        did not converge or does not rise.  Groups without a fit of their own have none."""
+        good = self.result.where(F.col("fitted") & ~F.col("separated")).select(*self.keys)
+        same = [F.col(f"f.`{k}`").eqNullSafe(F.col(f"g.`{k}`")) for k in self.keys]
+        mine = self.fits.alias("f").join(good.alias("g"), same, "left_semi")
+        return mine.select(*self.keys, F.posexplode("boot_i90").alias("replicate", "i90")).withColumn(
+            "replicate", F.col("replicate") + 1)
 
     def table(self, sort_by: str = "i90") -> DataFrame:
         """Hardest classes first; a missing value sorts before every number."""
@@ -147,11 +157,11 @@ def fit_pod(
     bins = materialise(empirical_pod(cells, keys, n_bins, min_count, confidence, exact_rows))
     crossings = empirical_crossing(bins, keys, {"i50_emp": 0.5, "i90_emp": 0.9})
     seen = totals.where("detected > 0").select(*keys)
-    fits = fit_groups(
+    fits = materialise(fit_groups(
         attach(cells.where(usable), seen, keys), keys, n_boot, confidence, seed, cells_per_task,
-    )
+    ))
     table = totals.join(crossings, keys, "left").join(fits, keys, "left")
-    return Pod(materialise(_conclude(table, keys, n_boot, settings)), bins, list(keys))
+    return Pod(materialise(_conclude(table, keys, n_boot, settings)), bins, list(keys), fits)
 
 
 def _conclude(table: DataFrame, keys: list[str], n_boot: int, settings: list[str]) -> DataFrame:

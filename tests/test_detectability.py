@@ -97,6 +97,35 @@ def test_distributed_fit_equals_the_local_one(pods):
             assert (pd.isna(a) and pd.isna(b)) or a == pytest.approx(b, rel=1e-7), (c, name)
 
 
+def test_replicates_give_the_bound(pods):
+    df, _, _ = pods
+    few = df.where("class in ('small', 'short', 'never')")
+    for limit in (None, 10):
+        pod = fit_pod(few, n_boot=40, cells_per_task=limit)
+        draws = pod.replicates().toPandas()
+        bounds = pod.result.toPandas().set_index("class").i90_95
+        assert draws.groupby("class").size().to_dict() == {"small": 40, "short": 40}
+        for c, part in draws.groupby("class"):
+            assert sorted(part.replicate) == list(range(1, 41))
+            assert np.quantile(part.i90.dropna(), 0.95) == pytest.approx(bounds[c])
+
+
+def test_replicates_settle_in_few_rounds_from_the_fit_of_the_data(spark, monkeypatch):
+    rng = np.random.RandomState(1)
+    x = rng.uniform(0, 5, 3000)
+    y = (rng.rand(3000) < 1 / (1 + np.exp(-3 * (x - np.log(10))))).astype(float)
+    cell = rng.randint(-2**62, 2**62, 3000)
+    ones = np.ones(3000)
+    rounds = []
+    real = logistic.solve_step
+    monkeypatch.setattr(logistic, "solve_step", lambda sums: rounds.append(len(sums)) or real(sums))
+    beta, ok = logistic.fit_cells(x, cell, ones, y, 100)
+    assert ok.all() and sum(n > 1 for n in rounds) + 1 < 10
+    runs, hits = logistic.replicate_weights(cell, ones, y, np.arange(1, 101))
+    cold, fine = logistic._iterate(x, runs, hits, np.zeros((100, 2)))
+    assert fine.all() and np.allclose(beta[1:], cold, rtol=1e-7)
+
+
 def test_evaluate(pods, spark):
     _, pod, t = pods
     grid = spark.createDataFrame([("P", "big", float(t.loc["big"].i90)), ("P", "big", 0.0),
