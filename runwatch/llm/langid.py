@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared, words
@@ -203,9 +203,9 @@ def judge(batch: pa.RecordBatch, model, cutter: Segmenter):
     return found, np.concatenate(scores)
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({LOWER: F.lower("text"),
-                             LETTERS: F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))})
+def _features() -> list[Column]:
+    """What a text is judged by: its lower-case form and whether it has a letter."""
+    return [F.lower("text").alias(LOWER), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias(LETTERS)]
 
 
 def language(docs: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE,
@@ -227,15 +227,19 @@ def language(docs: DataFrame, folds: int = 4, held_out: int = 2, sample: int = S
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.string()), pa.array(scores)],
                 ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = _prepared(docs.select(
-        F.col("doc_id").cast("long"), (shared.fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text"))
-    return shared.bounded(rows.drop("text")).mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("long"), (shared.fold(F.col("doc_id"), folds) == held_out).alias("held_out"),
+                       *_features())
+    return shared.bounded(rows).mapInArrow(
         run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, least: float = 0.5, folds: int = 4, held_out: int = 2,
                sample: int = SAMPLE, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The rows of ``docs``, all columns, with a language of at least that posterior probability."""
+    """The rows of ``docs``, all columns, with a language of at least that posterior probability.
+
+    Texts that are NULL or have no letter go, and all do where no language could be learned;
+    repeated rows are judged each for itself, NULL ids and columns of any name stay as they are.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(learn(docs, folds, held_out, sample, vocabulary))
     names = docs.columns
 
@@ -243,6 +247,8 @@ def identified(docs: DataFrame, least: float = 0.5, folds: int = 4, held_out: in
         cutter = Segmenter(shipped.value[0])
         for batch in batches:
             _, scores = judge(batch, shipped.value, cutter)
-            yield batch.filter(pa.array(scores >= least)).select(names)
+            kept = batch.column("_row").filter(pa.array(scores >= least))
+            yield pa.RecordBatch.from_arrays(kept.flatten(), names)
 
-    return shared.bounded(_prepared(docs)).mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct("*").alias("_row"), *_features())
+    return shared.bounded(rows).mapInArrow(run, docs.schema)

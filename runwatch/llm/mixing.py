@@ -33,15 +33,17 @@ def quality_of(text: Column) -> Column:
     return 1.0 / (1.0 + marks / F.greatest(size_of(text), F.lit(1)))
 
 
-def _measured(docs: DataFrame, quality: Column | None, seed: int) -> DataFrame:
-    """docs with ``_size``, ``_key``, ``_tie`` and the source split into a flag and a name."""
+def _measured(docs: DataFrame, quality: Column | None, seed: int, keep: list[Column]) -> DataFrame:
+    """``keep`` with ``_size``, ``_key``, ``_tie`` and the source split into a flag and a name.
+
+    One projection of ``docs``, so that none of its columns can clash with these.
+    """
     weight = quality_of(F.col("text")) if quality is None else F.greatest(quality, F.lit(1e-9))
     tie = F.xxhash64(F.lit(seed), "doc_id", "text")
     u = (F.shiftrightunsigned(F.xxhash64(tie), 11) + 0.5) / float(1 << 53)
-    return docs.withColumns({
-        "_size": size_of(F.col("text")), "_key": -F.log(u) / weight, "_tie": tie,
-        "_null": F.col("source").isNull(), "_name": F.coalesce("source", F.lit("")),
-    })
+    return docs.select(
+        *keep, size_of(F.col("text")).alias("_size"), (-F.log(u) / weight).alias("_key"), tie.alias("_tie"),
+        F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_name"))
 
 
 def _targets(rows: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
@@ -70,27 +72,30 @@ def _targets(rows: DataFrame, weights: tuple[float, ...], most: int) -> DataFram
 
 
 def _plan(docs: DataFrame, weights, most, quality, seed) -> tuple[DataFrame, DataFrame]:
-    """Measured narrow rows, and per source its epochs and the last (key, tie) of the fraction."""
-    rows = shared.stored(_measured(docs, quality, seed).select(
-        "doc_id", "_null", "_name", "_size", "_key", "_tie"))
+    """Measured narrow rows, and per source its epochs and where the fraction ends.
+
+    Rows that agree in id and text share key and tie; ``_n`` numbers all rows, so that a source
+    may be cut between equal ones.  ``_last`` is the last row of the fraction, ``_of_last`` how
+    many rows with its key and tie the fraction holds.
+    """
+    rows = shared.stored(_measured(docs, quality, seed, [F.col("doc_id")]).withColumn(
+        "_n", F.monotonically_increasing_id()))
     targets = runtime.materialise(_targets(rows, weights, most))
     ranked = runtime.attach(rows, targets, ["_null", "_name"], row_bytes=128)
+    order = ["_key", "_tie", "_n"]
     before = shared.prefix_sums(
-        ranked.select("_rank", "_key", "_tie", "_size"), "_rank",
-        [F.col("_key"), F.col("_tie")], "_size")
+        ranked.select("_rank", *order, "_size"), "_rank", [F.col(c) for c in order], "_size")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     wanted = targets.withColumn("_epochs", F.least(epochs, F.lit(most)).cast("int")).withColumn(
         "_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
     chosen = runtime.attach(before, wanted.select("_rank", "_rest"), ["_rank"], rows=targets.count())
     # the row that crosses the budget is taken if that comes nearer to it
-    chosen = chosen.where(2 * F.col("before") + F.col("_size") <= 2 * F.col("_rest"))
-    last = chosen.groupBy("_rank").agg(F.max(F.struct("_key", "_tie")).alias("_last"))
-    return rows, runtime.materialise(wanted.join(last, "_rank", "left"))
-
-
-def _copies() -> Column:
-    inside = F.struct("_key", "_tie") <= F.col("_last")
-    return F.col("_epochs") + F.coalesce(inside, F.lit(False)).cast("int")
+    chosen = shared.stored(chosen.where(
+        2 * F.col("before") + F.col("_size") <= 2 * F.col("_rest")).select("_rank", *order))
+    last = runtime.materialise(chosen.groupBy("_rank").agg(F.max(F.struct(*order)).alias("_last")))
+    same = (F.col("_key") == F.col("_last._key")) & (F.col("_tie") == F.col("_last._tie"))
+    of_last = runtime.attach(chosen, last, ["_rank"]).groupBy("_rank").agg(F.count_if(same).alias("_of_last"))
+    return rows, runtime.materialise(wanted.join(last, "_rank", "left").join(of_last, "_rank", "left"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_EPOCHS,
@@ -98,16 +103,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_E
     """``doc_id, size, source_size, target, taken`` for every row of ``docs (doc_id, text, source)``.
 
     Sources in code point order (NULL last, its own source) take the weights in turn.  A NULL or
-    empty text has size 0.  Rows that agree in id and text are taken together, so reruns agree.
-    Sources without words get target 0.  An empty table gives an empty result; further columns
-    are not read.
+    empty text has size 0.  Rows that agree in id and text are interchangeable: as many of them
+    are taken as the target asks for, and reruns agree.  Sources without words get target 0.  An
+    empty table gives an empty result; further columns are not read.
     """
     docs = docs.select("doc_id", "text", "source")
     rows, plan = _plan(docs, weights, most, quality, seed)
     out = runtime.attach(rows, plan, ["_null", "_name"], row_bytes=192)
+    inside = F.coalesce(F.struct("_key", "_tie", "_n") <= F.col("_last"), F.lit(False))
     return out.select(
         "doc_id", F.col("_size").alias("size"), "source_size", F.col("target").cast("double").alias("target"),
-        (F.col("_size") * _copies()).cast("long").alias("taken"))
+        (F.col("_size") * (F.col("_epochs") + inside.cast("int"))).cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_EPOCHS,
@@ -115,11 +121,31 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
     """The mix itself: the rows of ``docs``, all columns kept, each as often as it is taken.
 
     Whether a row is in the fraction is a comparison with its source's last key, so the texts
-    are not shuffled.
+    are not shuffled; only rows equal to that last one are numbered.  NULL ids, texts and sources,
+    repeated rows and columns of any name are kept as they are; an empty table stays empty.
     """
-    names = docs.columns
     _, plan = _plan(docs.select("doc_id", "text", "source"), weights, most, quality, seed)
-    plan = plan.select("_null", "_name", "_epochs", "_last")
-    whole = runtime.attach(_measured(docs, quality, seed), plan, ["_null", "_name"], row_bytes=192)
-    whole = whole.withColumn("_copies", _copies()).where("_copies > 0")
-    return whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    end = plan.select("_null", "_name", "_rank", "_epochs", "_last", "_of_last")
+    whole = runtime.attach(_measured(docs, quality, seed, [F.struct("*").alias("_row")]), end,
+                           ["_null", "_name"], row_bytes=192)
+    here, there = F.struct("_key", "_tie"), F.struct("_last._key", "_last._tie")
+    at_end = F.coalesce(here == there, F.lit(False))
+    clear = whole.where(~at_end).withColumn(
+        "_copies", F.col("_epochs") + F.coalesce(here < there, F.lit(False)).cast("int"))
+    kept = ["_row", "_copies"]
+    edge = _numbered(whole.where(at_end).select("_row", "_rank", "_epochs", "_of_last")).withColumn(
+        "_copies", F.col("_epochs") + (F.col("_number") <= F.col("_of_last")).cast("int"))
+    every = clear.select(*kept).unionByName(edge.select(*kept)).where("_copies > 0")
+    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_number``, from 1 within ``_rank``; no task holds more than an input partition's rows."""
+    parts = shared.stored(rows.withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy("_rank", "_part").agg(F.count(F.lit(1)).alias("_count"))
+    earlier = Window.partitionBy("_rank").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runtime.materialise(counts.withColumn(
+        "_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0))).drop("_count"))
+    local = F.row_number().over(Window.partitionBy("_rank", "_part").orderBy(F.lit(0)))
+    joined = runtime.attach(parts.withColumn("_local", local), offsets, ["_rank", "_part"], row_bytes=64)
+    return joined.withColumn("_number", F.col("_before") + F.col("_local"))

@@ -165,6 +165,11 @@ def test_language_of_odd_texts(spark):
     assert langid.language(small(spark, [])).count() == 0
     kept = langid.identified(small(spark, texts))
     assert kept.columns == ["doc_id", "text", "lang", "score"] and kept.count() == len(texts) - 3
+    odd = small(spark, texts + ["the and of with that"]).withColumns({
+        c: F.concat(F.lit(c), F.col("text")) for c in ("__lower", "__letters", "_row", "held_out")})
+    rows = langid.identified(odd).collect()
+    assert len(rows) == len(texts) - 2
+    assert all(r[c] == c + r["text"] for r in rows for c in ("__lower", "__letters", "_row", "held_out"))
 
 
 # -- toxicity and quality --------------------------------------------------------------------

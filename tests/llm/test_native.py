@@ -81,6 +81,36 @@ def test_higher_quality_is_taken_sooner(spark):
     assert part[part["doc_id"] % 2 == 0]["taken"].sum() > 1.5 * part[part["doc_id"] % 2 == 1]["taken"].sum()
 
 
+def test_equal_rows_are_cut_at_the_target(spark):
+    """A source of 100 equal rows: its target lies between epochs, and inside the equal rows."""
+    rows = [(1, "w " * 10, "a")] * 100 + [(2, "w " * 7, "b")] * 50 + [(3, None, "b")] * 3 + [(4, "x " * 5, "c")] * 60
+    docs = corpus(spark, rows).repartition(5)
+    got = mixing.mix(docs).toPandas()
+    want = plain_targets({"a": 1000, "b": 350, "c": 300})
+    for source, ids, size in (("a", [1], 10), ("b", [2, 3], 7), ("c", [4], 5)):
+        part = got[got["doc_id"].isin(ids)]
+        assert abs(part["taken"].sum() - want[source]) <= size
+        assert (part["taken"] <= 3 * part["size"]).all()
+    again = mixing.mix(docs.repartition(3)).toPandas()
+    order = sorted(got.columns)
+    key = lambda t: t[order].sort_values(order).reset_index(drop=True)
+    assert key(got).equals(key(again))
+    out = mixing.mixture(docs).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    for doc_id, size in ((1, 10), (2, 7), (4, 5)):
+        assert out[doc_id] * size == got[got["doc_id"] == doc_id]["taken"].sum()
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    rows = [(i, f"text {i} " + "w " * (i % 4), None if i % 9 == 0 else f"s{i % 3}") for i in range(60)] + [(None, "u v", "s1")]
+    names = ["_size", "_name", "_epochs", "_last", "_row", "_copies", "_part", "_number", "_key", "_rank", "_null"]
+    docs = corpus(spark, rows).drop("_size").select("*", *[F.concat(F.lit(f"{c}:"), F.col("text")).alias(c) for c in names])
+    out = mixing.mixture(docs).collect()
+    assert mixing.mixture(docs).columns == docs.columns
+    assert {r["doc_id"] for r in out} <= {i for i, _, _ in rows} and len(out) > 30
+    for r in out:
+        assert all(r[c] == f"{c}:{r['text']}" for c in names)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(corpus(spark, [])).count() == 0
     assert mixing.mixture(corpus(spark, [])).count() == 0
