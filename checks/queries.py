@@ -576,16 +576,16 @@ def _(spark, d):
 SELECT op, class, sensor, {r('share', 6)} AS share, n, row_number() OVER (PARTITION BY op, class
   ORDER BY share DESC, sensor) = 1 AS dominant FROM m""")
 def _(spark, d):
-    rows = model(spark, d).contribution_rows(sel.failure_runs(runs(spark, d)), ["class"])
-    return views.contribution_shares(rows).withColumn("share", rd("share", 6))
+    made = views.contribution_shares(model(spark, d), sel.failure_runs(runs(spark, d)))
+    return made.withColumn("share", rd("share", 6))
 
 
 @query("mean_contributions", _PARTS_LONG + f""", m AS (SELECT op, sensor, avg(contribution) AS c FROM parts
   WHERE side = 'failure' GROUP BY op, sensor)
 SELECT op, sensor, {r('c', 6)} AS contribution, CAST(row_number() OVER (PARTITION BY op ORDER BY c DESC, sensor) AS INT) AS rank FROM m""")
 def _(spark, d):
-    rows = model(spark, d).contribution_rows(sel.failure_runs(runs(spark, d)), [])
-    return views.mean_contributions(rows).withColumn("contribution", rd("contribution", 6))
+    made = views.mean_contributions(model(spark, d), sel.failure_runs(runs(spark, d)))
+    return made.withColumn("contribution", rd("contribution", 6))
 
 
 @query("false_positive_rate", scored("ledoit_wolf") + f"SELECT op, {r('avg(CAST(flagged AS DOUBLE))', 6)} AS fpr, "

@@ -1,20 +1,22 @@
 """Minimum covariance determinant (Rousseeuw & Van Driessen 1999) on all rows.
 
 Starts are searched in parts of bounded size that together hold every row of a
-group, as in the nested scheme of the paper; the best part gives the start.  Then
-concentration steps run over the whole data: distances, the exact h-th smallest
-one, and the Gram sums of the rows within it.  Each step is a few aggregates.
+group, as in the nested scheme of the paper.  The best ``CANDIDATES`` of them take
+``TRIAL_STEPS`` concentration steps over the whole data side by side, so what wins in
+one part need not win; the best of them then goes on until it settles.  A step is
+distances, the exact h-th smallest one, and the Gram sums of the rows within it:
+a few aggregates, keyed by group and candidate.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_quantile
-from ..runtime import attach, materialise
+from ..runtime import attach, materialise, stored
 from .distance import distances
 from .gram import gram, per_row, unpack
 from .quantiles import order_values
@@ -22,16 +24,18 @@ from .quantiles import order_values
 #: rows of a part in which starts are searched
 PART_ROWS = 1500
 STARTS = 30
+#: starts that are tried on the whole data, for how many steps, and out of how many at most
+CANDIDATES, TRIAL_STEPS, POOL = 10, 2, 64
 #: a group that still moves after so many steps is marked and gets a warning
-MAX_STEPS = 40
+MAX_STEPS = 60
 #: a step that lowers the log determinant by less than this has settled
-MIN_GAIN = 1e-3
+MIN_GAIN = 1e-6
 
 _STATE = ("op string, chain string, use array<boolean>, shift array<double>, "
           "weight array<double>, cov array<double>, logdet double, singular boolean")
 
 
-def _state(op: str, use: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> dict:
+def _state(op: str, chain: str, use: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> dict:
     """Model row for the distance operator; the pseudo-root copes with flat directions."""
     pick = np.flatnonzero(use)
     val, vec = np.linalg.eigh(cov[np.ix_(pick, pick)])
@@ -41,7 +45,7 @@ def _state(op: str, use: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> dict:
     weight[np.ix_(np.arange(int(good.sum())), pick)] = (vec[:, good] / np.sqrt(val[good])).T
     logdet = float(np.log(val[good]).sum()) if good.all() else float("-inf")
     return {
-        "op": op, "chain": "mcd", "use": use.tolist(), "shift": mean.tolist(),
+        "op": op, "chain": chain, "use": use.tolist(), "shift": mean.tolist(),
         "weight": weight.ravel().tolist(), "cov": cov.ravel().tolist(),
         "logdet": logdet, "singular": not bool(good.all()),
     }
@@ -70,8 +74,8 @@ def _concentrate(z: np.ndarray, part: np.ndarray, h: int, steps: int) -> tuple:
     return (logdet if sign > 0 else np.inf), mean, cov, part
 
 
-def _best_start(z: np.ndarray, fraction: float | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Short searches from random small subsets; the best one is run to its end."""
+def _best_starts(z: np.ndarray, fraction: float | None, seed: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Short searches from random small subsets; the best ``k`` are run to their end."""
     n, p = z.shape
     h = _support(n, p, fraction)
     rng = np.random.default_rng(seed)
@@ -79,9 +83,8 @@ def _best_start(z: np.ndarray, fraction: float | None, seed: int) -> tuple[np.nd
         _concentrate(z, z[rng.choice(n, size=min(p + 1, n), replace=False)], h, 4)
         for _ in range(STARTS)
     ]
-    best = min(tries, key=lambda t: t[0])
-    _, mean, cov, _ = _concentrate(z, best[3], h, 200)
-    return mean, cov
+    ends = [_concentrate(z, t[3], h, 200) for t in sorted(tries, key=lambda t: t[0])[:k]]
+    return [(mean, cov) for _, mean, cov, _ in ends]
 
 
 def minimum_covariance_determinant(
@@ -103,51 +106,65 @@ def minimum_covariance_determinant(
     known = groups.agg(F.count(F.lit(1)).alias("ops"), F.max("n").alias("largest")).first()
     ops, largest = known["ops"], known["largest"] or 0
     # every step reads these rows again: store them once
-    rows = materialise(attach(z, groups.select("op"), ["op"], rows=ops))
+    rows = stored(attach(z, groups.select("op"), ["op"], rows=ops))
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
         use = np.asarray(pdf["use"].iloc[0], dtype=bool)
         pick = np.flatnonzero(use)
         x = pdf.sort_values("run_id")[columns].to_numpy(dtype=float)[:, pick]
-        m, c = _best_start(x, fraction, seed)
-        mean, cov = np.zeros(p), np.zeros((p, p))
-        mean[pick], cov[np.ix_(pick, pick)] = m, c
-        return pd.DataFrame([_state(pdf["op"].iloc[0], use, mean, cov)])
+        part, each = int(pdf["_part"].iloc[0]), -(-CANDIDATES // int(pdf["_parts"].iloc[0]))
+        found = []
+        for j, (m, c) in enumerate(_best_starts(x, fraction, seed, each)):
+            mean, cov = np.zeros(p), np.zeros((p, p))
+            mean[pick], cov[np.ix_(pick, pick)] = m, c
+            found.append(_state(pdf["op"].iloc[0], f"c{(part * each + j) % POOL}", use, mean, cov))
+        return pd.DataFrame(found)
 
     facts = groups.select("op", "use", F.ceil(F.col("n") / PART_ROWS).alias("_parts"))
     parted = attach(rows, facts, ["op"], rows=ops).withColumn(
         "_part", F.pmod(F.xxhash64("run_id", F.lit(f"mcd{seed}")), F.col("_parts")))
     tries = parted.groupBy("op", "_part").applyInPandas(start, _STATE)
-    names = tries.columns
-    best = F.min_by(F.struct(*names), F.struct("singular", "logdet", "shift"))
-    state = materialise(tries.groupBy("op").agg(best.alias("_best")).select("_best.*").select(*names))
+
+    def lowest(states: DataFrame, keys: list[str]) -> DataFrame:
+        best = F.min_by(F.struct(*states.columns), F.struct("singular", "logdet", "shift"))
+        return states.groupBy(*keys).agg(best.alias("_best")).select("_best.*").select(*states.columns)
+
+    # one start for each place of the pool, then the best of the pool
+    line = Window.partitionBy("op").orderBy("singular", "logdet", "shift")
+    state = materialise(lowest(tries, ["op", "chain"]).withColumn("_r", F.row_number().over(line)).where(
+        F.col("_r") <= CANDIDATES).drop("_r"))
 
     def refit(rows_in: DataFrame, before: DataFrame) -> DataFrame:
-        sums = gram(rows_in, ["op"], columns)
+        sums = gram(rows_in, ["op", "chain"], columns)
 
         def step(row: dict) -> dict:
             n, total, cross, _ = unpack(row["acc"], p)
             mean = total / n
-            return _state(row["op"], np.asarray(row["use"], bool), mean,
+            return _state(row["op"], row["chain"], np.asarray(row["use"], bool), mean,
                           cross / n - np.outer(mean, mean))
 
-        return materialise(per_row(before.select("op", "use").join(sums, "op"), step, _STATE))
+        return materialise(per_row(before.select("op", "chain", "use").join(sums, ["op", "chain"]), step, _STATE))
 
     def scored(current: DataFrame) -> DataFrame:
-        return distances(rows, current, columns, [], rows=ops)
-
-    def value_at(d: DataFrame, place: DataFrame, name: str) -> DataFrame:
-        v = d.select("op", F.col("d2").alias("_v"), F.lit(1).cast("bigint").alias("_c"))
-        return materialise(order_values(v, ["op"], place, largest).select(
-            "op", F.col("x").alias(name)))
-
-    place = lambda pos: materialise(groups.select(
-        "op", "n", F.lit(0).alias("i"), pos.cast("double").alias("pos")))
-    position = place(F.col("h") - 1)
+        return distances(rows, current, columns, ["chain"], rows=(ops or 0) * CANDIDATES)
+
+    def value_at(d: DataFrame, current: DataFrame, pos: Column, name: str) -> DataFrame:
+        v = d.select("op", "chain", F.col("d2").alias("_v"), F.lit(1).cast("bigint").alias("_c"))
+        place = groups.join(current.select("op", "chain"), "op").select(
+            "op", "chain", "n", F.lit(0).alias("i"), pos.cast("double").alias("pos"))
+        return materialise(order_values(v, ["op", "chain"], place, largest).select(
+            "op", "chain", F.col("x").alias(name)))
+
+    def concentrated(current: DataFrame) -> DataFrame:
+        d = scored(current)
+        cut = value_at(d, current, F.col("h") - 1, "_cut")
+        return refit(attach(d, cut, ["op", "chain"]).where(F.col("d2") <= F.col("_cut")), current)
+
+    for _ in range(TRIAL_STEPS):
+        state = concentrated(state)
+    state = materialise(lowest(state, ["op"]))
     for _ in range(MAX_STEPS):
-        d = scored(state)
-        cut = value_at(d, position, "_cut")
-        new = refit(attach(d, cut, ["op"], rows=ops).where(F.col("d2") <= F.col("_cut")), state)
+        new = concentrated(state)
         moved = new.alias("a").join(state.alias("b"), "op").where(
             ~F.col("a.singular") & (F.col("a.logdet") < F.col("b.logdet") - MIN_GAIN))
         state, moving = new, moved.select("op")
@@ -159,7 +176,7 @@ def minimum_covariance_determinant(
 
     # consistency at the normal distribution, then reweighting
     d = scored(state)
-    med = value_at(d, place((F.col("n") - 1) / 2.0), "_med")
+    med = value_at(d, state, (F.col("n") - 1) / 2.0, "_med")
     ps = [r[0] for r in groups.select("p").distinct().collect()]
     pick = lambda q: F.create_map(
         *[x for k in ps for x in (F.lit(k), F.lit(chi2_quantile(q, k)))])[F.col("p")]
@@ -168,7 +185,7 @@ def minimum_covariance_determinant(
             "mcd_mean": F.lit(None).cast("array<double>"), "mcd_cov": F.lit(None).cast("array<double>"),
             "mcd_open": F.lit(False)})
     limit = materialise(groups.join(med, "op").select(
-        "op", (F.col("_med") / pick(0.5) * pick(0.975)).alias("_cut")))
-    final = refit(attach(d, limit, ["op"], rows=ops).where(F.col("d2") < F.col("_cut")), state)
+        "op", "chain", (F.col("_med") / pick(0.5) * pick(0.975)).alias("_cut")))
+    final = refit(attach(d, limit, ["op", "chain"], rows=ops).where(F.col("d2") < F.col("_cut")), state)
     return final.join(settling, "op").select(
         "op", F.col("shift").alias("mcd_mean"), F.col("cov").alias("mcd_cov"), "mcd_open")

@@ -161,29 +161,23 @@ def detection_rates(scored: DataFrame, keys: list[str] = ["op"]) -> DataFrame:
 
 
 def contribution_shares(
-    contribution_rows: DataFrame, keys: list[str] = ["op", "class"], min_flagged: int = 3,
+    models, failures: DataFrame, keys: list[str] = ["op", "class"], min_flagged: int = 3,
     min_score: float | None = None,
 ) -> DataFrame:
     """Mean share of d2 per sensor over the flagged runs of each class.
 
-    ``contribution_rows`` is the long form with ``keys, sensor, share, score,
-    threshold``; classes with fewer flagged runs are left out.  ``dominant``
-    marks the sensor with the largest share.
+    ``models`` is a fitted detector with ``contribution_means``; classes with fewer flagged runs
+    are left out.  ``dominant`` marks the sensor with the largest share.
     """
-    limit = F.col("threshold") if min_score is None else F.lit(float(min_score))
-    hot = contribution_rows.where(F.col("score") > limit)
-    means = hot.groupBy(*keys, "sensor").agg(
-        F.avg("share").alias("share"), F.count(F.lit(1)).alias("n"))
-    means = means.where(F.col("n") >= min_flagged)
+    means = models.contribution_means(failures, keys, hot=True, min_score=min_score)
+    means = means.where(F.col("n") >= min_flagged).select(*keys, "sensor", "share", "n")
     best = Window.partitionBy(*keys).orderBy(F.desc("share"), "sensor")
     return means.withColumn("dominant", F.row_number().over(best) == 1)
 
 
-def mean_contributions(
-    contribution_rows: DataFrame, keys: list[str] = ["op"], top: int = 12
-) -> DataFrame:
-    means = contribution_rows.groupBy(*keys, "sensor").agg(
-        F.avg("contribution").alias("contribution"))
+def mean_contributions(models, runs: DataFrame, keys: list[str] = ["op"], top: int = 12) -> DataFrame:
+    """The sensors that contribute most to the distance of each group of runs."""
+    means = models.contribution_means(runs, keys).select(*keys, "sensor", "contribution")
     best = Window.partitionBy(*keys).orderBy(F.desc("contribution"), "sensor")
     return means.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 

@@ -8,14 +8,17 @@ returns a new object over a new model table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag
 from ..functions.covariance import estimate, factorise, model_thresholds
+from ..operators.blocks import by_group
 from ..operators.distance import distances
 from ..operators.gram import (
     clean, correlation, fourth_power, moments, per_row, standard_columns, standard_gram, unpack,
@@ -24,6 +27,7 @@ from ..operators.mcd import minimum_covariance_determinant
 from ..operators.ordering import before_cut, hash_cut
 from ..operators.prepare import drop_redundant, first_of_each, fit_scaler, live_stats
 from ..operators.quantiles import grouped_quantiles
+from ..operators.sums import partial_vectors, summed
 from ..runtime import attach, col, materialise
 
 COVARIANCES = ("empirical", "ledoit_wolf", "oas", "mcd", "diagonal")
@@ -585,6 +589,38 @@ class FittedMahalanobis(FittedDetector):
             .alias("share"),
         )
 
+    def contribution_means(
+        self, df: DataFrame, keys: list[str], hot: bool = False, min_score: float | None = None,
+    ) -> DataFrame:
+        """``keys, sensor, contribution, share, n``: means over the runs of each group that use the sensor.
+
+        With ``hot`` only runs above their threshold (or ``min_score``) count.  The contributions of
+        a run are added as one vector and split by sensor after the sums.
+        """
+        joined = self._distances(df, ["chain", "threshold", "features_used"], parts=True).where("d2 IS NOT NULL")
+        if hot:
+            limit = F.col("threshold") if min_score is None else F.lit(float(min_score))
+            joined = joined.where(F.sqrt("d2") > limit)
+        names, p = list(self.axis), len(self.axis)
+        used = F.transform(F.array(*[F.lit(s) for s in names]), lambda s: F.array_contains("features_used", s))
+        rows = joined.select(*keys, "d2", "parts", used.cast("array<double>").alias("used"))
+
+        def vectors(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+            for key, part in by_group(batch, keys):
+                at = {c: part.column(part.schema.get_field_index(c)) for c in ("d2", "parts", "used")}
+                parts, used = (at[c].flatten().to_numpy(zero_copy_only=False).reshape(-1, p) for c in ("parts", "used"))
+                whole = at["d2"].to_numpy()[:, None]
+                share = np.divide(parts, whole, out=np.zeros_like(parts), where=whole > 0)
+                yield key, np.concatenate([used.sum(axis=0), (parts * used).sum(axis=0), (share * used).sum(axis=0)])
+
+        sums = summed(partial_vectors(rows, keys, vectors), keys)
+        cut = lambda k: F.slice("acc", k * p + 1, p)
+        zipped = F.arrays_zip(F.array(*[F.lit(s) for s in names]).alias("sensor"), cut(0).alias("n"),
+                              cut(1).alias("c"), cut(2).alias("s"))
+        return sums.select(*keys, F.explode(zipped).alias("e")).where("e.n > 0").select(
+            *keys, "e.sensor", (F.col("e.c") / F.col("e.n")).alias("contribution"),
+            (F.col("e.s") / F.col("e.n")).alias("share"), F.col("e.n").cast("bigint").alias("n"))
+
     def top_contributors(self, df: DataFrame, k: int = 5) -> DataFrame:
         """The k largest shares of every run, side by side; sorted inside the row."""
         made = self.contributions(df, normalize=True)

@@ -136,8 +136,7 @@ def detection_report(
     if failures.isEmpty():
         report.notes.append("no failure runs")
     else:
-        rows = models.contribution_rows(failures, ["run_id", "class"])
-        add["contribution_shares"] = views.contribution_shares(rows)
+        add["contribution_shares"] = views.contribution_shares(models, failures)
         if dataset.has_intensity:
             pod = pod_analysis(models, runs, classes, n_boot=n_boot)
             add["pod"] = pod.result

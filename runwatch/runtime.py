@@ -66,6 +66,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def visible(spark: SparkSession, path: str) -> str:
+    """``path``, or where its name begins with ``_`` or ``.`` the path of a copy Spark's readers do not pass over.
+
+    The file system copies the bytes into the checkpoint folder; they are not held in memory.
+    """
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if name[:1] not in ("_", "."):
+        return path
+    _prepare_checkpoint_dir(spark)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    source = hadoop.Path(path)
+    target = hadoop.Path(
+        f"{spark.sparkContext.getCheckpointDir()}/visible-{uuid.uuid4().hex}/{name.lstrip('_.') or 'file'}")
+    hadoop.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    return target.toString()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``materialise`` for tables that grow with the data: compressed columns, read back as needed."""
     _prepare_checkpoint_dir(df.sparkSession)

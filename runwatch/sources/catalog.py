@@ -27,8 +27,8 @@ NOMINAL_PARTS = "nominal"
 def list_csv(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """Paths of the CSV files under ``root``; file contents are never read.
 
-    The file system lists the folder itself: Spark's readers pass over names that
-    begin with ``_`` or ``.``, and those must be reported.
+    The file system lists the folder itself, since Spark's readers pass over names
+    that begin with ``_`` or ``.``.
     """
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(root)
@@ -41,11 +41,6 @@ def list_csv(spark: SparkSession, root: str, recursive: bool = True) -> DataFram
     return spark.createDataFrame(paths, "path string")
 
 
-def is_hidden(rel: str) -> bool:
-    """Whether Spark's readers would pass over a file of this relative path."""
-    return any(part[:1] in ("_", ".") for part in rel.split("/"))
-
-
 def _words(words: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -172,10 +167,7 @@ def catalog_runs(spark: SparkSession, root: str, recursive: bool = True) -> dict
     full = list_csv(spark, root, recursive)
     prefix = os.path.abspath(root) if "://" not in root else root
     local = full.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
-    lead = len(prefix.rstrip("/")) + 1
-    hidden = sorted(r[0][lead:] for r in local.collect() if is_hidden(r[0][lead:]))
-    seen = local.where(~F.substr("path", F.lit(lead + 1)).isin(hidden)) if hidden else local
-    rows = sorted(pair_files(seen, prefix).collect(), key=lambda r: (r["dir"], r["key"] or ""))
+    rows = sorted(pair_files(local, prefix).collect(), key=lambda r: (r["dir"], r["key"] or ""))
     file_of = lambda r: r["nominal"] or r["failures"]
     ops = {r["name"]: {"nominal": r["nominal"], "failures": r["failures"]}
            for r in rows if r["status"] == "paired"}
@@ -183,10 +175,9 @@ def catalog_runs(spark: SparkSession, root: str, recursive: bool = True) -> dict
         "root": prefix, "operating_points": ops,
         "columns": {"label": None, "intensity": None, "exclude": []},
         "intensity_mode": "auto",
-        "unmatched": sorted([file_of(r) for r in rows if r["status"] != "paired"] + hidden),
+        "unmatched": sorted(file_of(r) for r in rows if r["status"] != "paired"),
         "notes": [f"{r['dir'] or '.'}: key {r['key']!r} has one file only: {file_of(r)}"
-                  for r in rows if r["status"] == "half"]
-        + [f"{path}: Spark cannot read names that begin with _ or .; rename it" for path in hidden],
+                  for r in rows if r["status"] == "half"],
     }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite, parsed
 from ..operators.roles import is_numeric
-from ..runtime import col
+from ..runtime import col, visible
 
 # fixed values: cell texts that mean "missing"
 NA_TEXTS = (
@@ -52,8 +52,10 @@ def typed_csv(spark: SparkSession, path: str) -> DataFrame:
 
     Typing is decided by one aggregate over all columns, so that a single ``inf``
     does not turn a sensor into text.  A file is read in splits unless a quoted
-    cell runs over several lines.  Text cells keep their white space.
+    cell runs over several lines.  Text cells keep their white space.  A file whose
+    name Spark would pass over is read through a copy.
     """
+    path = visible(spark, path)
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=_breaks_lines(spark, path))
     text = raw.select(*[_cell(c).alias(c) for c in raw.columns])
     bad = text.agg(*[

@@ -174,6 +174,14 @@ def test_contributions_are_exact_and_point_at_the_fault(pair_ds, op_pair):
     for cls, part in best.groupby("class"):
         top = set(part.nlargest(4, "share").sensor)
         assert top & op_pair.truth[cls]["hit"]
+    long = m.contribution_rows(op.failures, ["run_id", "class"])
+    for hot, limit in ((False, None), (True, None), (True, 5.0)):
+        some = long if not hot else long.where(F.col("score") > (F.col("threshold") if limit is None else F.lit(limit)))
+        want = some.groupBy("class", "sensor").agg(F.avg("contribution").alias("c"), F.avg("share").alias("s"),
+                                                   F.count("*").alias("n")).toPandas().sort_values(["class", "sensor"])
+        got = m.contribution_means(op.failures, ["class"], hot, limit).toPandas().sort_values(["class", "sensor"])
+        assert got["sensor"].tolist() == want["sensor"].tolist() and got["n"].tolist() == want["n"].tolist()
+        assert np.allclose(got["contribution"], want["c"]) and np.allclose(got["share"], want["s"])
     table = m.top_contributors(op.failures.limit(5), 3).toPandas()
     assert len(table) == 5 and {"sensor_1", "share_3"} <= set(table.columns)
     assert (table.share_1 >= table.share_2).all() and (table.share_2 >= table.share_3).all()

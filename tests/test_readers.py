@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from runwatch import Dataset
 from runwatch.functions.columns import number
 from runwatch.operators import quantiles
 from runwatch.operators.quality import implied
@@ -50,14 +51,18 @@ def test_colliding_names_take_the_next_free_number(spark, tmp_path):
     assert ops["a_b_2_2"]["nominal"] == "a_b_2/nominal.csv"
 
 
-def test_hidden_files_are_reported(spark, tmp_path):
+def test_files_spark_passes_over_are_read(spark, tmp_path):
     root = str(tmp_path / "lake")
-    for name in ("_OP1_nominal", "_OP1_failures", "OP2_nominal", "OP2_failures", ".x_nominal"):
-        write(f"{root}/{name}.csv", "s\n1\n")
+    for name in ("_OP1_nominal", "_OP1_failures", "OP2_nominal", "OP2_failures", ".x_nominal", ".old/_a/_nominal", ".old/_a/failures"):
+        rows = "".join(f"{i},{i % 7}.5,{'K' if i % 2 else 'L'}\n" for i in range(20))
+        write(f"{root}/{name}.csv", "s,t,Failure\n" + rows)
     got = catalog.catalog_runs(spark, root)
-    assert list(got["operating_points"]) == ["OP2"]
-    assert got["unmatched"] == [".x_nominal.csv", "_OP1_failures.csv", "_OP1_nominal.csv"]
-    assert sum("begin with _ or ." in n for n in got["notes"]) == 3
+    assert list(got["operating_points"]) == [".old__a", "OP1", "OP2"] or set(got["operating_points"]) == {"OP1", "OP2", ".old__a"}
+    assert got["unmatched"] == [".x_nominal.csv"] and got["operating_points"]["OP1"]["nominal"] == "_OP1_nominal.csv"
+    ds = Dataset.from_manifest(spark, got)
+    counts = {(r["op"], r["set"]): r["count"] for r in ds.runs.groupBy("op", "set").count().collect()}
+    assert counts == {(op, side): 20 for op in got["operating_points"] for side in ("nominal", "failure")}
+    assert ds.load_info["OP1"]["nominal"]["rows_read"] == 20
 
 
 def test_narrowing_ends_at_the_ends_of_the_doubles(spark, monkeypatch):
