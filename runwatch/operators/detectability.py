@@ -102,6 +102,26 @@ def detection_cells(frame: DataFrame, keys: list[str], carry: list[str] = []) ->
     )
 
 
+def detection_cells_at(frame: DataFrame, keys: list[str], rates: int) -> DataFrame:
+    """``detection_cells`` at several false positive rates from one aggregate: ``alpha, keys, intensity,
+    n, k, threshold``.
+
+    ``frame`` is ``keys, intensity, score, limits ARRAY<STRUCT<alpha, threshold>>`` with ``rates``
+    limits, constant in a group.  A run is counted once; the rates are set apart after the sums.
+    """
+    limit = lambda i: F.get("limits", F.lit(i))["threshold"]
+    counted = (
+        frame.select(*keys, finite(F.col("intensity")).alias("intensity"), "score", "limits")
+        .groupBy(*keys, "intensity")
+        .agg(F.count(F.lit(1)).alias("n"), F.first("limits").alias("limits"),
+             F.array(*[F.count_if(flag(F.col("score"), limit(i))) for i in range(rates)]).alias("k"))
+    )
+    each = F.explode(F.zip_with("limits", "k", lambda a, k: F.struct(
+        a["alpha"].alias("alpha"), a["threshold"].alias("threshold"), k.alias("k"))))
+    return materialise(counted.select(*keys, "intensity", "n", each.alias("e")).select(
+        "e.alpha", *keys, "intensity", "n", "e.k", "e.threshold"))
+
+
 def empirical_pod(
     cells: DataFrame, keys: list[str], n_bins: int = 10, min_count: int = 15,
     confidence: float = 0.95, exact_rows: int | None = None,
@@ -142,7 +162,16 @@ def fit_pod(
 ) -> Pod:
     """POD of every group of ``frame`` (``keys, intensity, detected, threshold, alpha``)."""
     settings = [c for c in ("threshold", "alpha") if c in frame.columns and c not in keys]
-    whole = detection_cells(frame, keys, settings)
+    return pod_of_cells(detection_cells(frame, keys, settings), keys, settings, n_bins, min_count, n_boot,
+                        confidence, seed, exact_rows, cells_per_task)
+
+
+def pod_of_cells(
+    whole: DataFrame, keys: list[str], settings: list[str] = [], n_bins: int = 10, min_count: int = 15,
+    n_boot: int = 200, confidence: float = 0.95, seed: object = 0,
+    exact_rows: int | None = None, cells_per_task: int | None = None,
+) -> Pod:
+    """POD of every group of materialised cells (``keys, intensity, n, k`` and constant ``settings``)."""
     cells = whole.drop(*settings)
     x = F.col("intensity")
     usable = x > 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import FAILURE, NOMINAL, flag
 from ..operators import detectability as det
+from ..operators.quantiles import grouped_quantiles
 from ..operators.select import ALL_CLASSES, UNLABELLED, failure_runs, nominal_runs, signed_intensity
 from ..runtime import attach, materialise
 from ..sources.dataset import Dataset
@@ -33,11 +34,7 @@ class ModelBank:
         A list of templates makes a bank of several chains, scored in one pass.
         """
         names = dataset.operating_points if operating_points is None else list(operating_points)
-        for name in names:
-            have = dataset[name].sensors
-            lacking = [s for s in (sensors or []) if s not in have]
-            if lacking:
-                raise KeyError(f"{name!r} lacks sensor(s) {lacking}; use dataset.common_sensors()")
+        dataset.require(names, sensors or [])
         nominal = nominal_runs(dataset.runs)
         offered = None
         if operating_points is not None:
@@ -111,8 +108,6 @@ class ModelBank:
         return df.withColumn("op", F.lit(op))
 
     def contributions(self, df: DataFrame, **options) -> DataFrame:
-        if not hasattr(self.models, "contributions"):
-            raise AttributeError(f"{type(self.models).__name__} has no per-sensor decomposition")
         return self.models.contributions(df, **options)
 
     def score_dataset(self, dataset: Dataset | DataFrame) -> DataFrame:
@@ -160,14 +155,7 @@ def score_frame(
     scores (several rates give one row per run and rate); the models stay as
     they are.
     """
-    if "intensity" not in runs.columns:
-        raise ValueError("detectability needs an intensity column")
-    rows = failure_runs(runs, classes)
-    rows = rows.withColumns({
-        "class": F.coalesce(F.col("class").cast("string"), F.lit(ALL_CLASSES)),
-        "intensity_signed": signed_intensity(rows),
-    }).withColumn("intensity", F.abs("intensity_signed"))
-    scored = models.score(rows)
+    scored = _scored_failures(models, runs, classes)
     if at_alpha is None:
         limits = materialise(models.table.select("op", "chain", "alpha"))
     else:
@@ -181,14 +169,28 @@ def score_frame(
         "threshold", "alpha")
 
 
-def _limits(scored: DataFrame, alphas: list[float], exact_rows: int | None) -> DataFrame:
-    from ..operators.quantiles import grouped_quantiles
+def _scored_failures(models: FittedDetector, runs: DataFrame, classes: list[str] | None) -> DataFrame:
+    if "intensity" not in runs.columns:
+        raise ValueError("detectability needs an intensity column")
+    rows = failure_runs(runs, classes)
+    return models.score(rows.withColumns({
+        "class": F.coalesce(F.col("class").cast("string"), F.lit(ALL_CLASSES)),
+        "intensity_signed": signed_intensity(rows),
+    }).withColumn("intensity", F.abs("intensity_signed")))
+
 
+def _limit_arrays(scored: DataFrame, alphas: list[float], exact_rows: int | None) -> DataFrame:
+    """``op, chain, limits ARRAY<STRUCT<alpha, threshold>>`` from nominal scores."""
     q = grouped_quantiles(scored, ["op", "chain"], "score", [1.0 - a for a in alphas],
                           exact_rows=exact_rows)
-    pairs = F.arrays_zip(F.array(*[F.lit(float(a)) for a in alphas]).alias("alpha"), "q")
-    return q.select("op", "chain", F.explode(pairs).alias("e")).select(
-        "op", "chain", F.col("e.alpha").alias("alpha"), F.col("e.q").alias("threshold"))
+    pair = lambda a, t: F.struct(a.alias("alpha"), t.alias("threshold"))
+    rates = F.array(*[F.lit(float(a)) for a in alphas])
+    return q.select("op", "chain", F.zip_with(rates, "q", pair).alias("limits"))
+
+
+def _limits(scored: DataFrame, alphas: list[float], exact_rows: int | None) -> DataFrame:
+    arrays = _limit_arrays(scored, alphas, exact_rows)
+    return arrays.select("op", "chain", F.inline("limits"))
 
 
 def pod_analysis(
@@ -196,10 +198,14 @@ def pod_analysis(
     at_alpha: float | list[float] | None = None, nominal: DataFrame | None = None, **options,
 ) -> det.Pod:
     """POD of every class of every operating point (and chain and rate) at once."""
-    frame = score_frame(models, runs, classes, at_alpha, nominal)
-    many = isinstance(at_alpha, list)
-    keys = ["op", "chain", *(["alpha"] if many else []), "class"]
-    return det.fit_pod(frame, keys, **options)
+    if not isinstance(at_alpha, list):
+        frame = score_frame(models, runs, classes, at_alpha, nominal)
+        return det.fit_pod(frame, ["op", "chain", "class"], **options)
+    base = models.score(nominal_runs(runs) if nominal is None else nominal)
+    limits = materialise(_limit_arrays(base, at_alpha, options.get("exact_rows")))
+    frame = attach(_scored_failures(models, runs, classes), limits, ["op", "chain"])
+    cells = det.detection_cells_at(frame, ["op", "chain", "class"], len(at_alpha))
+    return det.pod_of_cells(cells, ["op", "chain", "alpha", "class"], ["threshold"], **options)
 
 
 def detectability_summary(

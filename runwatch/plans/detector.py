@@ -80,6 +80,10 @@ class FittedDetector:
         """``df`` joined with its models: adds ``chain``, ``score`` and ``threshold``."""
         raise NotImplementedError
 
+    def contributions(self, df: DataFrame, **options) -> DataFrame:
+        """Score split over the sensors; only detectors whose score is a sum of sensor terms have it."""
+        raise AttributeError(f"the score of a {type(self).__name__} is no sum over sensors")
+
     # -- shared ---------------------------------------------------------------
     def predict(self, df: DataFrame) -> DataFrame:
         return self.score(df).withColumn("flagged", flag(F.col("score"), F.col("threshold")))
