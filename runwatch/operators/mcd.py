@@ -27,9 +27,9 @@ STARTS = 30
 #: starts that are tried on the whole data, for how many steps, and out of how many at most
 CANDIDATES, TRIAL_STEPS, POOL = 10, 2, 64
 #: a group that still moves after so many steps is marked and gets a warning
-MAX_STEPS = 60
+MAX_STEPS = 40
 #: a step that lowers the log determinant by less than this has settled
-MIN_GAIN = 1e-6
+MIN_GAIN = 1e-3
 
 _STATE = ("op string, chain string, use array<boolean>, shift array<double>, "
           "weight array<double>, cov array<double>, logdet double, singular boolean")
