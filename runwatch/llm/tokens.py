@@ -1,8 +1,8 @@
 """Byte-level BPE in Arrow functions: token counts and token ids of whole texts.
 
-Batches are rebalanced by bytes before they are encoded, and a long text is cut into parts at
+Texts are taken in batches of about equal bytes, and a long text is cut into parts at
 places where no token can reach across, so neither a run of long texts nor one huge text
-decides the memory of a task.  A cut lies between an ASCII letter or digit and a following
+decides the memory of a task.  Counting hands every batch to the batch call of its library.  A cut lies between an ASCII letter or digit and a following
 space: the split rule of the vocabulary never joins a word and the space behind it, and a part
 that ends in a word leaves the look-ahead of white space unchanged.
 
@@ -31,6 +31,8 @@ from . import shared, words
 VOCABULARY = "byte_bpe_50k"
 #: bytes handed to the encoder at a time; also the length above which a text is cut
 BATCH_BYTES = 1 << 18
+#: texts cut and batched together when only their lengths are wanted
+GROUP_BYTES = 1 << 21
 _BREAK = re.compile(r"(?<=[A-Za-z0-9])(?= )", re.ASCII)
 
 
@@ -88,6 +90,49 @@ def encoded(column: pa.Array, name: str = VOCABULARY) -> Iterator[tuple[int, lis
         yield lo, [encode([t], lo + k not in odd, name)[0] for k, t in enumerate(texts)]
 
 
+def balanced(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Cut consecutive items into ranges of about equal bytes, as few as ``most`` bytes each allow.
+
+    An item lies in the range its middle byte falls into; ranges without an item are left out.
+    """
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    if total == 0:
+        return []
+    ranges = -(-total // most)
+    place = np.minimum((2 * ends - sizes) * ranges // (2 * total), ranges - 1)
+    border = np.searchsorted(place, np.arange(ranges + 1))
+    return [(int(a), int(b)) for a, b in zip(border, border[1:]) if b > a]
+
+
+def lengths(column: pa.Array, name: str = VOCABULARY) -> np.ndarray:
+    """The number of tokens of every text of a column.
+
+    The texts are cut into parts, the parts are batched by bytes, and of each batch the parts
+    below the border of the character tables and the others are one library call each.
+    """
+    exact, fast = _encoders(name)
+    data, at = words.texts_of(column)
+    out = np.zeros(len(at) - 1, np.int64)
+    wide = np.zeros(len(at) - 1, bool)
+    wide[np.searchsorted(at, np.flatnonzero(data >= 0xCA), "right") - 1] = True
+    whole = data.tobytes()
+    for lo, hi in words.groups_of_bytes(at, GROUP_BYTES):
+        cut = [parts(whole[at[i]:at[i + 1]].decode("utf-8")) for i in range(lo, hi)]
+        owner = np.repeat(np.arange(lo, hi), [len(c) for c in cut])
+        pieces = [piece for c in cut for piece in c]
+        for a, b in balanced(np.array([len(piece) for piece in pieces]), BATCH_BYTES):
+            for kind in (False, True):
+                chosen = a + np.flatnonzero(wide[owner[a:b]] == kind)
+                texts = [pieces[k] for k in chosen]
+                if not texts:
+                    continue
+                ids = (exact.encode_batch_fast(texts, add_special_tokens=False) if kind
+                       else fast.encode_batch(texts, num_threads=1, allowed_special="all"))
+                np.add.at(out, owner[chosen], [len(i) for i in ids])
+    return out
+
+
 def count_tokens(docs: DataFrame, limit: int = 1024, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs (doc_id, text)``.
 
@@ -98,11 +143,8 @@ def count_tokens(docs: DataFrame, limit: int = 1024, vocabulary: str = VOCABULAR
         for batch in batches:
             column = batch.column("text")
             _, at = words.texts_of(column)
-            n = np.zeros(batch.num_rows, np.int64)
-            for lo, ids in encoded(column, vocabulary):
-                n[lo:lo + len(ids)] = [len(i) for i in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(n)],
+                [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(lengths(column, vocabulary))],
                 ["doc_id", "n_bytes", "n_tokens"])
 
     narrow = docs.select(F.col("doc_id").cast("long"), "text")

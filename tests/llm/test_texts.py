@@ -72,6 +72,30 @@ def test_counts_equal_the_library(spark):
     assert tokens.count_tokens(frame(spark, [])).count() == 0
 
 
+def test_long_and_repeated_texts_are_counted_in_balanced_batches(spark, monkeypatch):
+    long = "some words, 12 and 34 more. " * 12_000
+    texts = [long, long + "日本", "x" * 300_000, None, "a b", "a b", ""]
+    rows = spark.createDataFrame(
+        [(None if i == 4 else min(i, 5), t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
+    got = tokens.count_tokens(rows.coalesce(1)).toPandas()
+    assert got["n_tokens"].tolist() == [len(library(t)) for t in texts]
+    assert got["n_bytes"].tolist() == [len((t or "").encode()) for t in texts]
+    assert got["doc_id"].isna().tolist() == [i == 4 for i in range(7)]
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 50)
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 300)
+    column = pa.array(TEXTS * 3)
+    assert tokens.lengths(column).tolist() == [len(library(t)) for t in TEXTS] * 3
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 90), max_size=60))
+def test_balanced_ranges_follow_each_other(sizes):
+    ranges = tokens.balanced(np.array(sizes, np.int64), 100)
+    inside = [i for a, b in ranges for i in range(a, b)]
+    assert inside == list(range(len(sizes))) if sum(sizes) else ranges == []
+    assert all(sum(sizes[a:b]) <= 100 + 90 for a, b in ranges)
+
+
 def test_both_encoders_agree_below_the_border():
     low = [chr(c) for c in range(1, 0x280)]
     texts = ["".join(low)] + [f"a{c}b {c} {c}{c}1" for c in low]
