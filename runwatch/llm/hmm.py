@@ -24,8 +24,8 @@ from . import shared, words
 STATES = 8
 #: words with a class of their own, shape classes, words whose counts are broadcast
 OWN, SHAPES, FREQUENT = 4096, 2048, 200_000
-#: tokens of the training sample that the first rounds use to find a start
-START_TOKENS, START_ROUNDS = 1_000_000, 12
+#: the first rounds find a start from one training document in so many, whole and picked by a hash
+START_ONE_IN, START_ROUNDS = 4, 12
 #: Baum-Welch rounds over all training documents
 ROUNDS = 3
 #: training sequences are at most this long; a longer document is several sequences
@@ -295,39 +295,43 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(v, "<u2").astype(np.int64) for v in column.to_pylist()]
 
 
+def _counted(sequences: DataFrame, params) -> np.ndarray:
+    """Expected counts of all sequences, summed over the partitions; empty without any sequence."""
+    shipped = sequences.sparkSession.sparkContext.broadcast(params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                one = expected(_sequences(batch.column("classes").slice(lo, 1024)), shipped.value)
+                total = one if total is None else total + one
+        if total is not None:
+            full = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full.astype(np.int32)), pa.array(total[full])], ["at", "value"])
+
+    summed = sequences.mapInArrow(run, "at int, value double").groupBy("at").agg(
+        F.sum("value").alias("value")).toPandas()
+    first, _, emit = params
+    counts = np.zeros(len(first) * (1 + len(first)) + emit.size)
+    counts[summed["at"].to_numpy()] = summed["value"].to_numpy()
+    return counts if len(summed) else counts[:0]
+
+
 def train(encoded: DataFrame, model: Model, states: int = STATES, rounds: int = ROUNDS):
-    """Baum-Welch: a start from a bounded sample, then rounds over all training documents."""
-    spark = encoded.sparkSession
-    params = start_parameters(model, states)
-    share = min(1.0, START_TOKENS / max(model.total, 1))
-    sample = encoded.where(F.pmod(F.xxhash64("doc_id", "classes"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
-    tokens, first = 0, []
-    for row in sample.select("classes").toLocalIterator():
-        first.append(np.frombuffer(row["classes"], "<u2").astype(np.int64)[:START_TOKENS - tokens])
-        tokens += len(first[-1])
-        if tokens >= START_TOKENS:
-            break
-    for _ in range(START_ROUNDS if first else 0):
-        params = maximise(expected(first, params), model, states)
-    for _ in range(rounds):
-        shipped = spark.sparkContext.broadcast(params)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 1024):
-                    one = expected(_sequences(batch.column("classes").slice(lo, 1024)), shipped.value)
-                    total = one if total is None else total + one
-            if total is not None:
-                full = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full.astype(np.int32)), pa.array(total[full])], ["at", "value"])
+    """Baum-Welch: rounds over a fixed share of the documents find a start, then all documents take part.
 
-        summed = encoded.select("classes").mapInArrow(run, "at int, value double").groupBy("at").agg(
-            F.sum("value").alias("value")).toPandas()
-        counts = np.zeros(states + states * states + states * model.classes)
-        counts[summed["at"].to_numpy()] = summed["value"].to_numpy()
-        params = maximise(counts, model, states)
+    The share is picked by a hash of id and text, so it grows with the corpus and does not
+    depend on the layout of the files.  A round without any document changes nothing.
+    """
+    params = start_parameters(model, states)
+    sequences = encoded.select("classes")
+    picked = F.pmod(F.xxhash64("doc_id", "classes"), F.lit(START_ONE_IN)) == 0
+    sample = shared.stored(encoded.where(picked).select("classes"))
+    for rows in [sample] * START_ROUNDS + [sequences] * rounds:
+        counts = _counted(rows, params)
+        if len(counts):
+            params = maximise(counts, model, states)
     return params
 
 

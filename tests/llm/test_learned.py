@@ -111,6 +111,19 @@ def test_language_model_without_training_rows(spark):
     assert [r.n_tokens for r in hmm.language_model(null).collect()] == [1, 1]
 
 
+def test_the_chain_does_not_depend_on_the_layout_of_the_documents(spark):
+    docs = shared.documents(spark, SF).where("doc_id < 400")
+    scores = [
+        hmm.language_model(rows).toPandas().set_index("doc_id")["score"].sort_index()
+        for rows in (docs.coalesce(1), docs.orderBy(F.col("doc_id").desc()).repartition(7))]
+    assert np.allclose(*scores, rtol=1e-3)
+
+
+def test_rounds_without_documents_keep_the_start(spark):
+    none = hmm._counted(spark.createDataFrame([], "classes binary"), (np.ones(2), np.ones((2, 2)), np.ones((2, 5))))
+    assert len(none) == 0
+
+
 def test_held_out_texts_are_likelier_than_by_counts(spark):
     rows = hmm.language_model(shared.documents(spark, SF)).where("held_out").toPandas()
     assert rows["score"].sum() > 0.95 * rows["base_score"].sum()
