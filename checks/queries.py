@@ -256,7 +256,8 @@ def _(spark, d):
     numeric = [c for c in failures.columns if role_ops.is_numeric(failures.schema[c].dataType)]
     extra = {c for c in failures.columns if c not in nom.columns}
     stats, n = role_ops.column_stats(failures, numeric, [])
-    found = role_ops.intensity_candidates(failures, numeric, extra, "Failure", stats, n)
+    found = role_ops.intensity_candidates(
+        numeric, extra, "Failure", stats, n, role_ops.TableFacts(failures).distinct_ratios)
     rows = [(c, s, i + 1) for i, (c, s) in enumerate(found)]
     return spark.createDataFrame(rows, "candidate string, score double, place bigint")
 

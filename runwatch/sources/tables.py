@@ -36,7 +36,7 @@ class RunTable:
     info: dict
 
 
-def _cell(name: str) -> Column:
+def cell(name: str) -> Column:
     """The cell as it stands, NULL where its trimmed text means missing."""
     return F.when(~F.trim(col(name)).isin(*NA_TEXTS), col(name))
 
@@ -57,7 +57,7 @@ def typed_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     path = visible(spark, path)
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=_breaks_lines(spark, path))
-    text = raw.select(*[_cell(c).alias(c) for c in raw.columns])
+    text = raw.select(*[cell(c).alias(c) for c in raw.columns])
     bad = text.agg(*[
         F.count_if(col(c).isNotNull() & parsed(col(c)).isNull()).alias(f"_{i}")
         for i, c in enumerate(text.columns)
