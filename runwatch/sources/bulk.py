@@ -121,9 +121,11 @@ def signatures(spark: SparkSession, paths: list[str]) -> list[Signature]:
     for path, place in seen.items():
         if names[place] not in heads:
             raise ValueError(f"{path} has no header line")
-        groups[heads[names[place]]].append(path)
+        head, breaks = heads[names[place]]
+        # a header that goes on below its first line says too little to share a scan
+        groups[head, breaks, path if head.count('"') % 2 else None].append(path)
     out = []
-    for (_, breaks), members in groups.items():
+    for (_, breaks, _), members in groups.items():
         places = [seen[path] for path in members]
         first = spark.read.csv(places[0], header=True, inferSchema=False, multiLine=bool(breaks))
         raw = spark.read.schema(first.schema).csv(places, header=True, multiLine=bool(breaks))

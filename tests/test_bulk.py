@@ -75,6 +75,17 @@ def test_one_file_may_serve_several_operating_points(spark, tmp_path):
             "x": entry, "y": {**entry, "nominal": "empty.csv"}}})
 
 
+def test_headers_of_several_lines_are_not_mixed_up(spark, tmp_path):
+    root = str(tmp_path)
+    for name, second in (("A", "one"), ("B", "two")):
+        head = f's,"t\n{second}"'
+        write(f"{root}/{name}/nominal.csv", head + "\n1,2\n3,4\n")
+        write(f"{root}/{name}/failures.csv", head + ",Failure\n1,2,K\n3,4,L\n")
+    ds = Dataset.from_folder(spark, root)
+    assert {op: ds[op].sensors for op in ds.operating_points} == {"A": ["s", "t\none"], "B": ["s", "t\ntwo"]}
+    assert ds.runs.where("op = 'B'").agg(F.sum("`t\ntwo`")).first()[0] == 12
+
+
 def test_jobs_do_not_grow_with_the_operating_points(spark, tmp_path):
     jobs = []
     for n in (3, 24):
