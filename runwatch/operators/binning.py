@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite
-from ..runtime import attach, materialise
-from .quantiles import grouped_quantiles, spread_fractions
+from ..functions.columns import finite, with_count
+from ..runtime import attach, materialise, stored
+from .quantiles import EXACT_ROWS, grouped_quantiles, spread_fractions
 
 
 @dataclass
@@ -19,6 +19,7 @@ class Edges:
     table: DataFrame
     groups: int
     largest: int
+    bins: int
 
 
 def bin_edges(
@@ -51,23 +52,21 @@ def bin_edges(
     made = materialise(
         q.drop("n").join(F.broadcast(sizes) if facts["groups"] < 100_000 else sizes, keys)
         .select(*keys, "n", edges.alias("edges")))
-    return Edges(made, facts["groups"], facts["largest"] or 0)
-
-
-def bin_index(x: Column, edges: Column) -> Column:
-    """Number of inner edges at or below x; the last bin is closed on the right."""
-    inner = F.slice(edges, 2, F.size(edges) - 2)
-    return F.size(F.filter(inner, lambda e: e <= x))
+    return Edges(made, facts["groups"], facts["largest"] or 0, max(facts["nb"] or [1]))
 
 
 def assign_bins(rows: DataFrame, edges: Edges, keys: list[str], x: str) -> DataFrame:
-    """Adds ``bin, lo, hi`` by comparing with the group's edges (no shuffle)."""
-    joined = attach(rows, edges.table.select(*keys, "edges"), keys, row_bytes=512,
-                    rows=edges.groups)
-    joined = joined.withColumn("bin", bin_index(F.col(x), F.col("edges")))
+    """Adds ``bin, lo, hi`` by comparing with the group's edges (no shuffle).
+
+    The bin is the number of inner edges at or below x; the last one is closed on the right.
+    """
+    inner = F.slice("edges", 2, F.size("edges") - 2)
+    table = edges.table.select(*keys, "edges", inner.alias("_inner"))
+    joined = attach(rows, table, keys, row_bytes=512, rows=edges.groups)
+    joined = with_count(joined, "bin", "_inner", x, edges.bins - 1)
     return joined.withColumns({
         "lo": F.col("edges")[F.col("bin")], "hi": F.col("edges")[F.col("bin") + 1],
-    }).drop("edges")
+    }).drop("edges", "_inner")
 
 
 def binned_stats(
@@ -75,13 +74,18 @@ def binned_stats(
     exact_rows: int | None = None,
 ) -> DataFrame:
     """``keys, bin, center, lo, hi, median, q25, q75, n`` over quantile bins of x."""
-    rows = df.select(*keys, finite(F.col(x)).alias("_x"), finite(F.col(y)).alias("_y"))
+    # the edges and the quantiles in the bins read these rows many times: compute them once
+    rows = stored(df.select(*keys, finite(F.col(x)).alias("_x"), finite(F.col(y)).alias("_y")))
     rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     edges = bin_edges(rows, keys, "_x", n_bins, min_count, exact_rows=exact_rows)
     placed = assign_bins(rows, edges, keys, "_x")
     cell = [*keys, "bin", "lo", "hi"]
+    counts = None
+    if edges.largest > (EXACT_ROWS if exact_rows is None else exact_rows):
+        placed = stored(placed)
+        counts = materialise(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")))
     q = lambda v, ps: grouped_quantiles(
-        placed, cell, v, ps, exact_rows=exact_rows, largest=edges.largest)
+        placed, cell, v, ps, counts, exact_rows, largest=edges.largest)
     centers = q("_x", [0.5]).select(*cell, F.col("q")[0].alias("center"))
     spread = q("_y", [0.25, 0.5, 0.75])
     return spread.join(centers, cell).select(

@@ -85,7 +85,10 @@ def _builtin(df, weights, axis, carry, keys, contributions, triangular, n_models
             for j in range(p)
         ]
         made["parts"] = F.when(F.col("_ok"), F.array(*parts))
-    return rows.withColumns(made).select(*df.columns, *carry, *made)
+    # as the one row of an array: a later filter on the score would else be rewritten in terms of
+    # the sensors and move below the steps above, which it then repeats many times over for each run
+    row = F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()])))
+    return rows.select(*df.columns, *carry, row)
 
 
 def _arrow(df, weights, axis, carry, keys, contributions, rows) -> DataFrame:

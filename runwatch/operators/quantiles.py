@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import with_count
 from ..runtime import attach, materialise
 
 EXACT_ROWS = 500_000
@@ -141,11 +142,16 @@ def _placed(rows: DataFrame, keys: list[str], brackets: DataFrame, whole: bool)
     if whole:
         nothing = F.lit(None).cast("double")
         return attach(rows, brackets.select(*keys), keys).withColumn("_lo", nothing)
-    lists = materialise(brackets.groupBy(*keys).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_in")))
-    v = F.col("_v")
-    near = attach(rows, lists, keys, row_bytes=1024).withColumn(
-        "_hit", F.filter("_in", lambda s: (s["_lo"] <= v) & (v <= s["_hi"])))
-    return near.where(F.size("_hit") > 0).select(*rows.columns, F.get("_hit", F.lit(0))["_lo"].alias("_lo"))
+    lists = materialise(
+        brackets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_lo", "_hi"))).alias("_in"))
+        .select(*keys, F.col("_in._lo").alias("_los"), F.col("_in._hi").alias("_his")))
+    near = with_count(attach(rows, lists, keys, row_bytes=1024), "_at", "_los", "_v", _longest(lists, "_los"))
+    own = lambda ends: F.get(ends, F.col("_at") - 1)
+    return near.where(F.col("_v") <= own("_his")).select(*rows.columns, own("_los").alias("_lo"))
+
+
+def _longest(table: DataFrame, name: str) -> int:
+    return table.agg(F.max(F.size(name))).first()[0] or 0
 
 
 def _count_between(rows: DataFrame, keys: list[str], active: DataFrame, whole: bool) -> DataFrame:
@@ -173,15 +179,15 @@ def _count_between(rows: DataFrame, keys: list[str], active: DataFrame, whole: b
         F.coalesce(grid, F.array().cast("array<double>")))
     bounds = materialise(joined.withColumn("_levels", levels).select(
         *keys, "_lo", "_below", "_marks", F.array_sort(F.array_distinct(near)).alias("_bounds")))
-    # values equal to a bound have a stretch of their own, so that a frequent value stands alone
-    slot = 2 * F.size(F.filter("_bounds", lambda b: b <= F.col("_v"))) - F.array_contains(
-        "_bounds", F.col("_v")).cast("int")
     if whole:
         tagged = attach(held.drop("_lo"), bounds.select(*keys, "_bounds"), keys, row_bytes=1024)
         tagged = tagged.withColumn("_lo", F.lit(None).cast("double"))
     else:
         tagged = attach(held, bounds.select(*keys, "_lo", "_bounds"), cell, row_bytes=1024)
-    counted = tagged.groupBy(*cell, slot.alias("_slot")).agg(
+    # values equal to a bound have a stretch of their own, so that a frequent value stands alone
+    tagged = with_count(tagged, "_at", "_bounds", "_v", _longest(bounds, "_bounds"))
+    equal = F.coalesce(F.get("_bounds", F.col("_at") - 1) == F.col("_v"), F.lit(False))
+    counted = tagged.groupBy(*cell, (2 * F.col("_at") - equal.cast("int")).alias("_slot")).agg(
         F.sum("_c").alias("_weight"), F.count(F.lit(1)).alias("_rows"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     known = counted.alias("r").join(bounds.drop("_bounds").alias("a"), same).select(

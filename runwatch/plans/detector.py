@@ -26,9 +26,9 @@ from ..operators.gram import (
 from ..operators.mcd import minimum_covariance_determinant
 from ..operators.ordering import before_cut, hash_cut
 from ..operators.prepare import drop_redundant, first_of_each, fit_scaler, live_stats
-from ..operators.quantiles import grouped_quantiles
+from ..operators.quantiles import EXACT_ROWS, grouped_quantiles
 from ..operators.sums import partial_vectors, summed
-from ..runtime import attach, col, materialise
+from ..runtime import attach, col, materialise, stored
 
 COVARIANCES = ("empirical", "ledoit_wolf", "oas", "mcd", "diagonal")
 SCALERS = ("standard", "robust", "none")
@@ -171,6 +171,9 @@ def score_quantile(
     counts: DataFrame | None = None, largest: int | None = None,
 ) -> DataFrame:
     """``op, chain, n, limit``: exact linear-interpolated 1 - alpha quantile of the scores."""
+    if largest is None or largest > (EXACT_ROWS if exact_rows is None else exact_rows):
+        # large groups are read several times: hash, join and score their runs once
+        scored = stored(scored.select("op", "chain", "score"))
     q = grouped_quantiles(scored, ["op", "chain"], "score", [1.0 - alpha], counts, exact_rows,
                           largest=largest)
     return q.select("op", "chain", "n", F.col("q")[0].alias("limit"))
