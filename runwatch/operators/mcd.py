@@ -19,7 +19,7 @@ from ..functions.distributions import chi2_quantile
 from ..runtime import attach, materialise, stored
 from .distance import distances
 from .gram import gram, per_row, unpack
-from .quantiles import order_values
+from .quantiles import FINISH_ROWS, order_values
 
 #: rows of a part in which starts are searched
 PART_ROWS = 1500
@@ -31,6 +31,9 @@ MAX_STEPS = 40
 #: a step that lowers the log determinant by less than this has settled
 MIN_GAIN = 1e-3
 
+#: slots of distances for each doubling, and the slot of a distance of zero
+SLOTS, NO_DISTANCE = 512, -(1 << 30)
+
 _STATE = ("op string, chain string, use array<boolean>, shift array<double>, "
           "weight array<double>, cov array<double>, logdet double, singular boolean")
 
@@ -87,6 +90,34 @@ def _best_starts(z: np.ndarray, fraction: float | None, seed: int, k: int) -> li
     return [(mean, cov) for _, mean, cov, _ in ends]
 
 
+def nth_distances(d: DataFrame, ranks: DataFrame, n_models: int) -> DataFrame | None:
+    """``op, chain, _cut``: the ``h``-th smallest ``d2`` of each model; ``ranks`` is ``op, h``.
+
+    One scan counts the rows by the logarithm of their distance, which tells the slot of the wanted
+    rank, and one more sorts the distances in that slot.  None when a slot holds more than
+    ``FINISH_ROWS`` rows.
+    """
+    model = ["op", "chain"]
+    slot = F.floor(F.log2("d2") * F.lit(SLOTS))
+    near = d.where(F.col("d2").isNotNull()).select(
+        *model, "d2", F.coalesce(slot, F.lit(NO_DISTANCE)).alias("_slot"))
+    line = Window.partitionBy(*model).rowsBetween(Window.unboundedPreceding, 0)
+
+    def reached(counted: DataFrame, by: str) -> DataFrame:
+        end = F.sum("_c").over(line.orderBy(by))
+        return counted.withColumn("_before", end - F.col("_c")).where(
+            (F.col("_before") < F.col("h")) & (F.col("_before") + F.col("_c") >= F.col("h")))
+
+    slots = near.groupBy(*model, "_slot").agg(F.count(F.lit(1)).alias("_c"))
+    held = materialise(reached(attach(slots, ranks, ["op"], rows=n_models), "_slot").select(
+        *model, "_slot", (F.col("h") - F.col("_before")).alias("h"), F.col("_c").alias("_inside")))
+    if (held.agg(F.max("_inside")).first()[0] or 0) > FINISH_ROWS:
+        return None
+    inside = attach(near, held.drop("_inside"), [*model, "_slot"], rows=n_models)
+    values = inside.groupBy(*model, "h", "d2").agg(F.count(F.lit(1)).alias("_c"))
+    return materialise(reached(values, "d2").select(*model, F.col("d2").alias("_cut")))
+
+
 def minimum_covariance_determinant(
     z: DataFrame, sizes: DataFrame, columns: list[str], fraction: float | None, seed: int
 ) -> DataFrame:
@@ -157,8 +188,12 @@ def minimum_covariance_determinant(
 
     def concentrated(current: DataFrame) -> DataFrame:
         d = scored(current)
-        cut = value_at(d, current, F.col("h") - 1, "_cut")
-        return refit(attach(d, cut, ["op", "chain"]).where(F.col("d2") <= F.col("_cut")), current)
+        # a group has few candidates, so no more rows than these hold a cut
+        cuts = (ops or 0) * CANDIDATES
+        place = nth_distances(d, groups.select("op", "h"), cuts)
+        if place is None:
+            place = value_at(d, current, F.col("h") - 1, "_cut")
+        return refit(attach(d, place, ["op", "chain"], rows=cuts).where(F.col("d2") <= F.col("_cut")), current)
 
     for _ in range(TRIAL_STEPS):
         state = concentrated(state)

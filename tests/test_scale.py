@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from runwatch.functions.columns import with_count
 from runwatch.operators.binning import binned_stats
 from runwatch.operators.distance import distances
+from runwatch.operators.mcd import nth_distances
 
 
 def test_a_filter_on_the_score_does_not_repeat_it(spark):
@@ -41,3 +42,15 @@ def test_entries_at_or_below_a_value(spark):
     for r in got:
         above = r["v"] is not None and np.isnan(r["v"])
         assert r["n"] == (0 if r["v"] is None else sum(above or b <= r["v"] for b in r["b"]))
+
+
+def test_nth_distances_by_slots(spark):
+    rng = np.random.default_rng(3)
+    d2 = np.concatenate([np.zeros(5), rng.chisquare(4, 3000), np.full(400, 2.5)])
+    pdf = pd.DataFrame({"op": "a", "chain": "c0", "d2": d2})
+    other = pd.DataFrame({"op": "a", "chain": "c1", "d2": d2 * 3})
+    d = spark.createDataFrame(pd.concat([pdf, other]))
+    for h in (1, 5, 6, 1702, 2000, len(d2)):
+        ranks = spark.createDataFrame([("a", h)], "op string, h bigint")
+        got = {r["chain"]: r["_cut"] for r in nth_distances(d, ranks, 2).collect()}
+        assert got == {"c0": np.sort(d2)[h - 1], "c1": np.sort(d2 * 3)[h - 1]}
