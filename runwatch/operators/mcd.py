@@ -4,21 +4,26 @@ Starts are searched in parts of bounded size that together hold every row of a
 group, as in the nested scheme of the paper.  The best ``CANDIDATES`` of them take
 ``TRIAL_STEPS`` concentration steps over the whole data side by side, so what wins in
 one part need not win; the best of them then goes on until it settles.  A step is
-distances, the exact h-th smallest one, and the Gram sums of the rows within it:
-a few aggregates, keyed by group and candidate.
+distances, the exact h-th smallest one, and the Gram sums of the rows within it: one
+scan counts the rows of every model by the leading bits of their distance, one more adds
+up the rows below the slot of the wanted rank and hands on those in it (``concentrate``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_quantile
 from ..runtime import attach, materialise, stored
+from .blocks import Pairs, matrix, meet
 from .distance import distances
-from .gram import gram, per_row, unpack
+from .gram import gram, pack, per_row, unpack
 from .quantiles import FINISH_ROWS, order_values
 
 #: rows of a part in which starts are searched
@@ -34,6 +39,11 @@ MIN_GAIN = 1e-3
 #: slots of distances for each doubling, and the slot of a distance of zero
 SLOTS, NO_DISTANCE = 512, -(1 << 30)
 
+#: low bits of a distance that each counting pass leaves out; the last slots hold one value
+SHIFTS = (43, 30, 17, 4, 0)
+#: slots, and cells of sums, that a task holds before it hands them on
+HELD_SLOTS, HELD_CELLS = 1 << 20, 1 << 22
+
 _STATE = ("op string, chain string, use array<boolean>, shift array<double>, "
           "weight array<double>, cov array<double>, logdet double, singular boolean")
 
@@ -59,22 +69,41 @@ def _support(n: int, p: int, fraction: float | None) -> int:
     return min(max(h, 2), n)
 
 
-def _concentrate(z: np.ndarray, part: np.ndarray, h: int, steps: int) -> tuple:
-    """Up to ``steps`` concentration steps in memory: (logdet, mean, cov, rows kept)."""
-    last = np.inf
+def _concentrate(z: np.ndarray, picks: np.ndarray, h: int, steps: int) -> tuple:
+    """Up to ``steps`` concentration steps in memory from each row of ``picks`` (row numbers of its subset).
+
+    All starts step side by side: (logdets, means, covs, rows kept).
+    """
     p = z.shape[1]
-    for _ in range(steps):
-        mean, cov = part.mean(axis=0), np.cov(part, rowvar=False, bias=True).reshape(p, p)
+
+    def fits(picks: np.ndarray) -> tuple:
+        part = z[picks]
+        mean = part.mean(axis=1)
+        gap = part - mean[:, None]
+        cov = gap.transpose(0, 2, 1) @ gap / picks.shape[1]
         sign, logdet = np.linalg.slogdet(cov)
-        if sign > 0 and len(part) >= h and last - logdet < 1e-9:
+        return mean, cov, np.where(sign > 0, logdet, np.inf)
+
+    # subsets of two sizes stand side by side: those that have taken a step hold h rows
+    kept = np.zeros((len(picks), h), dtype=np.int64)
+    mean, cov, logdet = fits(picks)
+    last = np.full(len(picks), np.inf)
+    moving = np.arange(len(picks))
+    if picks.shape[1] == h:
+        kept[:] = picks
+    for k in range(steps):
+        if k or picks.shape[1] >= h:
+            with np.errstate(invalid="ignore"):
+                settled = np.isfinite(logdet[moving]) & (last[moving] - logdet[moving] < 1e-9)
+            last[moving] = logdet[moving]
+            moving = moving[~settled]
+        if not len(moving):
             break
-        last = logdet if sign > 0 and len(part) >= h else np.inf
-        gap = z - mean
-        d2 = np.einsum("ij,jk,ik->i", gap, np.linalg.pinv(cov), gap)
-        part = z[np.argpartition(d2, h - 1)[:h]]
-    mean, cov = part.mean(axis=0), np.cov(part, rowvar=False, bias=True).reshape(p, p)
-    sign, logdet = np.linalg.slogdet(cov)
-    return (logdet if sign > 0 else np.inf), mean, cov, part
+        gap = z[None] - mean[moving, None]
+        d2 = (gap @ np.linalg.pinv(cov[moving]) * gap).sum(axis=2)
+        kept[moving] = np.argpartition(d2, h - 1, axis=1)[:, :h]
+        mean[moving], cov[moving], logdet[moving] = fits(kept[moving])
+    return logdet, mean, cov, kept
 
 
 def _best_starts(z: np.ndarray, fraction: float | None, seed: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -82,12 +111,10 @@ def _best_starts(z: np.ndarray, fraction: float | None, seed: int, k: int) -> li
     n, p = z.shape
     h = _support(n, p, fraction)
     rng = np.random.default_rng(seed)
-    tries = [
-        _concentrate(z, z[rng.choice(n, size=min(p + 1, n), replace=False)], h, 4)
-        for _ in range(STARTS)
-    ]
-    ends = [_concentrate(z, t[3], h, 200) for t in sorted(tries, key=lambda t: t[0])[:k]]
-    return [(mean, cov) for _, mean, cov, _ in ends]
+    tries = np.stack([rng.choice(n, size=min(p + 1, n), replace=False) for _ in range(STARTS)])
+    logdet, _, _, kept = _concentrate(z, tries, h, 4)
+    _, mean, cov, _ = _concentrate(z, kept[np.argsort(logdet, kind="stable")[:k]], h, 200)
+    return [*zip(mean, cov)]
 
 
 def nth_distances(d: DataFrame, ranks: DataFrame, n_models: int) -> DataFrame | None:
@@ -118,6 +145,143 @@ def nth_distances(d: DataFrame, ranks: DataFrame, n_models: int) -> DataFrame |
     return materialise(reached(values, "d2").select(*model, F.col("d2").alias("_cut")))
 
 
+def _squared(z: np.ndarray, model: dict) -> np.ndarray:
+    """Squared distances of the rows of ``z``; equal rows have equal ones, wherever in a batch they are."""
+    p = z.shape[1]
+    weight, gap = model["weight"].reshape(p, p), np.where(model["use"], z - model["shift"], 0.0).T.copy()
+    total = np.zeros(len(z))
+    for k in range(p):
+        y = np.zeros(len(z))
+        for j in np.flatnonzero(weight[k]):
+            y += weight[k, j] * gap[j]
+        total += y * y
+    return total
+
+
+def _complete(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    z = matrix(batch, columns)
+    return z[~np.isnan(z).any(axis=1)]
+
+
+def _slot_counter(columns: list[str], before: int | None, shift: int):
+    """``op, chain, _slot, _c``: rows by the bits of their distance above ``shift``, inside the last pass's slot."""
+
+    def work(pairs: Pairs) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def added() -> int:
+            for key, parts in held.items():
+                slots, at = np.unique(np.concatenate([s for s, _ in parts]), return_inverse=True)
+                held[key] = [(slots, np.bincount(at, np.concatenate([c for _, c in parts]), len(slots)))]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def batches() -> Iterator[pa.RecordBatch]:
+            added()
+            for (op, chain), ((slots, counts),) in held.items():
+                n = len(slots)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([op] * n, pa.string()), pa.array([chain] * n, pa.string()), pa.array(slots),
+                     pa.array(counts.astype(np.int64))], ["op", "chain", "_slot", "_c"])
+            held.clear()
+
+        for (op,), models, batch in pairs:
+            z = _complete(batch, columns)
+            for model in models:
+                bits = _squared(z, model).view(np.int64)
+                if before is not None:
+                    bits = bits[bits >> before == model["_head"]]
+                held.setdefault((op, model["chain"]), []).append((bits >> shift, np.ones(len(bits))))
+                size += len(bits)
+            if size > HELD_SLOTS:
+                size = added()
+                if size > HELD_SLOTS // 2:
+                    yield from batches()
+                    size = 0
+        yield from batches()
+
+    return work
+
+
+def _slot_sums(columns: list[str], shift: int):
+    """``op, chain, d2, cells``: packed sums of the rows below the slot (no ``d2``) and the rows inside it."""
+
+    def work(pairs: Pairs) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        cells = pa.list_(pa.float64())
+
+        def batch_of(keys: list[tuple], d2: list, rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
+                 pa.array(d2, pa.float64()), pa.array(rows, cells)], ["op", "chain", "d2", "cells"])
+
+        for (op,), models, batch in pairs:
+            z = _complete(batch, columns)
+            for model in models:
+                key, d2 = (op, model["chain"]), _squared(z, model)
+                slot = d2.view(np.int64) >> shift
+                # a slot of one value lies within the cut as a whole
+                below, inside = (slot < model["_head"], slot == model["_head"]) if shift else (
+                    slot <= model["_head"], np.zeros(len(z), bool))
+                held[key] = held.get(key, 0.0) + pack(z[below], False)
+                if inside.any():
+                    yield batch_of([key] * int(inside.sum()), d2[inside].tolist(), list(z[inside]))
+            if held and len(held) * len(next(iter(held.values()))) > HELD_CELLS:
+                yield batch_of(list(held), [None] * len(held), list(held.values()))
+                held = {}
+        if held:
+            yield batch_of(list(held), [None] * len(held), list(held.values()))
+
+    return work
+
+
+def concentrate(
+    rows: DataFrame, current: DataFrame, ranks: DataFrame, columns: list[str], n_models: int,
+    finish_rows: int = FINISH_ROWS,
+) -> DataFrame:
+    """The states after one concentration step of every model; ``ranks`` is ``op, h``.
+
+    The rows of a model are counted by the leading bits of their distance, by more of them while the
+    slot of the ``h``-th smallest holds more than ``finish_rows`` rows.  One scan then adds up the rows
+    below the slot; the rows inside it are sorted.  Rows as far as the ``h``-th belong to the subset.
+    """
+    p = len(columns)
+    model, size = ["op", "chain"], 8 * p * (p + 2) + 256
+    line = Window.partitionBy(*model).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    models = current.select(*model, "use", "shift", "weight")
+    facts, left, before = models, ranks.select("op", F.col("h").alias("_left")), None
+    for shift in SHIFTS:
+        counted = meet(rows, facts, ["op"], _slot_counter(columns, before, shift),
+                       "op string, chain string, _slot bigint, _c bigint", size, n_models)
+        by_slot = counted.groupBy(*model, "_slot").agg(F.sum("_c").alias("_c"))
+        ended = attach(by_slot, left, ["op"] if before is None else model, rows=n_models).withColumn(
+            "_end", F.sum("_c").over(line))
+        under = F.col("_end") - F.col("_c")
+        held = materialise(ended.where((under < F.col("_left")) & (F.col("_end") >= F.col("_left"))).select(
+            *model, F.col("_slot").alias("_head"), (F.col("_left") - under).alias("_left"), F.col("_c").alias("_inside")))
+        facts, left, before = models.join(held, model), held.select(*model, "_left"), shift
+        if (held.agg(F.max("_inside")).first()[0] or 0) <= finish_rows:
+            break
+
+    def finish(parts: pd.DataFrame, fact: pd.DataFrame) -> pd.DataFrame:
+        if parts.empty or fact.empty:
+            return pd.DataFrame(columns=["op", "chain", "use", "shift", "weight", "cov", "logdet", "singular"])
+        fact, single = fact.iloc[0], parts["d2"].notna()
+        acc = np.sum(np.stack(parts.loc[~single, "cells"].to_list()), axis=0)
+        if single.any():
+            d2, z = parts.loc[single, "d2"].to_numpy(), np.stack(parts.loc[single, "cells"].to_list())
+            acc = acc + pack(z[d2 <= np.partition(d2, int(fact["_left"]) - 1)[int(fact["_left"]) - 1]], False)
+        n, total, cross, _ = unpack(acc, p)
+        mean = total / n
+        return pd.DataFrame([_state(fact["op"], fact["chain"], np.asarray(fact["use"], bool), mean,
+                                    cross / n - np.outer(mean, mean))])
+
+    sums = meet(rows, facts, ["op"], _slot_sums(columns, before), "op string, chain string, d2 double, cells array<double>",
+                size, n_models)
+    return materialise(sums.groupBy(*model).cogroup(facts.select(*model, "use", "_left").groupBy(*model)).applyInPandas(
+        finish, _STATE))
+
+
 def minimum_covariance_determinant(
     z: DataFrame, sizes: DataFrame, columns: list[str], fraction: float | None, seed: int
 ) -> DataFrame:
@@ -187,13 +351,8 @@ def minimum_covariance_determinant(
             "op", "chain", F.col("x").alias(name)))
 
     def concentrated(current: DataFrame) -> DataFrame:
-        d = scored(current)
-        # a group has few candidates, so no more rows than these hold a cut
-        cuts = (ops or 0) * CANDIDATES
-        place = nth_distances(d, groups.select("op", "h"), cuts)
-        if place is None:
-            place = value_at(d, current, F.col("h") - 1, "_cut")
-        return refit(attach(d, place, ["op", "chain"], rows=cuts).where(F.col("d2") <= F.col("_cut")), current)
+        # a group has few candidates, so there are no more models than these
+        return concentrate(rows, current, groups.select("op", "h"), columns, (ops or 0) * CANDIDATES)
 
     for _ in range(TRIAL_STEPS):
         state = concentrated(state)
@@ -211,7 +370,15 @@ def minimum_covariance_determinant(
 
     # consistency at the normal distribution, then reweighting
     d = scored(state)
-    med = value_at(d, state, (F.col("n") - 1) / 2.0, "_med")
+    middle = lambda way: nth_distances(
+        d, groups.select("op", (way((F.col("n") - 1) / 2.0) + 1).alias("h")), ops or 0)
+    low, high = middle(F.floor), middle(F.ceil)
+    if low is None or high is None:
+        med = value_at(d, state, (F.col("n") - 1) / 2.0, "_med")
+    else:
+        med = low.join(high.withColumnRenamed("_cut", "_high"), ["op", "chain"]).select(
+            "op", "chain", F.when(F.col("_cut") == F.col("_high"), F.col("_cut")).otherwise(
+                0.5 * F.col("_cut") + 0.5 * F.col("_high")).alias("_med"))
     ps = [r[0] for r in groups.select("p").distinct().collect()]
     pick = lambda q: F.create_map(
         *[x for k in ps for x in (F.lit(k), F.lit(chi2_quantile(q, k)))])[F.col("p")]

@@ -98,9 +98,10 @@ def _narrow_by_digits(
 
 
 def before_cut(run_id: Column, seed: object) -> Column:
-    h, i = hash_order(run_id, seed), run_id.cast("string")
-    hit = (h < F.col("cut_hash")) | ((h == F.col("cut_hash")) & (i <= F.col("cut_id")))
-    return F.coalesce(hit, F.lit(False))
+    # one comparison of pairs, so that the digest of a run is made once
+    own = F.struct(hash_order(run_id, seed).alias("h"), run_id.cast("string").alias("i"))
+    cut = F.struct(F.col("cut_hash").alias("h"), F.col("cut_id").alias("i"))
+    return run_id.isNotNull() & F.col("cut_hash").isNotNull() & (own <= cut)
 
 
 def mark_cut(

@@ -63,7 +63,8 @@ def fit_scaler(
 def _robust(
     rows: DataFrame, keys: list[str], sensors: list[str], exact_rows: int | None
 ) -> DataFrame:
-    sizes = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    sizes = materialise(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), array_of([F.count(col(s)) for s in sensors], "bigint").alias("cnt")))
     med = materialise(_medians(rows, keys, sensors, sizes, "center", exact_rows))
     joined = attach(rows, med, keys, row_bytes=8 * len(sensors) + 64)
     gaps = joined.select(
@@ -91,7 +92,9 @@ def _medians(
         )
     pair = [F.struct(F.lit(j).alias("j"), col(s).alias("v")) for j, s in enumerate(sensors)]
     long = rows.select(*keys, F.explode(F.array(*pair)).alias("e")).select(*keys, "e.j", "e.v")
-    q = grouped_quantiles(long, [*keys, "j"], "v", [0.5], exact_rows=limit)
+    # values and their gaps are missing in the same rows
+    counts = sizes.select(*keys, F.posexplode("cnt").alias("j", "n")).where("n > 0")
+    q = grouped_quantiles(long, [*keys, "j"], "v", [0.5], counts, limit)
     filled = F.map_from_entries(F.collect_list(F.struct("j", F.col("q")[0].alias("x"))))
     return q.groupBy(*keys).agg(filled.alias("m")).select(
         *keys, array_of([F.col("m")[j] for j in range(len(sensors))]).alias(name)

@@ -358,7 +358,8 @@ class Mahalanobis(Detector):
             tagged = placed.withColumns({
                 "_calib": F.col("tiny") | held, "_train": F.col("tiny") | ~held,
             })
-        return tagged.drop("use", "tiny", "cut_hash", "cut_id"), plan
+        # scaling, sums, MCD and thresholds read these rows many times: hash and mark them once
+        return stored(tagged.drop("use", "tiny", "cut_hash", "cut_id")), plan
 
     def _scaler(self, train, plan, axis):
         """Scaling of the training rows, with their mean as the centre of the sums."""

@@ -15,6 +15,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +62,27 @@ def ship(spark: SparkSession) -> None:
     sc._runwatch_shipped = True
 
 
+@contextmanager
+def _without_constraints(spark: SparkSession) -> Iterator[None]:
+    """Plan without the search for inferred filters.
+
+    A checkpoint hands the constraints of its plan on to every plan that reads it, so they pile up
+    over a chain of steps until planning one takes longer than running it.  Results do not depend on them.
+    """
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and store it reliably; later jobs read the stored copy."""
     _prepare_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _without_constraints(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def visible(spark: SparkSession, path: str) -> str:
@@ -87,7 +106,8 @@ def stored(df: DataFrame) -> DataFrame:
     """``materialise`` for tables that grow with the data: compressed columns, read back as needed."""
     _prepare_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _without_constraints(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

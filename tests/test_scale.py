@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from runwatch.functions.columns import with_count
 from runwatch.operators.binning import binned_stats
 from runwatch.operators.distance import distances
-from runwatch.operators.mcd import nth_distances
+from runwatch.operators.mcd import concentrate, nth_distances
+from runwatch.operators.ordering import before_cut
+from runwatch.runtime import materialise
 
 
 def test_a_filter_on_the_score_does_not_repeat_it(spark):
@@ -54,3 +56,44 @@ def test_nth_distances_by_slots(spark):
         ranks = spark.createDataFrame([("a", h)], "op string, h bigint")
         got = {r["chain"]: r["_cut"] for r in nth_distances(d, ranks, 2).collect()}
         assert got == {"c0": np.sort(d2)[h - 1], "c1": np.sort(d2 * 3)[h - 1]}
+
+
+def test_stored_steps_hand_on_no_constraints(spark):
+    before = spark.conf.get("spark.sql.constraintPropagation.enabled")
+    made = materialise(spark.range(50).where("id > 3").withColumn("b", F.col("id") * 2))
+    assert made._jdf.queryExecution().optimizedPlan().constraints().size() == 0
+    assert made.count() == 46 and spark.conf.get("spark.sql.constraintPropagation.enabled") == before
+
+
+def test_before_cut_makes_one_digest(spark):
+    ids = spark.createDataFrame([(str(i),) for i in range(200)] + [(None,)], "run_id string")
+    digest = F.md5(F.concat("run_id", F.lit("#0")))
+    cut = ids.select(digest.alias("cut_hash"), F.col("run_id").alias("cut_id")).orderBy("cut_hash", "cut_id")
+    cut = cut.where("cut_id is not null").limit(60).agg(
+        F.max("cut_hash").alias("cut_hash"), F.max_by("cut_id", "cut_hash").alias("cut_id"))
+    cut = materialise(cut)
+    marked = ids.crossJoin(cut).where(before_cut(F.col("run_id"), 0))
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert marked.count() == 60 and marked.where("run_id is null").count() == 0
+    none = ids.withColumns({"cut_hash": F.lit(None).cast("string"), "cut_id": F.lit(None).cast("string")})
+    assert [r[0] for r in none.select(before_cut(F.col("run_id"), 0)).distinct().collect()] == [False]
+
+
+def test_a_concentration_step_keeps_the_nearest_rows(spark):
+    """Any bound on the rows that are sorted gives the same subset, ties at the cut included."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(900, 2)), np.full((300, 2), 0.9), np.zeros((40, 2))])
+    z = spark.createDataFrame(pd.DataFrame(x, columns=["z0", "z1"]).assign(op="a", run_id="r")).repartition(3)
+    one = np.eye(2).ravel().tolist()
+    states = [("a", c, [True, True], s, one, one, 0.0, False) for c, s in (("c0", [0.0, 0.0]), ("c1", [0.5, -0.2]))]
+    current = spark.createDataFrame(states, "op string, chain string, use array<boolean>, shift array<double>, "
+                                    "weight array<double>, cov array<double>, logdet double, singular boolean")
+    for h in (10, 700, 1240):
+        ranks = spark.createDataFrame([("a", h)], "op string, h bigint")
+        for most in (0, 50, 10_000):
+            got = {r["chain"]: r for r in concentrate(z, current, ranks, ["z0", "z1"], 2, most).collect()}
+            for _, c, _, shift, *_ in states:
+                d2 = ((x - np.array(shift)) ** 2).sum(axis=1)
+                kept = x[d2 <= np.sort(d2)[h - 1]]
+                assert np.allclose(got[c]["shift"], kept.mean(axis=0), atol=1e-12)
+                assert np.allclose(got[c]["cov"], np.cov(kept, rowvar=False, bias=True).ravel(), atol=1e-12)
