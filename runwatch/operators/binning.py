@@ -76,7 +76,14 @@ def binned_stats(
     """``keys, bin, center, lo, hi, median, q25, q75, n`` over quantile bins of x."""
     # the edges and the quantiles in the bins read these rows many times: compute them once
     rows = stored(df.select(*keys, finite(F.col(x)).alias("_x"), finite(F.col(y)).alias("_y")))
-    rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    return stats_in_bins(rows, keys, n_bins, min_count, exact_rows)
+
+
+def stats_in_bins(
+    rows: DataFrame, keys: list[str], n_bins: int = 12, min_count: int = 5, exact_rows: int | None = None,
+) -> DataFrame:
+    """``binned_stats`` of ``_y`` over bins of ``_x``, both finite or NULL; ``rows`` is read many times."""
+    rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull()).select(*keys, "_x", "_y")
     edges = bin_edges(rows, keys, "_x", n_bins, min_count, exact_rows=exact_rows)
     placed = assign_bins(rows, edges, keys, "_x")
     cell = [*keys, "bin", "lo", "hi"]

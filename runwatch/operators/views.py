@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, number
-from ..runtime import attach, col, materialise
-from .binning import binned_stats, histogram, melt
+from ..runtime import attach, col, materialise, stored
+from .binning import binned_stats, histogram, melt, stats_in_bins
 from .gram import clean, correlation, per_row
 from .prepare import correlation_sums, live_stats, sound_scale
 from .gram import moments
@@ -120,9 +120,11 @@ def score_vs_intensity(
     exact_rows: int | None = None,
 ) -> DataFrame:
     """Binned scores of ``frame`` with the threshold they are compared to."""
-    made = binned_stats(frame, keys, "intensity", "score", n_bins, exact_rows=exact_rows)
-    limits = frame.groupBy(*keys).agg(F.max("threshold").alias("threshold"))
-    return made.join(limits, keys)
+    # bins and limits read the same stored rows: score the runs once
+    rows = stored(frame.select(*keys, finite(F.col("intensity")).alias("_x"), finite(F.col("score")).alias("_y"),
+                               "threshold"))
+    limits = rows.groupBy(*keys).agg(F.max("threshold").alias("threshold"))
+    return stats_in_bins(rows, keys, n_bins, exact_rows=exact_rows).join(limits, keys)
 
 
 def sensor_histograms(

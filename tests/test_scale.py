@@ -9,6 +9,7 @@ from runwatch.operators.binning import binned_stats
 from runwatch.operators.distance import distances
 from runwatch.operators.mcd import concentrate, nth_distances
 from runwatch.operators.ordering import before_cut
+from runwatch.operators.views import score_vs_intensity
 from runwatch.runtime import materialise
 
 
@@ -97,3 +98,14 @@ def test_a_concentration_step_keeps_the_nearest_rows(spark):
                 kept = x[d2 <= np.sort(d2)[h - 1]]
                 assert np.allclose(got[c]["shift"], kept.mean(axis=0), atol=1e-12)
                 assert np.allclose(got[c]["cov"], np.cov(kept, rowvar=False, bias=True).ravel(), atol=1e-12)
+
+
+def test_score_vs_intensity_scores_runs_once(spark):
+    rows = [("a", "K", float(i), float(i % 7) if i % 5 else None, 2.0 + (i == 0)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "op string, class string, intensity double, s double, threshold double")
+    frame = frame.select("op", "class", "intensity", "threshold", F.inline(F.array(F.struct(F.col("s").alias("score")))))
+    made = score_vs_intensity(frame, n_bins=4)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = made.collect()
+    # the limit is over all runs, also those without a score
+    assert sum(r["n"] for r in got) == 160 and {r["threshold"] for r in got} == {3.0}
