@@ -85,18 +85,20 @@ def stats_in_bins(
     """``binned_stats`` of ``_y`` over bins of ``_x``, both finite or NULL; ``rows`` is read many times."""
     rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull()).select(*keys, "_x", "_y")
     edges = bin_edges(rows, keys, "_x", n_bins, min_count, exact_rows=exact_rows)
-    placed = assign_bins(rows, edges, keys, "_x")
-    cell = [*keys, "bin", "lo", "hi"]
+    cell = [*keys, "bin"]
+    placed = assign_bins(rows, edges, keys, "_x").select(*cell, "_x", "_y")
     counts = None
     if edges.largest > (EXACT_ROWS if exact_rows is None else exact_rows):
-        placed = stored(placed)
         counts = materialise(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")))
     q = lambda v, ps: grouped_quantiles(
         placed, cell, v, ps, counts, exact_rows, largest=edges.largest)
     centers = q("_x", [0.5]).select(*cell, F.col("q")[0].alias("center"))
     spread = q("_y", [0.25, 0.5, 0.75])
-    return spread.join(centers, cell).select(
-        *keys, "bin", "center", "lo", "hi", F.col("q")[1].alias("median"),
+    made = attach(spread.join(centers, cell), edges.table.select(*keys, "edges"), keys, row_bytes=512,
+                  rows=edges.groups)
+    return made.select(
+        *keys, "bin", "center", F.col("edges")[F.col("bin")].alias("lo"),
+        F.col("edges")[F.col("bin") + 1].alias("hi"), F.col("q")[1].alias("median"),
         F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), "n",
     )
 

@@ -4,8 +4,10 @@ A cut is the hash of the k-th run in a repeatable random order.  It is found dig
 by digit: the runs of a group are counted by the next hexadecimal digits of their
 hash, the counts tell in which of these buckets rank k lies, and so on until the
 bucket holds at most ``BUCKET_ROWS`` runs.  Only those are sorted, so no task sees
-more of a group, however large it is.  Once the cut is known, splitting is a
-row-wise comparison.
+more of a group, however large it is.  Hashes are spread evenly, so the scan that
+counts also stores the runs around the share k / n of their range, and the bucket
+is read from there; only if it lies elsewhere the runs are hashed again.  Once the
+cut is known, splitting is a row-wise comparison.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_order
-from ..runtime import attach, materialise
+from ..runtime import attach, materialise, stored
 from .quantiles import order_values
 
 BUCKET_ROWS = 10_000
 #: hexadecimal digits of a hash, and the most a pass counts by
 HASH_DIGITS = 32
 PASS_DIGITS = 4
+#: how far around its expected place a cut is looked for, in standard deviations
+AROUND = 8.0
 
 
 def hash_cut(
@@ -52,13 +56,15 @@ def hash_cut(
         *keys, F.lit("").alias("_head"), F.col("k").alias("left"), F.col("n").alias("_inside"))
     depth = 0
     if largest > bucket_rows:
-        buckets, depth = _narrow_by_digits(rows, keys, materialise(buckets), bucket_rows, n_groups)
-    order = Window.partitionBy(*keys).orderBy("_h", "_id")
+        buckets, depth, rows = _narrow_by_digits(rows, keys, materialise(buckets), bucket_rows, n_groups)
+    else:
+        rows = rows.withColumn("_c", F.lit(1).cast("bigint"))
+    line = Window.partitionBy(*keys).orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0)
     inside = attach(rows, buckets.drop("_inside"), keys, rows=n_groups).where(
         F.startswith("_h", "_head") & (F.length("_head") < HASH_DIGITS))
     cuts = (
-        inside.withColumn("_r", F.row_number().over(order))
-        .where(F.col("_r") == F.col("left"))
+        inside.withColumn("_end", F.sum("_c").over(line))
+        .where((F.col("_end") >= F.col("left")) & (F.col("_end") - F.col("_c") < F.col("left")))
         .select(*keys, F.col("_h").alias("cut_hash"), F.col("_id").alias("cut_id"))
     )
     if depth < HASH_DIGITS:
@@ -71,30 +77,44 @@ def hash_cut(
 
 def _narrow_by_digits(
     rows: DataFrame, keys: list[str], buckets: DataFrame, bucket_rows: int, n_groups: int | None
-) -> tuple[DataFrame, int]:
+) -> tuple[DataFrame, int, DataFrame]:
     """``keys, _head, left, _inside``: the hash beginning of the bucket that holds the wanted rank
     and the rank inside it; at most ``bucket_rows`` runs share the beginning, or all their digits agree.
-    Also how many digits were looked at."""
-    depth = 0
+    Also how many digits were looked at, and ``rows`` with ``_c``, how many each stands for, or what of them
+    is still needed."""
+    depth, source = 0, rows.withColumn("_c", F.lit(1).cast("bigint"))
+    found, buckets = source, buckets.withColumn("_near", F.lit(True))
+    wide = F.col("_inside") > bucket_rows
     while depth < HASH_DIGITS:
-        wide = F.col("_inside") > bucket_rows
-        most = buckets.where(wide).agg(F.max("_inside")).first()[0]
+        most, n_off = buckets.agg(F.max(F.when(wide, F.col("_inside"))), F.count_if(~F.col("_near"))).first()
+        # groups that needed no more digits are read from the rows they were in: keep those as long as there are any
+        source = source if n_off else found
         if most is None:
             break
         # buckets of about half the bound, but no more of them than a task can count by
         digits = min(PASS_DIGITS, HASH_DIGITS - depth, max(1, math.ceil(math.log(2 * most / bucket_rows, 16))))
-        held = attach(rows, buckets.where(wide), keys, rows=n_groups).where(F.startswith("_h", "_head"))
+        held = attach(source, buckets.where(wide).drop("_near"), keys, rows=n_groups).where(F.startswith("_h", "_head"))
+        here, share = F.substring("_h", depth + 1, digits), F.col("left") / F.col("_inside")
+        off = F.lit(AROUND) * F.sqrt(share * (1.0 - share) / F.col("_inside")) + 1.0 / F.col("_inside")
+        slot = lambda x: F.lpad(F.lower(F.hex(F.floor(
+            F.least(F.greatest(x, F.lit(0.0)) * 16 ** digits, F.lit(16 ** digits - 1))))), digits, "0")
+        near = here.between(slot(share - off), slot(share + off))
+        held = held.select(*keys, "_head", "left", "_h", "_id", "_c", here.alias("_digits"), near.alias("_near"))
+        own = lambda c: F.when(F.col("_near"), F.col(c)).alias(c)
+        values = stored(held.groupBy(*keys, "_head", "left", "_digits", "_near", own("_h"), own("_id"))
+                        .agg(F.sum("_c").alias("_c")))
         line = Window.partitionBy(*keys).orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0)
         counted = (
-            held.groupBy(*keys, "_head", "left", F.substring("_h", depth + 1, digits).alias("_digits"))
-            .agg(F.count(F.lit(1)).alias("c")).withColumn("end", F.sum("c").over(line)))
+            values.groupBy(*keys, "_head", "left", "_digits", "_near")
+            .agg(F.sum("_c").alias("c")).withColumn("end", F.sum("c").over(line)))
         before = F.col("end") - F.col("c")
         chosen = counted.where((F.col("end") >= F.col("left")) & (before < F.col("left"))).select(
             *keys, F.concat("_head", "_digits").alias("_head"), (F.col("left") - before).alias("left"),
-            F.col("c").alias("_inside"))
-        buckets = materialise(buckets.where(~wide).unionByName(chosen))
+            F.col("c").alias("_inside"), "_near")
+        found = values.where("_near").select(*keys, "_h", "_id", "_c")
+        buckets = materialise(buckets.where(~wide).withColumn("_near", F.lit(False)).unionByName(chosen))
         depth += digits
-    return buckets, depth
+    return buckets.drop("_near"), depth, source
 
 
 def before_cut(run_id: Column, seed: object) -> Column:

@@ -6,8 +6,9 @@ narrowed instead.  A mergeable sketch of every group proposes bounds close to
 each wanted rank; one exact count of the rows between the bounds tells where the
 ranks really lie, and what lies elsewhere is never looked at again.  A row falls
 between one pair of bounds, so it is counted once a pass however many ranks are
-wanted.  Brackets of at most ``FINISH_ROWS`` rows are sorted: of a billion scores
-a quantile far out in the tail moves a few thousandths.  The sketch only decides
+wanted.  The scan that counts also stores the distinct values next to the wanted
+ranks, a few thousandths of the rows a rank, and later passes read those alone.
+Brackets of at most ``FINISH_ROWS`` values are sorted.  The sketch only decides
 how fast a bracket shrinks; the counts are exact, and so is the result.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import with_count
-from ..runtime import attach, materialise
+from ..runtime import attach, materialise, stored
 
 EXACT_ROWS = 500_000
 FINISH_ROWS = 250_000
@@ -66,13 +67,16 @@ def grouped_quantiles(
         return _builtin(rows, keys, probs, weight is not None)
     if counts is None:
         counts = materialise(rows.groupBy(*keys).agg(F.sum("_c").alias("n")))
-    largest = counts.agg(F.max("n")).first()[0] or 0
-    if largest <= exact_rows:
+    # beside groups that are narrowed anyway, others are held whole only where they are no more than is sorted
+    bound = min(exact_rows, FINISH_ROWS)
+    largest, n_small = counts.agg(F.max("n"), F.count_if(F.col("n") <= bound)).first()
+    if (largest or 0) <= exact_rows:
         return _builtin(rows, keys, probs, weight is not None)
-    large = counts.where(F.col("n") > exact_rows)
-    small = counts.where(F.col("n") <= exact_rows).select(*keys)
-    near = _builtin(attach(rows, small, keys), keys, probs, weight is not None)
-    return near.unionByName(_narrowed(rows, keys, probs, large, largest))
+    far = _narrowed(rows, keys, probs, counts.where(F.col("n") > bound), largest)
+    if not n_small:
+        return far
+    small = counts.where(F.col("n") <= bound).select(*keys)
+    return _builtin(attach(rows, small, keys, rows=n_small), keys, probs, weight is not None).unionByName(far)
 
 
 def _builtin(rows: DataFrame, keys: list[str], probs: list[float], weighted: bool) -> DataFrame:
@@ -115,81 +119,99 @@ def order_values(
                          F.lit(0).cast("bigint").alias("_below"), "_inside", "_marks")
     if largest is not None and largest <= FINISH_ROWS:
         return _finish(rows, keys, state, whole=True)
-    state = materialise(state)
+    state = materialise(state.withColumn("_stored", F.lit(True)))
     small = F.col("_inside") <= FINISH_ROWS
-    brackets, solved = [], []
-    whole = True
+    found, source, near, whole = [], rows, rows, True
     for _ in range(MAX_PASSES):
-        brackets.append(state.where(small))
-        active = state.where(~small)
-        if active.isEmpty():
+        n_small, n_open, n_missed = state.agg(
+            F.count_if(small), F.count_if(~small), F.count_if(~F.col("_stored"))).first()
+        # what lies between the bounds of a mark is stored; only where a sketch was off look at all rows again
+        source = source if n_missed else near
+        if n_small or not (n_open or found):
+            found.append(_finish(source, keys, state.where(small), whole))
+        if not n_open:
             break
-        slots = materialise(_count_between(rows, keys, active, whole))
-        solved.append(_settled(slots, keys))
-        state, whole = materialise(_still_open(slots, keys)), False
+        slots, near = _count_between(source, keys, state.where(~small), whole, n_open)
+        found.append(_settled(slots, keys))
+        state, whole = _still_open(slots, keys), False
     else:
         raise RuntimeError(f"a quantile was not found in {MAX_PASSES} passes")
-    if len(brackets) == 1:
-        return _finish(rows, keys, brackets[0], whole=True)
-    # the first brackets are whole groups, which have no bounds
-    first = _finish(rows, keys, brackets[0], whole=True)
-    rest = _finish(rows, keys, materialise(reduce(DataFrame.unionByName, brackets[1:])))
-    return reduce(DataFrame.unionByName, [first, rest, *solved])
+    return reduce(DataFrame.unionByName, found)
 
 
-def _placed(rows: DataFrame, keys: list[str], brackets: DataFrame, whole: bool) -> DataFrame:
+def _placed(
+    rows: DataFrame, keys: list[str], brackets: DataFrame, whole: bool, n_brackets: int | None = None
+) -> DataFrame:
     """Rows that lie in a bracket of their group, with its lower bound (brackets do not overlap)."""
     if whole:
         nothing = F.lit(None).cast("double")
-        return attach(rows, brackets.select(*keys), keys).withColumn("_lo", nothing)
+        return attach(rows, brackets.select(*keys), keys, rows=n_brackets).withColumn("_lo", nothing)
     lists = materialise(
         brackets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_lo", "_hi"))).alias("_in"))
         .select(*keys, F.col("_in._lo").alias("_los"), F.col("_in._hi").alias("_his")))
-    near = with_count(attach(rows, lists, keys, row_bytes=1024), "_at", "_los", "_v", _longest(lists, "_los"))
+    n_lists, longest = _extent(lists, "_los")
+    near = with_count(attach(rows, lists, keys, row_bytes=1024, rows=n_lists), "_at", "_los", "_v", longest)
     own = lambda ends: F.get(ends, F.col("_at") - 1)
     return near.where(F.col("_v") <= own("_his")).select(*rows.columns, own("_los").alias("_lo"))
 
 
-def _longest(table: DataFrame, name: str) -> int:
-    return table.agg(F.max(F.size(name))).first()[0] or 0
+def _extent(table: DataFrame, name: str) -> tuple[int, int]:
+    """Rows of a reduced table and the length of its longest array ``name``."""
+    rows, longest = table.agg(F.count(F.lit(1)), F.max(F.size(name))).first()
+    return rows, longest or 0
 
 
-def _count_between(rows: DataFrame, keys: list[str], active: DataFrame, whole: bool) -> DataFrame:
+def _count_between(
+    rows: DataFrame, keys: list[str], active: DataFrame, whole: bool, n_active: int
+) -> tuple[DataFrame, DataFrame]:
     """One pass over open brackets: a sketch each, then exact counts between the bounds it gives.
 
     One row for each stretch between bounds: ``_weight`` rows (``_rows`` table rows) from ``_min``
     to ``_max``, of which ``_before`` precede in the group, the following stretch's ``_next``, and
-    the marks whose lower position lies in it.
+    the marks whose lower position lies in it.  Also ``keys, _v, _c`` of the stretches between the two
+    bounds of a mark (``_stored``), equal rows as one, taken down by the scan that counts.
     """
-    held = _placed(rows, keys, active, whole)
+    held = _placed(rows, keys, active, whole, n_active)
     cell = [*keys, "_lo"]
     same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"a.`{k}`")) for k in cell]
     sketch = held.groupBy(*cell).agg(
         F.kll_sketch_agg_double("_v", SKETCH_SIZE).alias("_sketch"),
         F.bool_or(F.col("_c") != 1).alias("_weighted"))
     joined = sketch.alias("r").join(active.alias("a"), same).select(
-        "a.*", "r._sketch", "r._weighted")
+        "a.*", "r._sketch", "r._weighted").drop("_stored")
     levels = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(k / LEVELS) for k in range(LEVELS + 1)]))
     place = lambda m, rank: (m[rank] - F.col("_below")) / F.col("_inside")
     level = lambda x: F.get("_levels", F.greatest(F.lit(0), F.least(F.lit(LEVELS), x)).cast("int"))
     grid = F.when(F.col("_weighted"), F.transform(F.array(*[F.lit(g) for g in GRID]), lambda g: level(g * LEVELS)))
-    near = F.concat(
-        F.transform("_marks", lambda m: level(F.floor((place(m, "a") - MARGIN) * LEVELS))),
-        F.transform("_marks", lambda m: level(F.ceil((place(m, "b") + MARGIN) * LEVELS))),
-        F.coalesce(grid, F.array().cast("array<double>")))
-    bounds = materialise(joined.withColumn("_levels", levels).select(
-        *keys, "_lo", "_below", "_marks", F.array_sort(F.array_distinct(near)).alias("_bounds")))
+    around = F.transform("_marks", lambda m: F.struct(
+        level(F.floor((place(m, "a") - MARGIN) * LEVELS)).alias("lo"),
+        level(F.ceil((place(m, "b") + MARGIN) * LEVELS)).alias("hi")))
+    ends = F.concat("_around.lo", "_around.hi", F.coalesce(grid, F.array().cast("array<double>")))
+    wanted = F.transform("_bounds", lambda v, i: F.exists(
+        "_around", lambda e: (e["lo"] <= v) & F.coalesce(F.get("_bounds", i + 1) <= e["hi"], F.lit(False))))
+    bounds = materialise(
+        joined.withColumn("_levels", levels).withColumn("_around", around)
+        .withColumn("_bounds", F.array_sort(F.array_distinct(ends)))
+        .select(*keys, "_lo", "_below", "_marks", "_bounds", wanted.alias("_wanted")))
+    n_bounds, longest = _extent(bounds, "_bounds")
     if whole:
-        tagged = attach(held.drop("_lo"), bounds.select(*keys, "_bounds"), keys, row_bytes=1024)
+        tagged = attach(rows, bounds.select(*keys, "_bounds", "_wanted"), keys, row_bytes=1024, rows=n_bounds)
         tagged = tagged.withColumn("_lo", F.lit(None).cast("double"))
     else:
-        tagged = attach(held, bounds.select(*keys, "_lo", "_bounds"), cell, row_bytes=1024)
+        tagged = attach(held, bounds.select(*keys, "_lo", "_bounds", "_wanted"), cell, row_bytes=1024, rows=n_bounds)
     # values equal to a bound have a stretch of their own, so that a frequent value stands alone
-    tagged = with_count(tagged, "_at", "_bounds", "_v", _longest(bounds, "_bounds"))
+    tagged = with_count(tagged, "_at", "_bounds", "_v", longest)
     equal = F.coalesce(F.get("_bounds", F.col("_at") - 1) == F.col("_v"), F.lit(False))
-    counted = tagged.groupBy(*cell, (2 * F.col("_at") - equal.cast("int")).alias("_slot")).agg(
-        F.sum("_c").alias("_weight"), F.count(F.lit(1)).alias("_rows"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    near = ~equal & F.coalesce(F.get("_wanted", F.col("_at") - 1), F.lit(False))
+    values = stored(
+        tagged.groupBy(*cell, (2 * F.col("_at") - equal.cast("int")).alias("_slot"),
+                       near.alias("_stored"), F.when(near, F.col("_v")).alias("_value"))
+        .agg(F.sum("_c").alias("_weight"), F.count(F.lit(1)).alias("_rows"),
+             F.min("_v").alias("_min"), F.max("_v").alias("_max")))
+    held_rows = F.when(F.col("_stored"), F.lit(1).cast("bigint")).otherwise(F.col("_rows"))
+    counted = values.groupBy(*cell, "_slot", "_stored").agg(
+        F.sum("_weight").alias("_weight"), F.sum(held_rows).alias("_rows"),
+        F.min("_min").alias("_min"), F.max("_max").alias("_max"))
     known = counted.alias("r").join(bounds.drop("_bounds").alias("a"), same).select(
         "r.*", "a._below", "a._marks")
     line = Window.partitionBy(*cell).orderBy("_slot")
@@ -197,8 +219,10 @@ def _count_between(rows: DataFrame, keys: list[str], active: DataFrame, whole: b
         "_end": F.col("_below") + F.sum("_weight").over(line.rowsBetween(Window.unboundedPreceding, 0)),
         "_next": F.lead("_min").over(line)})
     before = F.col("_end") - F.col("_weight")
-    return ended.withColumn("_before", before).withColumn("_marks", F.filter(
+    slots = ended.withColumn("_before", before).withColumn("_marks", F.filter(
         "_marks", lambda m: (m["a"] >= F.col("_before")) & (m["a"] < F.col("_end")))).where(F.size("_marks") > 0)
+    return materialise(slots), values.where("_stored").select(
+        *keys, F.col("_value").alias("_v"), F.col("_weight").alias("_c"))
 
 
 def _settled(slots: DataFrame, keys: list[str]) -> DataFrame:
@@ -216,7 +240,7 @@ def _still_open(slots: DataFrame, keys: list[str]) -> DataFrame:
     left = F.filter("_marks", lambda m: m["b"] < F.col("_end"))
     return slots.where(F.col("_min") < F.col("_max")).select(
         *keys, F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), F.col("_before").alias("_below"),
-        F.col("_rows").alias("_inside"), left.alias("_marks")).where(F.size("_marks") > 0)
+        F.col("_rows").alias("_inside"), left.alias("_marks"), "_stored").where(F.size("_marks") > 0)
 
 
 def _finish(rows: DataFrame, keys: list[str], brackets: DataFrame, whole: bool = False) -> DataFrame:

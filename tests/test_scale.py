@@ -1,10 +1,13 @@
 """What large tables need: rows computed once, filters that do not repeat a score, slots instead of sorts."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from runwatch.functions.columns import with_count
+from runwatch.operators import binning, gram, ordering, quantiles
 from runwatch.operators.binning import binned_stats
 from runwatch.operators.distance import distances
 from runwatch.operators.mcd import concentrate, nth_distances
@@ -109,3 +112,71 @@ def test_score_vs_intensity_scores_runs_once(spark):
     got = made.collect()
     # the limit is over all runs, also those without a score
     assert sum(r["n"] for r in got) == 160 and {r["threshold"] for r in got} == {3.0}
+
+
+def test_brackets_are_read_from_what_the_count_stored(spark, monkeypatch):
+    """The scan that counts takes down the values next to the ranks; nothing after it reads all rows."""
+    seen = []
+    real = quantiles._finish
+
+    def spy(rows, keys, brackets, whole=False):
+        seen.append((whole, rows.count()))
+        return real(rows, keys, brackets, whole)
+
+    monkeypatch.setattr(quantiles, "_finish", spy)
+    monkeypatch.setattr(quantiles, "FINISH_ROWS", 4000)
+    df = spark.range(0, 300_000, 1, 4).select(F.lit("a").alias("g"), (F.rand(3) * 7).alias("v")).cache()
+    probs = [0.0, 0.25, 0.5, 0.999]
+    got = quantiles.grouped_quantiles(df, ["g"], "v", probs, exact_rows=1000).first()["q"]
+    assert got == df.agg(F.percentile("v", F.array(*map(F.lit, probs)))).first()[0]
+    assert seen and all(not whole and n < 20_000 for whole, n in seen)
+
+
+def test_a_cut_is_read_from_what_the_count_stored(spark, monkeypatch):
+    """Runs are hashed once, also where an id comes twice."""
+    seen = []
+    real = ordering.attach
+
+    def spy(df, small, keys, *a, **k):
+        if "left" in small.columns and "_inside" not in small.columns:
+            seen.append(df.count())
+        return real(df, small, keys, *a, **k)
+
+    monkeypatch.setattr(ordering, "attach", spy)
+    ids = spark.range(40_000).select(F.lit("a").alias("op"), F.col("id").cast("string").alias("run_id"))
+    twice = ids.unionAll(ids)
+    for df, n in ((ids, 40_000), (twice, 80_000)):
+        k = int(n * 0.3)
+        take = spark.createDataFrame([("a", n, k)], "op string, n bigint, k bigint")
+        got = ordering.hash_cut(df, ["op"], "run_id", take, 7).first()
+        want = sorted((hashlib.md5(f"{r[0]}#7".encode()).hexdigest(), r[0]) for r in df.select("run_id").collect())
+        assert (got["cut_hash"], got["cut_id"]) == want[k - 1]
+        assert seen.pop() <= 10_000
+
+
+def test_rows_are_not_stored_again_with_their_bins(spark, monkeypatch):
+    df = spark.range(6000).select(
+        (F.col("id") % 2).cast("string").alias("g"), F.floor(F.rand(1) * 300).alias("_x").cast("double"),
+        F.rand(2).alias("_y")).cache()
+    want = binning.stats_in_bins(df, ["g"], 5).orderBy("g", "bin").collect()
+    stores = []
+    monkeypatch.setattr(binning, "stored", lambda rows: stores.append(rows) or rows)
+    for bound in (2000, 100):
+        got = binning.stats_in_bins(df, ["g"], 5, exact_rows=bound).orderBy("g", "bin")
+        assert got.columns == ["g", "bin", "center", "lo", "hi", "median", "q25", "q75", "n"]
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want]
+    assert not stores
+
+
+def test_quartic_sums_of_seven_sensors_need_no_python(spark):
+    rng = np.random.default_rng(2)
+    names = [f"s{j}" for j in range(7)]
+    df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(500, 7)), columns=names).assign(op="a"))
+    stats = spark.createDataFrame(
+        [("a", [0.1] * 7, [2.0] * 7, [True] * 6 + [False])],
+        "op string, center array<double>, scale array<double>, use array<boolean>")
+    made = gram.standard_gram(df, stats, ["op"], names, quartic=True)
+    assert "Arrow" not in made._jdf.queryExecution().optimizedPlan().toString()
+    z = (df.toPandas()[names].to_numpy() - 0.1) / 2.0
+    z[:, 6] = 0.0
+    assert np.allclose(made.first()["acc"], gram.pack(z, True))
